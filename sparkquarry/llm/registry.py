@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkquarry.llm import digest, pack, split, tokenize
+from sparkquarry.llm import digest, langid, pack, split, tokenize
 from sparkquarry.sources import load
 
 
@@ -93,9 +93,28 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.packing_report(p8_containers(spark, sf_dir))
 
 
+def _languages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, str], langid.Model]:
+    codes = langid.read_codes(load(spark, sf_dir, "language_codes"))
+    documents = load(spark, sf_dir, "documents")
+    return documents, codes, langid.fit(documents, codes)
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of the documents whose label is missing or wrong, or that are of several languages."""
+    documents, codes, model = _languages(spark, sf_dir)
+    labelled = documents.where(F.col("text").rlike(r"(?U)\S")).select("doc_id", "text", langid.label_of(F.col("lang"), codes).alias("_label"))
+    found = langid.assign(labelled, model, keep=["_label"])
+    return found.where(F.col("_label").isNull() | (F.col("_label") != F.col("lang")) | (F.col("n_segments") > 1)).select("doc_id", "segment_no", "lang")
+
+
+def p9_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, _, model = _languages(spark, sf_dir)
+    return langid.assign(documents, model)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The first of each problem's names does the whole job, where there is no pN_found."""
-    fs = [p1_quantiles, p1_months, p1_rank_check, p5_found, p5_pieces, p7_ids, p8_containers, p8_report]
+    fs = [p1_quantiles, p1_months, p1_rank_check, p5_found, p5_pieces, p7_ids, p8_containers, p8_report, p9_found, p9_languages]
     return {f.__name__: f for f in fs}
 
 
