@@ -203,7 +203,13 @@ def fit(df: DataFrame, codes: dict[str, str], text_col: str = "text", lang_col:
     index = {x: i for i, x in enumerate(langs)}
     known = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), label_of(F.col(lang_col), codes).alias("_lang")).where(F.col("_lang").isNotNull() & F.col("_text").rlike(r"(?U)\S"))
     rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), F.col("_id")))
-    sample = checkpoint(known.withColumn("_rank", rank).where(F.col("_rank") <= per_language).repartition(df.sparkSession.sparkContext.defaultParallelism * 2, "_rank").select("_text", "_lang"))
+    taken = known.withColumn("_rank", rank).where(F.col("_rank") <= per_language).repartition(df.sparkSession.sparkContext.defaultParallelism * 2, "_rank").select("_text", "_lang")
+
+    def prose(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            yield pd.DataFrame({"lines": ["\n".join(letters_of(x) for x in text.split("\n") if is_prose(x)) for text in pdf["_text"]], "lang": pdf["_lang"].map(index)})
+
+    sample = checkpoint(taken.mapInPandas(prose, "lines string, lang int"))
     model = None
     for _ in range(2):
         spoken = df.sparkSession.sparkContext.broadcast(model)  # buckets by languages at most
@@ -211,12 +217,13 @@ def fit(df: DataFrame, codes: dict[str, str], text_col: str = "text", lang_col:
         def count(pdfs: Iterator[pd.DataFrame], spoken=spoken) -> Iterator[pd.DataFrame]:
             m, sums = spoken.value, np.zeros((len(langs), BUCKETS))
             for pdf in pdfs:
-                for text, lang in zip(pdf["_text"], pdf["_lang"]):
-                    lines = [letters_of(x) for x in text.split("\n") if is_prose(x)]
-                    if m is not None and lines:
-                        scores, _n = m.score(lines)
-                        lines = [x for x, best in zip(lines, scores.argmax(1)) if best == index[lang]]
-                    sums[index[lang]] += np.bincount(ngrams(lines)[0], minlength=BUCKETS)
+                for lang, texts in pdf.groupby("lang")["lines"]:
+                    for part in blocks(texts):
+                        lines = "\n".join(part).split("\n")
+                        if m is not None:
+                            scores, _n = m.score(lines)
+                            lines = [x for x, best in zip(lines, scores.argmax(1)) if best == lang]
+                        sums[lang] += np.bincount(ngrams(lines)[0], minlength=BUCKETS)
             at = np.nonzero(sums)
             yield pd.DataFrame({"lang": at[0].astype(np.int32), "bucket": at[1].astype(np.int32), "n": sums[at]})
 

@@ -60,6 +60,8 @@ _SENTENCE = re.compile(r"[^.!?。！？।\n]+(?:[.!?。！？।]+|\n|$)")
 
 _OPEN = dict(zip("([{（［｛【「『《〈«“„", ")]}）］｝】」』》〉»”“"))
 _CLOSERS = set(_OPEN.values()) | {"”"}
+#: What the pushdown parser stops at.
+_SIGN = re.compile("[" + re.escape("".join(_OPEN) + "".join(sorted(_CLOSERS)) + "\\\"`*") + "]")
 _END = re.compile(r"[.!?。！？؟।۔…][\"'”’»“)\]）】」』》*_`]*$")
 _ITEM = re.compile(r"^\s*(?:[-*+•·‣]|\d{1,3}[.)、]|[(（]?\d{1,3}[)）]|[a-zA-Z][.)]|#{1,6})\s+\S")
 _FENCE = re.compile(r"^\s*(```+|~~~+)")
@@ -116,6 +118,9 @@ def is_copy(question: str | None, answer: str) -> bool:
     q, a = tokens(question or ""), tokens(_LABEL.sub("", answer))
     if not q or not a or len(a) > 4 * len(q) + 4:
         return False
+    known = set(q)
+    if sum(t in known for t in a) < 0.9 * len(a) - 1:  # no tiles can cover more
+        return False
     times = max(1, round(len(a) / len(q)))
     covered = tiled(a, q * times)
     return len(a) - covered <= max(1, 0.1 * len(a)) and covered >= 0.8 * len(q)  # one token may be a label or number
@@ -160,6 +165,9 @@ def open_at_end(text: str) -> tuple[list[str], bool]:
         if _ITEM.match(line):
             i = line.index(line.split()[0]) + len(line.split()[0])
         while i < n:
+            if (m := _SIGN.search(line, i)) is None:
+                break
+            i = m.start()
             c = line[i]
             if stack and stack[-1] == "`":
                 if c == "`":
@@ -220,6 +228,8 @@ _SCRIPTS = [
 
 def script_of(letters: str) -> str | None:
     """The script that most letters are of; kana in a tenth of Han and kana is Japanese."""
+    if letters.isascii():
+        return "latin" if _SCRIPTS[-1][1].search(letters) else None
     n = {name: len(p.findall(letters)) for name, p in _SCRIPTS}
     if n["kana"] * 10 >= n["kana"] + n["han"] and n["kana"]:
         n["kana"] += n["han"]
