@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkquarry.llm import digest, langid, pack, pairs, split, tokenize
+from sparkquarry.llm import digest, langid, markup, pack, pairs, split, tokenize
 from sparkquarry.sources import load
 
 
@@ -99,6 +99,15 @@ def _languages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, s
     return documents, codes, langid.fit(documents, codes)
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each kind of markup that the cleaner met in a record."""
+    return p3_clean(spark, sf_dir).select("record_table", "record_id", F.explode("markup").alias("markup"))
+
+
+def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.clean_markup(markup.marked_records(spark, sf_dir))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.flag_pairs(load(spark, sf_dir, "eval_results"), _languages(spark, sf_dir)[2])
 
@@ -118,7 +127,7 @@ def p9_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The first of each problem's names does the whole job, where there is no pN_found."""
-    fs = [p1_quantiles, p1_months, p1_rank_check, p4_found, p5_found, p5_pieces, p7_ids, p8_containers, p8_report, p9_found, p9_languages]
+    fs = [p1_quantiles, p1_months, p1_rank_check, p3_found, p3_clean, p4_found, p5_found, p5_pieces, p7_ids, p8_containers, p8_report, p9_found, p9_languages]
     return {f.__name__: f for f in fs}
 
 
