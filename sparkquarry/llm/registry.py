@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkquarry.llm import digest, langid, markup, pack, pairs, split, tokenize
+from sparkquarry.llm import digest, langid, markup, pack, pairs, sentences, split, tokenize
 from sparkquarry.sources import load
 
 
@@ -79,6 +79,20 @@ UNION ALL SELECT 'ir_blocks', ir_block_id FROM ir_blocks, size_limits s WHERE s.
 """
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentence ends of the plain text read from files."""
+    blocks = load(spark, sf_dir, "blocks").where("label = 'plain text' and text_source = 'pdfium'").select(F.lit("blocks").alias("record_table"), F.col("block_id").alias("record_id"), "text")
+    pages = load(spark, sf_dir, "parsed_pages").where("parse_route = 'pdfium_layout'").select(F.lit("parsed_pages").alias("record_table"), F.col("page_uid").alias("record_id"), F.col("native_text").alias("text"))
+    return sentences.split_sentences(blocks.unionByName(pages)).select("record_table", "record_id", "end_offset")
+
+
+def p6_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences of every block and page."""
+    blocks = load(spark, sf_dir, "blocks").select(F.lit("blocks").alias("record_table"), F.col("block_id").alias("record_id"), "text")
+    pages = load(spark, sf_dir, "parsed_pages").select(F.lit("parsed_pages").alias("record_table"), F.col("page_uid").alias("record_id"), F.col("native_text").alias("text"))
+    return sentences.split_sentences(blocks.unionByName(pages))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode_corpus(load(spark, sf_dir, "documents"))
 
@@ -127,7 +141,7 @@ def p9_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The first of each problem's names does the whole job, where there is no pN_found."""
-    fs = [p1_quantiles, p1_months, p1_rank_check, p3_found, p3_clean, p4_found, p5_found, p5_pieces, p7_ids, p8_containers, p8_report, p9_found, p9_languages]
+    fs = [p1_quantiles, p1_months, p1_rank_check, p3_found, p3_clean, p4_found, p5_found, p5_pieces, p6_found, p6_sentences, p7_ids, p8_containers, p8_report, p9_found, p9_languages]
     return {f.__name__: f for f in fs}
 
 
