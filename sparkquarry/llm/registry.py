@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkquarry.llm import digest, langid, markup, pack, pairs, sentences, split, tokenize
+from sparkquarry.llm import digest, langid, markup, pack, pairs, scans, sentences, split, tokenize
 from sparkquarry.sources import load
 
 
@@ -113,6 +113,19 @@ def _languages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, s
     return documents, codes, langid.fit(documents, codes)
 
 
+def _scans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    pages = load(spark, sf_dir, "parsed_pages").select("page_uid", "document_id", "page", "parse_route", "native_text")
+    return pages, load(spark, sf_dir, "ocr_texts"), load(spark, sf_dir, "native_glyphs")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.scan_defects(*_scans(spark, sf_dir))
+
+
+def p2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.repaired_paragraphs(*_scans(spark, sf_dir))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each kind of markup that the cleaner met in a record."""
     return p3_clean(spark, sf_dir).select("record_table", "record_id", F.explode("markup").alias("markup"))
@@ -141,7 +154,7 @@ def p9_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The first of each problem's names does the whole job, where there is no pN_found."""
-    fs = [p1_quantiles, p1_months, p1_rank_check, p3_found, p3_clean, p4_found, p5_found, p5_pieces, p6_found, p6_sentences, p7_ids, p8_containers, p8_report, p9_found, p9_languages]
+    fs = [p1_quantiles, p1_months, p1_rank_check, p2_found, p2_paragraphs, p3_found, p3_clean, p4_found, p5_found, p5_pieces, p6_found, p6_sentences, p7_ids, p8_containers, p8_report, p9_found, p9_languages]
     return {f.__name__: f for f in fs}
 
 
