@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkquarry.llm.frames import integer_columns, integers
 from sparkquarry.llm.tokenize import blocks
 from sparkquarry.session import checkpoint
 from sparkquarry.sources import spread
@@ -246,6 +247,7 @@ def assign(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     keep = keep or []
     src = spread(df.select(F.col(id_col), *keep, F.col(text_col).cast("string").alias("_text")), id_col)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.drop("_text").schema)
+    whole = integer_columns(src.schema)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -256,7 +258,7 @@ def assign(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 found = segments(m, texts)
                 rows = np.repeat(np.arange(at, at + len(texts)), [len(s) for s in found])
                 flat = [(no, len(s), a, b - 1, m.langs[k], p) for s in found for no, (a, b, k, p) in enumerate(s)]
-                part = pdf.drop(columns="_text").iloc[rows].reset_index(drop=True)
+                part = integers(pdf.drop(columns="_text").iloc[rows].reset_index(drop=True), *whole)
                 yield pd.concat([part, pd.DataFrame(flat, columns=["segment_no", "n_segments", "first_line", "last_line", "lang", "confidence"])], axis=1)
                 at += len(texts)
 

@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from sparkquarry.llm.frames import integer_columns, integers
 from sparkquarry.llm.langid import Model, is_prose, letters_of
 from sparkquarry.sources import spread
 
@@ -288,7 +289,7 @@ def flag_pairs(df: DataFrame, model: Model, id_col: str = "result_id", question_
     """
     src = df.select(df[id_col], df[question_col].cast("string").alias("_q"), df[answer_col].cast("string").alias("_a"))
     src = spread(src, id_col)
-    kind = src.schema[0].dataType.simpleString()
+    kind, whole = src.schema[0].dataType.simpleString(), integer_columns(src.schema[:1])
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -296,6 +297,6 @@ def flag_pairs(df: DataFrame, model: Model, id_col: str = "result_id", question_
             for part in (pdf.iloc[k : k + 1000] for k in range(0, len(pdf), 1000)):
                 found = defects(shared.value, part["_q"].tolist(), part["_a"].tolist())
                 keep = np.array([d is not None for d in found], bool)
-                yield pd.DataFrame({id_col: part[id_col][keep].reset_index(drop=True), "defect": [d for d in found if d]})
+                yield integers(pd.DataFrame({id_col: part[id_col][keep].reset_index(drop=True), "defect": [d for d in found if d]}), *whole)
 
     return src.mapInPandas(run, f"`{id_col}` {kind}, defect string").distinct()

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkquarry.llm.frames import integers
 from sparkquarry.sources import spread
 
 #: The strengths of boundaries, by index.
@@ -131,7 +132,7 @@ def split_items(items: DataFrame) -> DataFrame:
             for table, rid, text, limit, overlap in pdf.itertuples(index=False):
                 for no, (a, b, s) in enumerate(cut(text, int(limit), int(overlap))):
                     rows.append((table, rid, no, a, b, BOUNDARIES[s], text[a:b]))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _SCHEMA.split(", ")])
+            yield integers(pd.DataFrame(rows, columns=[c.split()[0] for c in _SCHEMA.split(", ")]), "record_id")
 
     long = items.where(length > F.col("max_chars")).withColumn("overlap_chars", F.coalesce("overlap_chars", F.lit(0)))
     return short.unionByName(spread(long, "record_id").mapInPandas(run, _SCHEMA))
