@@ -297,6 +297,6 @@ def flag_pairs(df: DataFrame, model: Model, id_col: str = "result_id", question_
             for part in (pdf.iloc[k : k + 1000] for k in range(0, len(pdf), 1000)):
                 found = defects(shared.value, part["_q"].tolist(), part["_a"].tolist())
                 keep = np.array([d is not None for d in found], bool)
-                yield integers(pd.DataFrame({id_col: part[id_col][keep].reset_index(drop=True), "defect": [d for d in found if d]}), *whole)
+                yield integers(pd.DataFrame({id_col: part[id_col][keep].reset_index(drop=True), "defect": pd.Series([d for d in found if d], dtype=object)}), *whole)
 
     return src.mapInPandas(run, f"`{id_col}` {kind}, defect string").distinct()
