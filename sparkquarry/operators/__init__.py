@@ -1 +1 @@
-
+"""Relational operators. Each takes and returns DataFrames and leaves the physical plan to Catalyst."""
