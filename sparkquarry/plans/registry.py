@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkquarry.plans import functions_q
+from sparkquarry.plans import functions_q, retrieval_q
 
-MODULES = [functions_q]
+MODULES = [functions_q, retrieval_q]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["f05_retrieval_profile"](spark, sf_dir)
+    return queries()["a05_j3_w3_w4_rrf"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
