@@ -63,7 +63,7 @@ def admit(units: DataFrame, share: float = 0.5, neighbour: float = 0.35, most: i
     u = u.where(F.col("core") | (F.col("beside") & (F.col("score") >= F.greatest(F.lit(0.1), F.col("best") * neighbour))))
     u = u.withColumn("n", F.row_number().over(w.orderBy(F.desc("score"), "chunk_rank", "unit_index"))).where(F.col("n") <= most)
     packed = u.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("n", "size", "chunk_rank", "unit_index", "score"))).alias("us"))
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<int>").alias("taken"))
+    start = F.named_struct(F.lit("used"), F.lit(0).cast("bigint"), F.lit("taken"), F.array().cast("array<int>"))
     fits = lambda a, x: (F.size(a["taken"]) == 0) | (a["used"] + x["size"] <= budget)
-    state = F.aggregate("us", start, lambda a, x: F.when(fits(a, x), F.struct((a["used"] + x["size"]).cast("bigint").alias("used"), F.array_append(a["taken"], x["n"]).alias("taken"))).otherwise(a))
+    state = F.aggregate("us", start, lambda a, x: F.when(fits(a, x), F.named_struct(F.lit("used"), a["used"] + x["size"], F.lit("taken"), F.array_append(a["taken"], x["n"]))).otherwise(a))
     return packed.select("query_id", F.explode("us").alias("u"), state["taken"].alias("taken")).where(F.array_contains("taken", F.col("u.n"))).select("query_id", "u.chunk_rank", "u.unit_index", "u.score", "u.n")
