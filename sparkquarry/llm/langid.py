@@ -35,10 +35,10 @@ CHANGE = 18.0
 CLIP = 7.0
 
 _QUOTED = re.compile(r"[\"“„«「『‘][^\"“”„«»「」『』‘’\n]{1,160}[\"”“»」』’]")
-#: ASCII runs with digits or signs of code: names, settings, addresses, options.
-_CODE = re.compile(r"[!-~]*[0-9_=/\\|<>{}$@#~^`][!-~]*|(?<![!-~])--?[a-z][!-~]*")
+#: ASCII runs with digits or signs of code: names, settings, addresses, options, files.
+_CODE = re.compile(r"[!-~]*[0-9_=/\\|<>{}$@#~^`][!-~]*|(?<![!-~])--?[a-z][!-~]*|[!-~]*[a-z]\.[a-z]{2,4}(?![!-~])")
 _UNSPACED = re.compile(r"[฀-๿぀-ヿ㐀-鿿가-힯豈-﫿]")
-_NOT_PROSE = re.compile(r"^\s*(?:\$ |\[[\w.-]+\]\s*$|[\w.-]+\s*=|\d{4}-\d\d-\d\d[T ]\d\d:|\[\d+:\d+)")
+_NOT_PROSE = re.compile(r"^\s*(?:\$ |\[[\w.-]+\]\s*$|[\w.-]+\s*=\s*\S*\s*$|\d{4}-\d\d-\d\d[T ]\d\d:|\[\d+:\d+)")
 
 
 @cache

@@ -199,6 +199,8 @@ def open_at_end(text: str) -> tuple[list[str], bool]:
     return stack, closed_code
 
 
+#: Two words in a row; signs of commands and settings, which need no end mark.
+_PLAIN, _CODE_SIGN = re.compile(r"[^\W\d_]{2,} [^\W\d_]{2,}"), re.compile(r"--|[=/|\\_`]")
 _THAI = re.compile(r"[฀-๿]")
 
 
@@ -218,7 +220,7 @@ def is_truncated(answer: str) -> bool:
         return False
     if re.search(r"[,;，；、（(]$", last):
         return True
-    return is_prose(last) and len(_THAI.findall(last)) * 2 < len(last)
+    return (is_prose(last) or _PLAIN.search(last) is not None and _CODE_SIGN.search(last) is None) and len(_THAI.findall(last)) * 2 < len(last)
 
 
 _SCRIPTS = [
@@ -235,6 +237,8 @@ def script_of(letters: str) -> str | None:
     if n["kana"] * 10 >= n["kana"] + n["han"] and n["kana"]:
         n["kana"] += n["han"]
         n["han"] = 0
+    for name in ("kana", "han", "hangul"):
+        n[name] *= 3  # a character says what takes a few letters
     best = max(n, key=n.__getitem__)
     return best if n[best] else None
 
@@ -245,7 +249,7 @@ def spoken(text: str) -> str:
 
 
 #: How much likelier two languages must be than any one for both texts, in units of log likelihood.
-MARGIN = 22.0
+MARGIN = 11.0
 
 
 def defects(model: Model, questions: list[str | None], answers: list[str | None]) -> list[str | None]:
@@ -276,7 +280,7 @@ def defects(model: Model, questions: list[str | None], answers: list[str | None]
                 continue
             if a != b:
                 out[i] = "other_language"
-            elif n_q[k] and n_a[k] and s_q[k].max() + s_a[k].max() - (s_q[k] + s_a[k]).max() > MARGIN:
+            elif a != "han" and n_q[k] and n_a[k] and s_q[k].max() + s_a[k].max() - (s_q[k] + s_a[k]).max() > MARGIN:
                 out[i] = "other_language"
     return out
 
