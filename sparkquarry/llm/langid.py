@@ -38,6 +38,7 @@ _QUOTED = re.compile(r"[\"“„«「『‘][^\"“”„«»「」『』‘’\
 #: ASCII runs with digits or signs of code: names, settings, addresses, options, files.
 _CODE = re.compile(r"[!-~]*[0-9_=/\\|<>{}$@#~^`][!-~]*|(?<![!-~])--?[a-z][!-~]*|[!-~]*[a-z]\.[a-z]{2,4}(?![!-~])")
 _UNSPACED = re.compile(r"[฀-๿぀-ヿ㐀-鿿가-힯豈-﫿]")
+_ASCII_LETTER, _ASCII_WORD = re.compile(r"[A-Za-z]"), re.compile(r"[A-Za-z][A-Za-z'’]*")
 _NOT_PROSE = re.compile(r"^\s*(?:\$ |\[[\w.-]+\]\s*$|[\w.-]+\s*=\s*\S*\s*$|\d{4}-\d\d-\d\d[T ]\d\d:|\[\d+:\d+)")
 
 
@@ -72,6 +73,11 @@ def letters_of(line: str) -> str:
     rest = _QUOTED.sub(" ", bare)
     if sum(map(str.isalpha, rest)) >= 8:
         bare = rest
+    if not bare.isascii() and (dense := len(_UNSPACED.findall(bare))):
+        # of two kinds of script in a line, the one that says more
+        latin = len(_ASCII_LETTER.findall(bare))
+        if latin:
+            bare = (_ASCII_WORD if dense * 3 >= latin else _UNSPACED).sub(" ", bare)
     bare = gaps.sub(" ", bare).strip()
     return f" {bare.lower()} " if bare else ""
 
