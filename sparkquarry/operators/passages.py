@@ -1,0 +1,243 @@
+"""Passages of chunks: sections, evidence units, windows around the best line, and budgets."""
+
+from __future__ import annotations
+
+import json
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from sparkquarry.functions.text import heading_terms
+
+UNIT_KINDS = ["sentence", "code", "table", "table_row", "json_table_row", "list_item"]
+
+
+def best_sections(sections: DataFrame, queries: DataFrame, least: int = 8) -> DataFrame:
+    """``query_id, doc, heading, score`` of each document's best section for each query.
+
+    8 for each query term in the heading, 1 for each in the body up to 6; of equals the deepest, then the first. Only
+    documents of two sections or more, and scores of ``least`` or more. ``sections``: doc, heading, level, first_line, body.
+    """
+    w = Window.partitionBy("doc")
+    many = sections.withColumn("_n", F.count("*").over(w)).where("_n >= 2").select("doc", "heading", "level", "first_line", F.lower("heading").alias("h"), F.lower("body").alias("b"))
+    q = queries.select("query_id", heading_terms(F.col("query")).alias("terms")).where(F.size("terms") > 0)
+    count = lambda c: F.size(F.filter("terms", lambda t: F.contains(F.col(c), t)))
+    # only pairs that share a term can reach the threshold, so terms are joined to headings' terms first
+    share = q.select("query_id", F.explode("terms").alias("t")).join(many.select("doc", "first_line", F.explode(heading_terms(F.col("h"))).alias("t")), "t").select("query_id", "doc", "first_line").distinct()
+    scored = share.join(many, ["doc", "first_line"]).join(q, "query_id").withColumn("score", 8 * count("h") + F.least(count("b"), F.lit(6)))
+    best = scored.where(F.col("score") >= least).groupBy("query_id", "doc").agg(F.max(F.struct("score", "level", (-F.col("first_line")).alias("at"), "heading")).alias("m"))
+    return best.select("query_id", "doc", "m.heading", "m.score")
+
+
+def _units(text: str) -> Iterator[tuple[str, str, int, int, str, str]]:
+    """kind, text, start, end, headings over it, header of its table."""
+    path: list[tuple[int, str]] = []
+    lines, at = [], 0
+    for line in text.split("\n"):
+        lines.append((line, at))
+        at += len(line) + 1
+    i = 0
+    while i < len(lines):
+        line, start = lines[i]
+        bare = line.strip()
+        where = " > ".join(t for _, t in path)
+        if not bare:
+            i += 1
+        elif m := re.match(r"(#{1,6})\s+(.+?)\s*#*\s*$", bare):
+            path = [p for p in path if p[0] < len(m[1])] + [(len(m[1]), m[2])]
+            i += 1
+        elif m := re.match(r"(```|~~~)", bare):
+            j = next((j for j in range(i + 1, len(lines)) if lines[j][0].strip().startswith(m[1])), len(lines) - 1)
+            end = lines[j][1] + len(lines[j][0])
+            yield "code", text[start:end], start, end, where, ""
+            i = j + 1
+        elif re.match(r"(?i)<table", bare):
+            close = re.search(r"(?i)</table\s*>", text[start:])
+            end = start + close.end() if close else len(text)
+            inner = text[start:end]
+            try:
+                rows = json.loads(re.sub(r"(?is)^<table[^>]*>|</table\s*>$", "", inner))
+            except ValueError:
+                rows = None
+            if isinstance(rows, list):
+                for r in rows:
+                    yield "json_table_row", json.dumps(r, ensure_ascii=False), start, end, where, json.dumps(rows[0], ensure_ascii=False)
+            else:
+                yield "table", inner, start, end, where, ""
+            while i < len(lines) and lines[i][1] < end:
+                i += 1
+        elif re.match(r"\|.*\|$", bare):
+            j = i
+            while j < len(lines) and re.match(r"\s*\|.*\|\s*$", lines[j][0]):
+                j += 1
+            body = [k for k in range(i + 1, j) if not re.match(r"\s*\|[\s:|-]+\|\s*$", lines[k][0])]
+            for k in body or [i]:
+                yield "table_row", lines[k][0].strip(), lines[k][1], lines[k][1] + len(lines[k][0]), where, bare
+            i = j
+        elif re.match(r"(?:[-*+]|\d{1,3}[.)])\s+\S", bare):
+            j = i + 1
+            while j < len(lines) and lines[j][0].strip() and re.match(r"\s{2,}\S", lines[j][0]) and not re.match(r"\s*(?:[-*+]|\d{1,3}[.)])\s", lines[j][0]):
+                j += 1
+            end = lines[j - 1][1] + len(lines[j - 1][0])
+            yield "list_item", text[start:end].strip(), start, end, where, ""
+            i = j
+        else:
+            j = i + 1
+            while j < len(lines) and lines[j][0].strip() and not re.match(r"\s*(?:#{1,6}\s|```|~~~|\||(?i:<table)|(?:[-*+]|\d{1,3}[.)])\s+\S)", lines[j][0]):
+                j += 1
+            end = lines[j - 1][1] + len(lines[j - 1][0])
+            cuts = [m.end() + start for m in re.finditer(r"[。！？；!?]|(?<=[A-Za-z0-9])[.!?](?=\s)", text[start:end])]
+            parts = [p for p in zip([start, *cuts], [*cuts, end]) if text[p[0] : p[1]].strip()]
+            if len(parts) > 1 and any(len(text[a:b].strip()) < 12 for a, b in parts):
+                parts = [(start, end)]
+            for a, b in parts:
+                yield "sentence", text[a:b].strip(), a, b, where, ""
+            i = j
+
+
+def evidence_units(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content") -> DataFrame:
+    """``id_col, unit_index, kind, text, start, end, section, header``: the smallest pieces of a chunk that can be quoted. Null texts have none."""
+    kind = chunks.schema[id_col].dataType.simpleString()
+    names = [id_col, "unit_index", "kind", "text", "start", "end", "section", "header"]
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            yield pd.DataFrame([(c, n, k, t, a, b, s, h) for c, text in zip(pdf[id_col], pdf[text_col]) for n, (k, t, a, b, s, h) in enumerate(_units(text))], columns=names)
+
+    return chunks.select(id_col, text_col).where(F.col(text_col).isNotNull()).mapInPandas(run, f"`{id_col}` {kind}, unit_index int, kind string, text string, start int, `end` int, section string, header string")
+
+
+def reconstruct(units: DataFrame, id_col: str = "chunk_id") -> DataFrame:
+    """``id_col, text``: units in their order, each heading path and table header written once."""
+    w = Window.partitionBy(id_col).orderBy("unit_index")
+    new = lambda c: (F.col(c) != "") & ~F.col(c).eqNullSafe(F.lag(c).over(w))
+    line = F.concat(F.when(new("section"), F.concat(F.lit("# "), F.col("section"), F.lit("\n"))).otherwise(""), F.when(new("header"), F.concat("header", F.lit("\n"))).otherwise(""), F.col("text"))
+    return units.withColumn("_l", line).groupBy(id_col).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("unit_index", "_l"))), lambda x: x["_l"]), "\n").alias("text"))
+
+
+def _terms(s: str) -> set[str]:
+    return set(re.findall(r"[a-z0-9]+(?:[._/:+-][a-z0-9]+)*|[㐀-鿿]{2}", s.lower()))
+
+
+@F.pandas_udf(T.StringType())
+def passage_window(content: pd.Series, query: pd.Series, most: pd.Series) -> pd.Series:
+    """The lines around the best one (with most of the query's terms, the first of equals), and the heading over it, as far as they fit."""
+    out = []
+    for text, q, limit in zip(content, query, most):
+        if text is None or len(text) <= limit:
+            out.append(text)
+            continue
+        lines, wanted = text.split("\n"), _terms(q or "")
+        scores = [len(wanted & _terms(x)) for x in lines]
+        best = int(np.argmax(scores))
+        a = b = best
+        size = len(lines[best])
+        head = next((k for k in range(best - 1, -1, -1) if re.match(r"\s{0,3}#{1,6}\s", lines[k])), None)
+        top = ""
+        if head is not None and size + len(lines[head]) + 1 <= limit:
+            top, size = lines[head] + "\n", size + len(lines[head]) + 1
+        forward = True
+        stuck = 0
+        while stuck < 2:
+            k = b + 1 if forward else a - 1
+            if 0 <= k < len(lines) and k != head and size + len(lines[k]) + 1 <= limit:
+                size, a, b, stuck = size + len(lines[k]) + 1, min(a, k), max(b, k), 0
+            else:
+                stuck += 1
+            forward = not forward
+        out.append((top + "\n".join(lines[a : b + 1]))[: int(limit)])
+    return pd.Series(out, dtype=object)
+
+
+@F.pandas_udf(T.StringType())
+def fit_tokens(content: pd.Series, budget: pd.Series) -> pd.Series:
+    """The longest beginning whose estimate (1 for other characters, a quarter for ASCII) is within the budget."""
+    out = []
+    for text, n in zip(content, budget):
+        if text is None:
+            out.append(None)
+            continue
+        c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        out.append(text[: int(np.searchsorted(np.cumsum(np.where(c < 128, 0.25, 1.0)), n + 1e-9, "right"))])
+    return pd.Series(out, dtype=object)
+
+
+class FooterFilter:
+    """Takes an answer's parts as they come and gives them on without a list of references, holding back what may be its title."""
+
+    TITLE = re.compile(r"(?:^|\n)[ \t]*(?:#{1,6}[ \t]*)?(?:references|参考资料|参考文献)[ \t]*[:：]?[ \t]*(?:\n|\[)", re.I)
+    HOLD = 40
+
+    def __init__(self):
+        self.held, self.closed = "", False
+
+    def feed(self, part: str) -> str:
+        if self.closed:
+            return ""
+        self.held += part
+        if m := self.TITLE.search(self.held):
+            self.closed = True
+            out, self.held = self.held[: m.start()].rstrip(), ""
+            return out
+        # white space at the cut may precede a title, so it stays
+        cut = len(self.held[: max(0, len(self.held) - self.HOLD)].rstrip())
+        out, self.held = self.held[:cut], self.held[cut:]
+        return out
+
+    def end(self) -> str:
+        out = "" if self.closed else self.held.rstrip()
+        self.held = ""
+        return out
+
+
+def heading_levels(titles: DataFrame) -> DataFrame:
+    """``document, at, level`` of headings (document, at, text): the first 0; as deep as one of its list style before; numbers by their depth up to 6; below one that ends in a colon one deeper; else 1. One document at a time."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        levels, styles = [], {}
+        previous = ""
+        for n, text in enumerate(pdf.sort_values("at")["text"].fillna("")):
+            m = re.match(r"\s*(\d+(?:\.\d+)*)[.)]?\s", text)
+            style = "decimal" if m and "." in m[1] else "number" if m else "letter" if re.match(r"\s*[A-Za-z][.)]\s", text) else ""
+            if n == 0:
+                level = 0
+            elif style == "decimal":
+                level = min(6, m[1].count(".") + 1)
+            elif style and style in styles:
+                level = styles[style]
+            elif previous.rstrip().endswith((":", "：")):
+                level = min(6, levels[-1] + 1)
+            else:
+                level = 1
+            if style:
+                styles.setdefault(style, level)
+            levels.append(level)
+            previous = text
+        return pd.DataFrame({"document": pdf["document"].iloc[0], "at": pdf.sort_values("at")["at"].to_numpy(), "level": levels})
+
+    return titles.select("document", F.col("at").cast("bigint").alias("at"), "text").groupBy("document").applyInPandas(one, "document string, at bigint, level int")
+
+
+def evidence_contract(query, content):
+    """What kind of evidence a question asks for, and whether a passage has it: two named things for a comparison, a command line for a command, steps for a procedure."""
+    q = F.lower(query)
+    kind = F.when(q.rlike("对比|区别|差异|比较|compare|difference|versus| vs"), "comparison").when(q.rlike("命令|command|cli"), "command").when(q.rlike("步骤|流程|如何|怎么|steps|how to|how is"), "procedure").otherwise("general")
+    ok = (
+        F.when(kind == "comparison", F.regexp_count(content, F.lit(r"[A-Z][A-Za-z0-9_-]+")) >= 2).when(kind == "command", content.rlike(r"(?m)^\s*[$#]\s|```|--[a-z]"))
+        .when(kind == "procedure", F.regexp_count(content, F.lit(r"(?m)^\s*(?:\d+[.)]|[-*])\s")) >= 2).otherwise(F.char_length(F.trim(content)) > 0)
+    )
+    return kind, F.when(F.coalesce(ok, F.lit(False)), "pass").otherwise("needs_retrieval")
+
+
+def progressing_pages(pages: DataFrame) -> DataFrame:
+    """Pages (chunk, page_no, key) up to the first that brings no new key: ``chunk, page_no, new_keys, kept``."""
+    first = pages.groupBy("chunk", "key").agg(F.min("page_no").alias("page_no"))
+    new = first.groupBy("chunk", "page_no").agg(F.count("*").alias("new_keys"))
+    every = pages.select("chunk", "page_no").distinct().join(new, ["chunk", "page_no"], "left").fillna(0, ["new_keys"])
+    w = Window.partitionBy("chunk").orderBy("page_no").rowsBetween(Window.unboundedPreceding, 0)
+    return every.withColumn("kept", F.min("new_keys").over(w) > 0)

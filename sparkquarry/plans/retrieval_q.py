@@ -109,13 +109,13 @@ def _(s, d):
 
 
 def _dense(s, d):
-    """A second ranking to fuse: the newest chunks of each language that share the question's hundred."""
-    q, c = C.questions(s, d), C.chunks(s, d)
-    pairs = q.join(c.withColumn("bucket", F.col("chunk_id") % 10), (F.col("query_id") / 100 % 10).cast("bigint") == F.col("bucket"))
+    """A second ranking to fuse, in place of a vector index over texts: the twelve chunks numbered from the question's id on, in the order of a hash."""
+    q = C.questions(s, d).select("query_id", F.explode(F.sequence("query_id", F.col("query_id") + 11)).alias("chunk_id"))
+    pairs = q.join(C.chunks(s, d).select("chunk_id"), "chunk_id")
     return lexical.top_k(pairs.select("query_id", "chunk_id"), 12, ["query_id"], F.desc(F.md5(F.concat_ws("-", "query_id", "chunk_id").cast("binary"))))
 
 
-DENSE_SQL = f"SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY md5(query_id || '-' || chunk_id) DESC) AS rank FROM ({C.QUESTIONS_SQL}) q JOIN ({C.CHUNKS_SQL}) c ON CAST(floor(query_id / 100 % 10) AS BIGINT) = chunk_id % 10 QUALIFY rank <= 12"
+DENSE_SQL = f"SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY md5(query_id || '-' || chunk_id) DESC) AS rank FROM ({C.QUESTIONS_SQL}) q JOIN ({C.CHUNKS_SQL}) c ON chunk_id BETWEEN query_id AND query_id + 11 QUALIFY rank <= 12"
 FUSED_SQL = f"""{BM25_CTE}, den AS ({DENSE_SQL}), w AS (SELECT query_id, CASE profile WHEN 'table' THEN 0.85 WHEN 'exact' THEN 0.75 WHEN 'semantic' THEN 1.5 WHEN 'document_fact' THEN 1.5 ELSE 1.0 END AS wv, CASE profile WHEN 'table' THEN 2.75 WHEN 'exact' THEN 2.5 WHEN 'semantic' THEN 1.0 ELSE 1.5 END AS wl, profile FROM (SELECT query_id, {PROFILE_SQL} AS profile FROM ({C.QUESTIONS_SQL}))),
 fu AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT query_id, chunk_id, d.rank AS vector_rank, l.rank AS lexical_rank, coalesce(wv / (60.0 + d.rank), 0) + coalesce(wl / (60.0 + l.rank), 0) AS score FROM den d FULL JOIN (SELECT * FROM lex WHERE rank <= 12) l USING (query_id, chunk_id) JOIN w USING (query_id)) QUALIFY rank <= 12)"""
 

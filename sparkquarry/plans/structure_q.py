@@ -233,16 +233,15 @@ def _(s, d):
     return g.select("page_uid", F.md5(F.concat(F.lit("## Page "), F.col("page").cast("string"), F.array_join(F.transform("xs", lambda x: x["t"]), "")).cast("binary")).alias("digest"))
 
 
-_PAIR = "(SELECT result_id AS query_id, any_value(question) AS query FROM eval_results WHERE result_id % 100 = 0 AND question IS NOT NULL GROUP BY result_id) q JOIN (SELECT doc_id, text FROM documents WHERE length(text) > 0) c ON CAST(floor(q.query_id / 100) AS BIGINT) % 10 = c.doc_id % 10"
+_PAIR = "(SELECT result_id AS query_id, any_value(question) AS query FROM eval_results WHERE result_id % 100 = 0 AND question IS NOT NULL GROUP BY result_id) q JOIN (SELECT doc_id, text FROM documents WHERE length(text) > 0) c ON c.doc_id BETWEEN q.query_id AND q.query_id + 11"
 _UNITS = rf"""u AS (SELECT query_id, doc_id AS chunk_rank, i - 1 AS unit_index, query, l[i] AS line FROM (SELECT query_id, doc_id, query, string_split(text, chr(10)) AS l FROM {_PAIR}), unnest(range(1, len(l) + 1)) t(i) WHERE trim(l[i], ' ') <> ''),
 x AS (SELECT *, 12 * len(list_filter(list_distinct(regexp_extract_all(lower(query), '[a-z][a-z0-9]*(?:[._/:+-][a-z0-9]+)+')), lambda t: contains(lower(line), t))) + 3 * len(list_filter(list_distinct(regexp_extract_all(lower(query), '[a-z][a-z0-9_-]+')), lambda t: contains(lower(line), t)))
  + len(list_filter({bigrams("array_to_string(regexp_extract_all(query, '[\\x{3400}-\\x{9fff}]'), '')")}, lambda t: contains(lower(line), t))) AS direct FROM u)"""
 
 
 def units(s, d):
-    q = C.questions(s, d)
-    c = C.chunks(s, d)
-    pairs = q.join(c, F.floor(F.col("query_id") / 100) % 10 == F.col("chunk_id") % 10)
+    q = C.questions(s, d).withColumn("chunk_id", F.explode(F.sequence("query_id", F.col("query_id") + 11)))
+    pairs = q.join(C.chunks(s, d), "chunk_id")
     u = pairs.select("query_id", F.col("chunk_id").alias("chunk_rank"), "query", F.posexplode(F.split("content", "\n")).alias("unit_index", "line")).where("trim(line) <> ''")
     return u.withColumn("direct", evidence.unit_score(F.col("query"), F.col("line"), F.lit(False)))
 
