@@ -15,6 +15,8 @@ from pyspark.sql.types import LongType
 # Patterns of terms and identifiers.
 TERM = r"[A-Za-z0-9]+(?:[._/:+-][A-Za-z0-9]+)*|[\x{3400}-\x{9fff}]+"
 SEPARATORS = r"[._/:+-]+"
+#: Terms from here on are runs of ideographs; all others are ASCII.
+FIRST_IDEOGRAPH = "\u3400"
 COMPOSITE = r"[A-Za-z][A-Za-z0-9]*(?:[._/:+-][A-Za-z0-9]+)+"
 VERSION = r"v?[0-9]+(?:\.[0-9]+)+(?:[_-][A-Za-z0-9]+)*"
 FLAG = r"(?:^|[^\w-])(--?[A-Za-z][A-Za-z0-9-]*)"
@@ -49,18 +51,25 @@ def terms(c: Column) -> Column:
     """Index terms with repeats: of a run of ideographs every character and bigram, of another term itself, its parts, and its compact form if that has a digit and differs. Null gives null."""
 
     def expand(t: Column) -> Column:
+        # with a separator there are parts, and the compact form differs; without there are neither
         characters = F.transform(F.sequence(F.lit(1), F.char_length(t)), lambda i: F.substring(t, i, F.lit(1)))
-        parts, compact = F.split(t, SEPARATORS), compact_identifier(t)
-        none = F.array().cast("array<string>")
-        ascii_forms = F.concat(F.array(t), F.when(F.size(parts) > 1, parts).otherwise(none), F.when(compact.rlike("[0-9]") & (compact != t), F.array(compact)).otherwise(none))
-        return F.when(t.rlike(r"^[\x{3400}-\x{9fff}]"), F.concat(characters, _bigrams(t))).otherwise(ascii_forms)
+        compact = F.when(t.rlike("[0-9]"), F.array(F.translate(t, "._/:+-", ""))).otherwise(F.array().cast("array<string>"))
+        split = F.concat(F.array(t), F.split(t, SEPARATORS), compact)
+        return F.when(t >= FIRST_IDEOGRAPH, F.concat(characters, _bigrams(t))).otherwise(F.when(t.rlike("[._/:+-]"), split).otherwise(F.array(t)))
 
     return F.flatten(F.transform(_every(TERM, F.lower(c)), expand))
 
 
+def n_terms(c: Column) -> Column:
+    """The number of index terms, without building them."""
+    parts = lambda t: F.char_length(t) - F.char_length(F.translate(t, "._/:+-", ""))
+    of = lambda t: F.when(t >= FIRST_IDEOGRAPH, 2 * F.char_length(t) - 1).otherwise(F.when(parts(t) > 0, 2 + parts(t) + t.rlike("[0-9]").cast("int")).otherwise(1))
+    return F.aggregate(_every(TERM, F.lower(c)), F.lit(0), lambda n, t: n + of(t)).cast("bigint")
+
+
 def passage_terms(c: Column) -> Column:
     """Terms for lines: bigrams of ideographs, other terms whole."""
-    return F.flatten(F.transform(_every(TERM, F.lower(c)), lambda t: F.when(t.rlike(r"^[\x{3400}-\x{9fff}]"), _bigrams(t)).otherwise(F.array(t))))
+    return F.flatten(F.transform(_every(TERM, F.lower(c)), lambda t: F.when(t >= FIRST_IDEOGRAPH, _bigrams(t)).otherwise(F.array(t))))
 
 
 def exact_terms(c: Column) -> Column:

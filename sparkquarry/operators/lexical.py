@@ -26,12 +26,12 @@ def document_frequency(posts: DataFrame) -> DataFrame:
 
 def lengths(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content") -> DataFrame:
     """``id_col, length`` in terms, without shuffling."""
-    return chunks.select(id_col, F.size(T.terms(F.col(text_col))).cast("bigint").alias("length"))
+    return chunks.select(id_col, T.n_terms(F.col(text_col)).alias("length"))
 
 
 def corpus_stats(chunks: DataFrame, text_col: str = "content") -> DataFrame:
     """One row: n, total and avgdl of the chunks, 0 for none."""
-    return chunks.select(F.size(T.terms(F.col(text_col))).cast("bigint").alias("length")).agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("total"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("avgdl"))
+    return chunks.select(T.n_terms(F.col(text_col)).alias("length")).agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("total"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("avgdl"))
 
 
 def top_k(df: DataFrame, k: int, partition: list[str], *order: Column, rank: str = "rank") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkquarry.sources import load
+from sparkquarry.sources import load, spread
 
 #: Every hundredth result's question is a query.
 QUESTIONS_SQL = "SELECT DISTINCT result_id AS query_id, question AS query FROM eval_results WHERE result_id % 100 = 0 AND question IS NOT NULL"
@@ -22,7 +22,9 @@ def all_questions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return load(spark, sf, "documents").where(F.length("text") > 0).select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.col("source").alias("file_path"), "full_doc_id", "chunk_order_index", "content_headings", "updated_at")
+    """Documents as chunks; a scan of few splits is spread, as terms cost far more than moving the rows."""
+    docs = load(spark, sf, "documents").where(F.length("text") > 0).select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.col("source").alias("file_path"), "full_doc_id", "chunk_order_index", "content_headings", "updated_at")
+    return spread(docs, "chunk_id", factor=1)
 
 
 def markdown(spark: SparkSession, sf: str) -> DataFrame:
