@@ -11,13 +11,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkquarry.functions import text as T
+from sparkquarry.session import checkpoint
 
 K1, B, EXACT_BOOST = 1.5, 0.75, 2.0
 
 
+def _exploded(df: DataFrame, terms: Column, *keep: str) -> DataFrame:
+    """A row for each term. ``explode`` alone would have the optimizer test ``size(terms) > 0`` beforehand, and so build the terms twice."""
+    return df.select(*keep, F.explode_outer(terms).alias("term")).where("term is not null")
+
+
 def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content") -> DataFrame:
     """``id_col, term, tf``."""
-    return chunks.select(id_col, F.explode(T.terms(F.col(text_col))).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+    return _exploded(chunks, T.terms(F.col(text_col)), id_col).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
 
 
 def document_frequency(posts: DataFrame) -> DataFrame:
@@ -41,11 +47,11 @@ def top_k(df: DataFrame, k: int, partition: list[str], *order: Column, rank: str
 
 def term_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """``query_id, chunk_id, score`` by BM25 alone. ``chunks``: chunk_id, content; ``queries``: query_id, query."""
-    wanted = queries.select("query_id", F.explode(T.terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    wanted = _exploded(queries, T.terms(F.col("query")), "query_id").groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     needed = wanted.select("term").distinct()
     # one pass over the corpus gives terms with their documents' lengths; only terms that some query has go on
-    tokens = chunks.select("chunk_id", T.terms(F.col("content")).alias("ts")).select("chunk_id", F.size("ts").alias("length"), F.explode("ts").alias("term"))
-    posts = tokens.join(needed, "term", "left_semi").groupBy("chunk_id", "length", "term").agg(F.count("*").alias("tf"))
+    tokens = _exploded(chunks.select("chunk_id", T.terms(F.col("content")).alias("ts")).withColumn("length", F.size("ts")), F.col("ts"), "chunk_id", "length")
+    posts = checkpoint(tokens.join(needed, "term", "left_semi").groupBy("chunk_id", "length", "term").agg(F.count("*").alias("tf")))
     df = posts.groupBy("term").agg(F.count("*").alias("df"))
     stats = corpus_stats(chunks)  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -60,16 +66,19 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int = 12) -> DataFrame:
     Only chunks that share a term with the query can hold one of its exact terms as a term of their own; exact terms inside
     longer words of chunks that share no term are not looked for. Null queries and texts match nothing.
     """
-    scored = term_scores(chunks, queries)
-    exact = queries.select("query_id", T.exact_terms(F.col("query")).alias("exact"))
+    exact = queries.select("query_id", T.exact_terms(F.col("query")).alias("exact")).withColumn("most", EXACT_BOOST * F.size("exact"))
+    scored = checkpoint(term_scores(chunks, queries))
+    # texts are looked at only where the boost can lift a chunk over the k-th score without it
+    kth = top_k(scored, k, ["query_id"], F.desc("score"), F.col("chunk_id")).groupBy("query_id").agg(F.min("score").alias("kth"), F.count("*").alias("n")).where(F.col("n") == k).drop("n")
+    near = scored.join(exact, "query_id").join(kth, "query_id", "left").where(F.col("kth").isNull() | (F.col("score") + F.col("most") >= F.col("kth")))
     hits = F.size(F.filter("exact", lambda t: F.contains(F.col("low"), t)))
-    full = scored.join(exact, "query_id").join(chunks.select("chunk_id", F.lower("content").alias("low")), "chunk_id").select("query_id", "chunk_id", (F.col("score") + EXACT_BOOST * hits).alias("score"))
+    full = near.join(chunks.select("chunk_id", F.lower("content").alias("low")), "chunk_id").select("query_id", "chunk_id", (F.col("score") + EXACT_BOOST * hits).alias("score"))
     return top_k(full.where("score > 0"), k, ["query_id"], F.desc("score"), F.col("chunk_id"))
 
 
 def line_scores(lines: DataFrame, queries: DataFrame, passage: bool = False) -> DataFrame:
     """``query_id, line_id, score``: how many of the query's terms a line has, repeats counted as often as in both. ``lines``: query_id, line_id, line."""
     f = T.passage_terms if passage else T.terms
-    a = lines.select("query_id", "line_id", F.explode(f(F.col("line"))).alias("term")).groupBy("query_id", "line_id", "term").agg(F.count("*").alias("n"))
-    b = queries.select("query_id", F.explode(f(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("m"))
+    a = _exploded(lines, f(F.col("line")), "query_id", "line_id").groupBy("query_id", "line_id", "term").agg(F.count("*").alias("n"))
+    b = _exploded(queries, f(F.col("query")), "query_id").groupBy("query_id", "term").agg(F.count("*").alias("m"))
     return a.join(b, ["query_id", "term"]).groupBy("query_id", "line_id").agg(F.sum(F.least("n", "m")).alias("score"))
