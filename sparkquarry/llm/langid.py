@@ -36,7 +36,7 @@ CLIP = 7.0
 
 _QUOTED = re.compile(r"[\"“„«「『‘][^\"“”„«»「」『』‘’\n]{1,160}[\"”“»」』’]")
 #: ASCII runs with digits or signs of code: names, settings, addresses, options, files.
-_CODE = re.compile(r"[!-~]*[0-9_=/\\|<>{}$@#~^`][!-~]*|(?<![!-~])--?[a-z][!-~]*|[!-~]*[a-z]\.[a-z]{2,4}(?![!-~])")
+_CODE = re.compile(r"(?<![!-~])(?:[!-~]*[0-9_=/\\|<>{}$@#~^`][!-~]*|--?[a-z][!-~]*|[!-~]*[a-z]\.[a-z]{2,4}(?![!-~]))")
 _UNSPACED = re.compile(r"[฀-๿぀-ヿ㐀-鿿가-힯豈-﫿]")
 _ASCII_LETTER, _ASCII_WORD = re.compile(r"[A-Za-z]"), re.compile(r"[A-Za-z][A-Za-z'’]*")
 _NOT_PROSE = re.compile(r"^\s*(?:\$ |\[[\w.-]+\]\s*$|[\w.-]+\s*=\s*\S*\s*$|\d{4}-\d\d-\d\d[T ]\d\d:|\[\d+:\d+)")
@@ -57,11 +57,14 @@ def is_prose(line: str) -> bool:
     if len(_UNSPACED.findall(line)) >= 2:
         return True
     tokens = line.split()
-    word, plain = _letters()[0].fullmatch, 0
+    word, wanted = _letters()[0].fullmatch, len(tokens) // 2
     for t in tokens:
         w = t.strip(".,;:!?()[]«»\"'“”„*#؟،。")
-        plain += len(w) > 1 and not w.isupper() and word(w) is not None
-    return plain * 2 > len(tokens) and plain > 0
+        if len(w) > 1 and not w.isupper() and word(w):
+            wanted -= 1
+            if wanted < 0:
+                return True
+    return False
 
 
 def letters_of(line: str) -> str:
@@ -125,7 +128,7 @@ class Model:
             order = np.argsort(of, kind="stable")
             of, buckets = of[order], buckets[order]
             starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-            out[of[starts]] = np.add.reduceat(self.logp[buckets], starts, axis=0, dtype=np.float64)
+            out[of[starts]] = np.add.reduceat(self.logp[buckets], starts, axis=0)
         return out, np.bincount(of, minlength=len(texts)) if len(of) else np.zeros(len(texts), np.int64)
 
     def confidence(self, scores: np.ndarray, n: int) -> tuple[int, float]:
