@@ -38,6 +38,7 @@ _QUOTED = re.compile(r"[\"“„«「『‘][^\"“”„«»「」『』‘’\
 #: ASCII runs with digits or signs of code: names, settings, addresses, options, files.
 _CODE = re.compile(r"(?<![!-~])(?:[!-~]*[0-9_=/\\|<>{}$@#~^`][!-~]*|--?[a-z][!-~]*|[!-~]*[a-z]\.[a-z]{2,4}(?![!-~]))")
 _UNSPACED = re.compile(r"[฀-๿぀-ヿ㐀-鿿가-힯豈-﫿]")
+_ASCII_GAP = re.compile(r"[^A-Za-z]+")
 _ASCII_LETTER, _ASCII_WORD = re.compile(r"[A-Za-z]"), re.compile(r"[A-Za-z][A-Za-z'’]*")
 _NOT_PROSE = re.compile(r"^\s*(?:\$ |\[[\w.-]+\]\s*$|[\w.-]+\s*=\s*\S*\s*$|\d{4}-\d\d-\d\d[T ]\d\d:|\[\d+:\d+)")
 
@@ -54,13 +55,13 @@ def is_prose(line: str) -> bool:
     """Whether a line has natural language; commands, logs, settings and tables of values have too few plain words."""
     if _NOT_PROSE.match(line):
         return False
-    if len(_UNSPACED.findall(line)) >= 2:
+    if not line.isascii() and len(_UNSPACED.findall(line)) >= 2:
         return True
     tokens = line.split()
     word, wanted = _letters()[0].fullmatch, len(tokens) // 2
     for t in tokens:
         w = t.strip(".,;:!?()[]«»\"'“”„*#؟،。")
-        if len(w) > 1 and not w.isupper() and word(w):
+        if len(w) > 1 and not w.isupper() and (w.isalpha() or word(w)):
             wanted -= 1
             if wanted < 0:
                 return True
@@ -81,7 +82,7 @@ def letters_of(line: str) -> str:
         latin = len(_ASCII_LETTER.findall(bare))
         if latin:
             bare = (_ASCII_WORD if dense * 3 >= latin else _UNSPACED).sub(" ", bare)
-    bare = gaps.sub(" ", bare).strip()
+    bare = (_ASCII_GAP if bare.isascii() else gaps).sub(" ", bare).strip()
     return f" {bare.lower()} " if bare else ""
 
 
