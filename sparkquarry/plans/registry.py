@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkquarry.plans import functions_q, metrics_q, passages_q, retrieval_q, structure_q
+from sparkquarry.plans import functions_q, gates_q, metrics_q, passages_q, retrieval_q, structure_q
 
-MODULES = [retrieval_q, functions_q, structure_q, passages_q, metrics_q]
+MODULES = [retrieval_q, functions_q, structure_q, passages_q, gates_q, metrics_q]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
