@@ -55,7 +55,7 @@ class BestFit:
         else:
             free, items = self.capacity, []
         items.append(item)
-        if free == size and size:  # full
+        if free == size:  # full
             return [items]
         self._keep(free - size, items)
         return [self._take((self.bits & -self.bits).bit_length() - 1)] if self.held > self.most else []
@@ -115,7 +115,7 @@ def pack_items(sizes: DataFrame, specs: DataFrame, id_col: str = "doc_id", size_
     """``spec_id, capacity, bin_id, item_id, part_no, first_token, n_tokens``: each item of ``sizes`` in one bin of each row of ``specs`` (``spec_id, capacity_tokens``).
 
     An item over the capacity is divided: whole capacities fill bins of their own, the rest is an item like others.
-    Items of size 0, null or below lie in some bin and take no space. Null ids are items of their own that share the null id;
+    Items of size 0, null or below take no space; however many they are, they share one bin of each spec and go to no packer. Null ids are items of their own that share the null id;
     repeated ids are separate items. No items give no bins. Specs without a capacity of 1 or more are left out.
     """
     items = sizes.select(F.col(id_col).cast("bigint").alias("item_id"), F.greatest(F.coalesce(F.col(size_col).cast("int"), F.lit(0)), F.lit(0)).alias("size"))
@@ -133,7 +133,8 @@ def pack_items(sizes: DataFrame, specs: DataFrame, id_col: str = "doc_id", size_
     filled = pieces.where(whole).select("spec_id", "capacity", F.concat_ws("-", F.lit("full"), "row", "part_no").alias("bin_id"), "item_id", "part_no", "n_tokens")
     packer = F.pmod(F.xxhash64(F.coalesce("item_id", "row")), F.lit(packers))
     order = ["spec_id", "capacity", "packer", "unit", "item_id", "row"]
-    todo = pieces.where(~whole).select("spec_id", "capacity", packer.alias("packer"), F.lit(None).cast("string").alias("unit"), "item_id", "row", "part_no", "n_tokens")
+    empty = pieces.where("n_tokens = 0").select("spec_id", "capacity", F.lit("empty").alias("bin_id"), "item_id", "part_no", "n_tokens")
+    todo = pieces.where(~whole & (F.col("n_tokens") > 0)).select("spec_id", "capacity", packer.alias("packer"), F.lit(None).cast("string").alias("unit"), "item_id", "row", "part_no", "n_tokens")
     sc = sizes.sparkSession.sparkContext
     level, done = 0, []
     while True:
@@ -148,7 +149,7 @@ def pack_items(sizes: DataFrame, specs: DataFrame, id_col: str = "doc_id", size_
         order = order[:4] + ["item_id", "part_no"]
         todo = packed.where("open").select("spec_id", "capacity", F.expr(f"packer div {FAN_IN}").alias("packer"), F.concat_ws("-", "packer", "bin_no").alias("unit"), "item_id", "part_no", "n_tokens")
         packers, level = -(-packers // FAN_IN), level + 1
-    result = filled
+    result = filled.unionByName(empty)
     for d in done:
         result = result.unionByName(d)
     return result.select("spec_id", "capacity", "bin_id", "item_id", "part_no", (F.col("part_no") * F.col("capacity")).alias("first_token"), "n_tokens")
