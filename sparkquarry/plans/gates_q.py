@@ -96,7 +96,7 @@ def _(s, d):
     b = markdown.blocks(C.markdown(s, d), "document_name", "markdown")
     path = f"{shared_folder(s)}/routed"
     write_routed(b, path)
-    return s.read.parquet(path).groupBy("kind", "reason").agg(F.count("*").alias("n"))
+    return s.read.schema(b.schema).parquet(path).groupBy("kind", "reason").agg(F.count("*").alias("n"))
 
 
 @query("s11_s12_result_lines", "SELECT query_model, count(*) AS n, count(answer) AS answered FROM (SELECT DISTINCT result_id, query_model, answer FROM eval_results) GROUP BY query_model")
