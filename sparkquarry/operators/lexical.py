@@ -76,6 +76,26 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int = 12) -> DataFrame:
     return top_k(full.where("score > 0"), k, ["query_id"], F.desc("score"), F.col("chunk_id"))
 
 
+def cosine(chunks: DataFrame, queries: DataFrame, k: int = 12) -> DataFrame:
+    """``query_id, chunk_id, score, rank``: cosine of vectors over passage terms of all chunks; ties by chunk_id.
+
+    A term weighs 1 + ln(count) in a chunk, and in a query that times ln(1 + n / df); a query's terms that no chunk has are
+    not in its vector. Null queries and texts match nothing.
+    """
+    wanted = _exploded(queries, T.passage_terms(F.col("query")), "query_id").groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    counts = _exploded(chunks, T.passage_terms(F.col("content")), "chunk_id").groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
+    w = counts.select("chunk_id", "term", (1 + F.log("tf")).alias("w"))
+    # lengths are of whole chunks, so terms that no query has go only after them
+    unit = w.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("chunk_id"))))
+    posts = checkpoint(unit.join(wanted.select("term").distinct(), "term", "left_semi"))
+    df = posts.groupBy("term").agg(F.count("*").alias("df"))
+    n = chunks.where("content is not null").agg(F.count("*").alias("n"))  # one row
+    q = wanted.join(df, "term").crossJoin(F.broadcast(n)).select("query_id", "term", ((1 + F.log("qtf")) * F.log(1 + F.col("n") / F.col("df"))).alias("qw"))
+    q = q.withColumn("qw", F.col("qw") / F.sqrt(F.sum(F.col("qw") * F.col("qw")).over(Window.partitionBy("query_id"))))
+    scored = q.join(posts, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("qw") * F.col("w")), 9).alias("score"))
+    return top_k(scored, k, ["query_id"], F.desc("score"), F.col("chunk_id"))
+
+
 def line_scores(lines: DataFrame, queries: DataFrame, passage: bool = False) -> DataFrame:
     """``query_id, line_id, score``: how many of the query's terms a line has, repeats counted as often as in both. ``lines``: query_id, line_id, line."""
     f = T.passage_terms if passage else T.terms

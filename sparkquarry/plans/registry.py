@@ -12,7 +12,7 @@ MODULES = [retrieval_q, functions_q, structure_q, passages_q, gates_q, metrics_q
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["a05_j3_w3_w4_rrf"](spark, sf_dir)
+    return queries()["a05_rrf_all_chunks"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,10 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkquarry.functions import text as T
-from sparkquarry.operators import fusion, lexical, vectors
+from sparkquarry.operators import evidence, fusion, lexical, vectors
 from sparkquarry.plans import common as C
 from sparkquarry.plans.functions_q import PROFILE_SQL
-from sparkquarry.plans.tokens_sql import TERM, terms
+from sparkquarry.plans.tokens_sql import TERM, bigrams, passage_terms, terms
 from sparkquarry.sources import load
 
 Q, S = {}, {}
@@ -205,3 +205,81 @@ def _(s, d):
     docs = load(s, d, "documents").where("text is not null")
     group = F.coalesce(F.concat("full_doc_id", F.lit(":"), T.source_family(F.col("source"))), F.col("full_doc_id"), F.col("doc_id").cast("string"))
     return docs.select("doc_id", F.regexp_extract("source", r"^(.*)\.(kg|text)\.md$", 2).alias("route"), (F.char_length("text") > 2000).alias("truncated"), F.md5(F.substring("text", 1, 2000).cast("binary")).alias("digest"), group.alias("group_id"))
+
+
+# The queries of fusion and gates above take their second list from a range of ids; those below rank all chunks by content.
+COS_CTE = f"""cw AS MATERIALIZED (SELECT chunk_id, term, 1 + ln(count(*)) AS w FROM (SELECT chunk_id, unnest({passage_terms('content')}) AS term FROM ({C.CHUNKS_SQL})) GROUP BY ALL), cn AS (SELECT chunk_id, sqrt(sum(w * w)) AS norm FROM cw GROUP BY chunk_id), cd AS (SELECT term, count(*) AS df FROM cw GROUP BY term),
+cq AS (SELECT query_id, term, (1 + ln(qtf)) * ln(1 + (SELECT count(*) FROM ({C.CHUNKS_SQL})) / df) AS qw FROM (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({passage_terms('query')}) AS term FROM ({C.QUESTIONS_SQL})) GROUP BY ALL) JOIN cd USING (term)), cqn AS (SELECT query_id, sqrt(sum(qw * qw)) AS qnorm FROM cq GROUP BY query_id),
+co AS (SELECT query_id, chunk_id, round(sum(qw * w / norm / qnorm), 9) AS score FROM cq JOIN cqn USING (query_id) JOIN cw USING (term) JOIN cn USING (chunk_id) GROUP BY query_id, chunk_id),
+cos AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM co QUALIFY rank <= 12)"""
+TOP_CTE = f"{BM25_CTE}, top AS (SELECT query_id, chunk_id, rank FROM lex WHERE rank <= 12)"
+WHOLE_SQL = FUSED_SQL.replace(f"den AS ({DENSE_SQL})", f"{COS_CTE}, den AS (SELECT query_id, chunk_id, rank FROM cos)")
+DIRECT_SQL = f"""(12 * len(list_filter(list_distinct(regexp_extract_all(lower(query), '[a-z][a-z0-9]*(?:[._/:+-][a-z0-9]+)+')), lambda t: contains(lower({{0}}), t))) + 3 * len(list_filter(list_distinct(regexp_extract_all(lower(query), '[a-z][a-z0-9_-]+')), lambda t: contains(lower({{0}}), t)))
+ + len(list_filter({bigrams("array_to_string(regexp_extract_all(query, '[\\x{{3400}}-\\x{{9fff}}]'), '')")}, lambda t: contains(lower({{0}}), t))))"""
+
+
+def _cosine(s, d):
+    return lexical.cosine(C.chunks(s, d), C.questions(s, d)).select("query_id", "chunk_id", "rank")
+
+
+def _top(s, d):
+    return lexical.bm25(C.chunks(s, d), C.questions(s, d)).select("query_id", "chunk_id", "rank")
+
+
+@query("w02_text_cosine", f"WITH {COS_CTE} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM cos")
+def _(s, d):
+    return lexical.cosine(C.chunks(s, d), C.questions(s, d)).withColumn("score", F.round("score", 6))
+
+
+@query("a05_rrf_all_chunks", f"WITH {WHOLE_SQL} SELECT query_id, chunk_id, vector_rank, lexical_rank, round(score, 9) AS score, rank FROM fu")
+def fused_whole(s, d):
+    return fusion.fuse(_cosine(s, d), _top(s, d), C.questions(s, d)).withColumn("score", F.round("score", 9))
+
+
+@query("a06_rerank_all_chunks", f"""WITH {WHOLE_SQL}, r AS (SELECT query_id, chunk_id, rank AS retrieval_rank, lexical_rank, row_number() OVER (PARTITION BY query_id ORDER BY {DIRECT_SQL.format('content')} DESC, chunk_id) AS rerank_rank FROM fu JOIN ({C.CHUNKS_SQL}) c USING (chunk_id) JOIN ({C.QUESTIONS_SQL}) USING (query_id)),
+z AS (SELECT r.*, CASE WHEN profile IN ('exact', 'table', 'document_fact', 'relation_fact') THEN 1.0 / (60.0 + rerank_rank) + 0.7 / (60.0 + retrieval_rank) + coalesce(1.5 / (60.0 + lexical_rank), 0) END AS score FROM r JOIN w USING (query_id))
+SELECT query_id, chunk_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, CASE WHEN score IS NULL THEN rerank_rank ELSE retrieval_rank END, chunk_id) AS final_rank FROM z""")
+def _(s, d):
+    r = fused_whole(s, d).select("query_id", "chunk_id", F.col("rank").alias("retrieval_rank"), "lexical_rank").join(C.questions(s, d), "query_id").join(C.chunks(s, d).select("chunk_id", "content"), "chunk_id")
+    r = r.withColumn("_direct", evidence.unit_score(F.col("query"), F.col("content"), F.lit(False))).drop("query", "content")
+    r = r.withColumn("rerank_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("_direct"), "chunk_id")))
+    return fusion.fuse_after_rerank(r, C.questions(s, d)).select("query_id", "chunk_id", F.round("score", 9).alias("score"), "final_rank")
+
+
+@query("w05_protected_all_chunks", S["w05_protected_slot"].replace(f"den AS ({DENSE_SQL})", f"{COS_CTE}, den AS (SELECT query_id, chunk_id, rank FROM cos)"))
+def _(s, d):
+    return fusion.protect(_cosine(s, d), lexical.bm25(C.chunks(s, d), C.questions(s, d), 1).select("query_id", "chunk_id"))
+
+
+@query("w12_round_robin_all_chunks", S["w12_p01_round_robin"].replace(f"den AS ({DENSE_SQL})", f"{COS_CTE}, den AS (SELECT query_id, chunk_id, rank FROM cos)"))
+def _(s, d):
+    return fusion.round_robin(_cosine(s, d), fusion.limit_graph(_top(s, d), "mix"))
+
+
+@query("j04_focused_all_chunks", S["j04_focused_overwrite"].replace(f"den AS ({DENSE_SQL})", f"{TOP_CTE}, den AS (SELECT * FROM top)"))
+def _(s, d):
+    rows = _top(s, d).join(C.chunks(s, d).select("chunk_id", "content"), "chunk_id")
+    focused = rows.where("rank <= 3").select("query_id", "chunk_id", F.substring("content", 1, 100).alias("content"))
+    return fusion.overwrite(rows.select("query_id", "chunk_id", "content"), focused).select("query_id", "chunk_id", F.md5(F.col("content").cast("binary")).alias("digest"), "changed")
+
+
+@query("p04_anchor_all_chunks", S["p04_anchor_gate"].replace(f"den AS ({DENSE_SQL})", f"{TOP_CTE}, den AS (SELECT * FROM top)"))
+def _(s, d):
+    rows = _top(s, d).join(C.chunks(s, d).select("chunk_id", "content"), "chunk_id").join(C.questions(s, d), "query_id")
+    return evidence.anchor_gate(rows).select("query_id", "chunk_id")
+
+
+def scored_units(s, d):
+    """The lines of each question's best chunks: query_id, chunk_rank, chunk_id, unit_index, line, direct."""
+    pairs = _top(s, d).join(C.chunks(s, d).select("chunk_id", "content"), "chunk_id").join(C.questions(s, d), "query_id")
+    u = pairs.select("query_id", F.col("rank").alias("chunk_rank"), "chunk_id", "query", F.posexplode(F.split("content", "\n")).alias("unit_index", "line")).where("trim(line) <> ''")
+    return u.withColumn("direct", evidence.unit_score(F.col("query"), F.col("line"), F.lit(False)))
+
+
+UNITS_SQL = f"""{TOP_CTE}, u AS (SELECT query_id, rank AS chunk_rank, chunk_id, i - 1 AS unit_index, query, l[i] AS line FROM (SELECT query_id, rank, chunk_id, query, string_split(content, chr(10)) AS l FROM top JOIN ({C.CHUNKS_SQL}) c USING (chunk_id) JOIN ({C.QUESTIONS_SQL}) q USING (query_id)), unnest(range(1, len(l) + 1)) t(i) WHERE trim(l[i], ' ') <> ''),
+x AS (SELECT *, {DIRECT_SQL.format('line')} AS direct FROM u)"""
+
+
+@query("w09_units_of_top_chunks", f"WITH {UNITS_SQL}, y AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_rank ORDER BY direct DESC, unit_index) AS depth FROM x) SELECT query_id, chunk_rank, unit_index, direct, row_number() OVER (PARTITION BY query_id ORDER BY depth, chunk_rank) AS position FROM y WHERE depth <= 8 QUALIFY position <= 24")
+def _(s, d):
+    return evidence.candidate_units(scored_units(s, d)).select("query_id", "chunk_rank", "unit_index", F.col("direct").cast("bigint").alias("direct"), "position")
