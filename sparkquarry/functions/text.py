@@ -203,12 +203,14 @@ def resolve_max_tokens(requested: Column, configured: int, context: int, estimat
     return F.least(F.greatest(requested, F.lit(1)), F.lit(configured), F.greatest(F.lit(1), F.lit(context) - estimated - reserve))
 
 
-FOOTER = r"(?is)\s*(?:^|\n)[ \t]*(?:#{1,6}[ \t]*)?(?:references|参考资料|参考文献)[ \t]*[:：]?[ \t]*(?:\n|\[).*$"
+#: White space of any script, as Python strips it.
+SPACE = r"[\s\x1c-\x1f]"
+FOOTER = rf"(?isU){SPACE}*(?:^|\n)[ \t]*(?:#{{1,6}}[ \t]*)?(?:references|参考资料|参考文献)[ \t]*[:：]?[ \t]*(?:\n|\[).*$"
 
 
 def without_footer(c: Column) -> Column:
     """An answer without the list of references that begins on a line of its own."""
-    return F.regexp_replace(F.regexp_replace(c, FOOTER, ""), r"\s+$", "")
+    return F.regexp_replace(F.regexp_replace(c, FOOTER, ""), rf"(?U){SPACE}+\z", "")
 
 
 def heading_terms(c: Column) -> Column:
@@ -224,8 +226,8 @@ def heading_score(query: Column, heading: Column) -> Column:
 
 def paragraph_sentences(c: Column) -> Column:
     """A paragraph at its end marks, or whole if some part would be shorter than 12 characters."""
-    parts = F.filter(F.split(c, r"(?<=[。！？；!?])|(?<=[A-Za-z0-9][.!?])\s+"), lambda p: F.trim(p) != "")
-    parts = F.transform(parts, lambda p: F.trim(p))
+    parts = F.transform(F.split(c, r"(?U)(?<=[。！？；!?])|(?<=[A-Za-z0-9][.!?])\s+"), lambda p: F.regexp_replace(p, rf"(?U)^{SPACE}+|{SPACE}+\z", ""))
+    parts = F.filter(parts, lambda p: p != "")
     return F.when((F.size(parts) > 1) & ~F.exists(parts, lambda p: F.char_length(p) < 12), parts).otherwise(F.array(c))
 
 

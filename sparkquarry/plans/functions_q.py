@@ -176,6 +176,11 @@ def _(s, d):
     return e.select("result_id", F.md5(T.without_footer(F.col("answer")).cast("binary")).alias("digest")).distinct()
 
 
+@query("f26_without_footer_all")
+def _(s, d):
+    return load(s, d, "eval_results").where("answer is not null").select("result_id", F.md5(T.without_footer(F.col("answer")).cast("binary")).alias("digest")).distinct()
+
+
 _SYSTEM = "Answer from the given passages."
 
 
@@ -202,6 +207,11 @@ def _(s, d):
     return b.select("block_id", F.size(T.paragraph_sentences(F.col("text"))).cast("bigint").alias("n"))
 
 
+@query("f31_paragraph_sentences_all")
+def _(s, d):
+    return load(s, d, "blocks").where("text is not null").select("block_id", F.size(T.paragraph_sentences(F.col("text"))).cast("bigint").alias("n"))
+
+
 @query("f33_f35_f36_pagination", "SELECT DISTINCT result_id, http_status <> 200 OR contains(coalesce(error, ''), '<|MORE|>') AS more, 'Continue with page 2. Already found: ' || coalesce(nullif(case_id, ''), 'nothing') || '. Give only what is new.' AS prompt, coalesce(nullif(trim(error), ''), 'none') AS note FROM eval_results")
 def _(s, d):
     e = load(s, d, "eval_results")

@@ -58,6 +58,13 @@ def _(s, d):
     return t.select("doc_id", F.md5(passages.fit_tokens("text", F.lit(100)).cast("binary")).alias("digest"))
 
 
+@query("w18_token_fit_all", r"""WITH n AS (SELECT doc_id, text, i, sum(CASE WHEN unicode(substring(text, i, 1)) < 128 THEN 0.25 ELSE 1.0 END) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM documents, unnest(range(1, length(text) + 1)) u(i) WHERE text IS NOT NULL),
+k AS (SELECT doc_id, max(i) FILTER (WHERE upto <= 100) AS fits FROM n GROUP BY doc_id) SELECT doc_id, md5(substring(text, 1, coalesce(fits, 0))) AS digest FROM documents LEFT JOIN k USING (doc_id) WHERE text IS NOT NULL""")
+def _(s, d):
+    t = load(s, d, "documents").where("text is not null")
+    return t.select("doc_id", F.md5(passages.fit_tokens("text", F.lit(100)).cast("binary")).alias("digest"))
+
+
 @query("t24_table_passages", r"""WITH r AS (SELECT t.table_uid, i, lower(regexp_replace(x[i], '<[^>]*>', ' ', 'g')) AS line, length(x[i]) AS n, lower(coalesce(b.heading, '')) AS h FROM (SELECT table_uid, ir_block_id, regexp_extract_all(html, '(?is)<tr.*?</tr>') AS x FROM ir_tables WHERE html IS NOT NULL) t JOIN ir_blocks b USING (ir_block_id), unnest(range(1, len(x) + 1)) u(i)),
 s AS (SELECT *, len(list_filter(list_distinct(regexp_extract_all(h, '[a-z0-9]{3,}')), lambda w: contains(line, w))) AS score FROM r),
 g AS (SELECT *, sum(n) OVER (PARTITION BY table_uid ORDER BY score DESC, i ROWS UNBOUNDED PRECEDING) AS upto FROM s)

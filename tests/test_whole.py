@@ -1,10 +1,12 @@
 """Queries that do the whole job of another whose SQL is bound to a part of it."""
 
+import hashlib
 import math
 import re
 
 from pyspark.sql import functions as F
 
+from sparkquarry.functions import text as T
 from sparkquarry.operators import lexical
 from sparkquarry.plans import registry
 
@@ -34,3 +36,46 @@ def test_second_list_is_not_a_range_of_ids(spark, sf):
     assert rows and any(not 0 <= r.chunk_id - r.query_id <= 11 for r in rows)
     gate = QUERIES["p04_anchor_all_chunks"](spark, sf).collect()
     assert any(not 0 <= r.chunk_id - r.query_id <= 11 for r in gate)
+
+
+def _rows(spark, sf, table):
+    return spark.read.parquet(f"{sf}/{table}.parquet")
+
+
+def _md5(text):
+    return hashlib.md5(text.encode()).hexdigest()
+
+
+def test_sentences_of_all_blocks(spark, sf):
+    def count(text):
+        parts = [p.strip() for p in re.split(r"(?<=[。！？；!?])|(?<=[A-Za-z0-9][.!?])\s+", text) if p.strip()]
+        return len(parts) if len(parts) > 1 and all(len(p) >= 12 for p in parts) else 1
+
+    case = "The first sentence here.\nThe second one there.\n\n\n第三句话在这里，也有十二个字以上。\nThe last one.\n"
+    assert spark.createDataFrame([(case,)], "c string").select(F.size(T.paragraph_sentences(F.col("c")))).first()[0] == count(case) == 4
+    want = {r.block_id: count(r.text) for r in _rows(spark, sf, "blocks").where("text is not null").collect()}
+    assert {r.block_id: r.n for r in QUERIES["f31_paragraph_sentences_all"](spark, sf).collect()} == want
+
+
+def test_footers_of_all_answers(spark, sf):
+    def body(text):
+        return re.sub(r"\s*(?:^|\n)[ \t]*(?:#{1,6}[ \t]*)?(?:references|参考资料|参考文献)[ \t]*[:：]?[ \t]*(?:\n|\[).*", "", text, flags=re.I | re.S).rstrip()
+
+    cases = ["Done.　\n### References\n[1] a.md", "完成 ", "a \n\n参考资料：[1] b", "x\x1f"]
+    assert [r[0] for r in spark.createDataFrame([(c,) for c in cases], "c string").select(T.without_footer(F.col("c"))).collect()] == ["Done.", "完成", "a", "x"]
+    want = {(r.result_id, _md5(body(r.answer))) for r in _rows(spark, sf, "eval_results").where("answer is not null").collect()}
+    assert {(r.result_id, r.digest) for r in QUERIES["f26_without_footer_all"](spark, sf).collect()} == want
+
+
+def test_fit_of_all_documents(spark, sf):
+    def fit(text):
+        used = 0.0
+        for i, c in enumerate(text):
+            used += 0.25 if c < "\x80" else 1.0
+            if used > 100:
+                return text[:i]
+        return text
+
+    texts = {r.doc_id: r.text for r in _rows(spark, sf, "documents").where("text is not null").collect()}
+    assert any(len(fit(t)) < 400 < len(t) for t in texts.values())
+    assert {r.doc_id: r.digest for r in QUERIES["w18_token_fit_all"](spark, sf).collect()} == {i: _md5(fit(t)) for i, t in texts.items()}
