@@ -81,6 +81,12 @@ def _(s, d):
     return s.createDataFrame([(q,) for q, _, _ in _RELATIONS], "query string").select("query", F.get(a, F.lit(0)).alias("left_anchor"), F.get(a, F.lit(1)).alias("right_anchor"))
 
 
+@query("f08_relation_anchors_all")
+def _(s, d):
+    a = T.relation_anchors(F.col("query"))
+    return C.all_questions(s, d).select("query", F.get(a, F.lit(0)).alias("left_anchor"), F.get(a, F.lit(1)).alias("right_anchor"))
+
+
 @query("f09_anchor_coverage", r"SELECT chunk_id, len(list_filter(['calibration table', 'status indicator', 'message queue'], lambda a: contains(lower(regexp_replace(content, '\s+', ' ', 'g')), a))) AS matched FROM (" + C.CHUNKS_SQL + ")")
 def _(s, d):
     anchors = F.array(F.lit("calibration table"), F.lit("status indicator"), F.lit("message queue"))

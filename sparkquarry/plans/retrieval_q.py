@@ -283,3 +283,17 @@ x AS (SELECT *, {DIRECT_SQL.format('line')} AS direct FROM u)"""
 @query("w09_units_of_top_chunks", f"WITH {UNITS_SQL}, y AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_rank ORDER BY direct DESC, unit_index) AS depth FROM x) SELECT query_id, chunk_rank, unit_index, direct, row_number() OVER (PARTITION BY query_id ORDER BY depth, chunk_rank) AS position FROM y WHERE depth <= 8 QUALIFY position <= 24")
 def _(s, d):
     return evidence.candidate_units(scored_units(s, d)).select("query_id", "chunk_rank", "unit_index", F.col("direct").cast("bigint").alias("direct"), "position")
+
+
+def admission_units(s, d):
+    """The candidate units with section, the last heading above them in the chunk; score, their direct score as a share of the question's best; and size."""
+    above = Window.partitionBy("query_id", "chunk_rank").orderBy("unit_index").rowsBetween(Window.unboundedPreceding, 0)
+    u = scored_units(s, d).withColumn("section", F.coalesce(F.last(F.when(F.col("line").rlike(r"^#{1,6}\s"), F.trim("line")), ignorenulls=True).over(above), F.lit("")))
+    u = evidence.candidate_units(u).withColumn("_most", F.max("direct").over(Window.partitionBy("query_id")))
+    score = F.when(F.col("_most") > 0, F.col("direct") / F.col("_most")).otherwise(0.0)
+    return u.select("query_id", "chunk_rank", "unit_index", "section", score.alias("score"), F.char_length("line").cast("bigint").alias("size"))
+
+
+@query("w11_admission_of_units")
+def _(s, d):
+    return evidence.admit(admission_units(s, d)).select("query_id", "chunk_rank", "unit_index", F.round("score", 6).alias("score"))

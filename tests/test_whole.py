@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from sparkquarry.functions import text as T
-from sparkquarry.operators import lexical
+from sparkquarry.operators import geometry, lexical
 from sparkquarry.plans import registry
 
 QUERIES = registry.queries()
@@ -79,3 +79,39 @@ def test_fit_of_all_documents(spark, sf):
     texts = {r.doc_id: r.text for r in _rows(spark, sf, "documents").where("text is not null").collect()}
     assert any(len(fit(t)) < 400 < len(t) for t in texts.values())
     assert {r.doc_id: r.digest for r in QUERIES["w18_token_fit_all"](spark, sf).collect()} == {i: _md5(fit(t)) for i, t in texts.items()}
+
+
+def _admit(units):
+    """The admission of one question's units, one after another."""
+    best = max(u.score for u in units)
+    place = {(u.chunk_rank, u.section, u.unit_index): u for u in units}
+    core = [u for u in units if u.score >= max(0.1, best * 0.5)]
+    near = {(u.chunk_rank, u.section, u.unit_index + k) for u in core for k in (-1, 1)}
+    taken = core + [u for k, u in place.items() if k in near and u not in core and u.score >= max(0.1, best * 0.35)]
+    out, used = [], 0
+    for u in sorted(taken, key=lambda u: (-u.score, u.chunk_rank, u.unit_index))[:12]:
+        if not out or used + u.size <= 6000:
+            out.append(u)
+            used += u.size
+    return out
+
+
+def test_admission_of_scored_units(spark, sf):
+    from sparkquarry.plans.retrieval_q import admission_units
+
+    questions = {}
+    for u in admission_units(spark, sf).collect():
+        questions.setdefault(u.query_id, []).append(u)
+    want = {(u.query_id, u.chunk_rank, u.unit_index) for us in questions.values() for u in _admit(us)}
+    got = {(r.query_id, r.chunk_rank, r.unit_index) for r in QUERIES["w11_admission_of_units"](spark, sf).collect()}
+    assert got == want and {q for q, _, _ in got} == set(questions)
+
+
+def test_anchors_of_all_questions(spark, sf):
+    rows = QUERIES["f08_relation_anchors_all"](spark, sf).collect()
+    assert {r.query for r in rows} == {r[0] for r in _rows(spark, sf, "eval_results").where("question is not null").select("question").collect()}
+
+
+def test_otsl_cells(spark):
+    t = spark.createDataFrame([(1, ["ched", "lcel", "nl", "rhed", "fcel", "nl", "ucel", "ecel", "nl"]), (2, None), (3, ["ched", "lcel", "nl", "ucel", "xcel", "nl"])], "table_id bigint, tokens array<string>")
+    assert sorted(tuple(r) for r in geometry.otsl_cells(t).collect()) == [(1, 0, 0, 1, 2, "ched"), (1, 1, 0, 2, 1, "rhed"), (1, 1, 1, 1, 1, "fcel"), (1, 2, 1, 1, 1, "ecel"), (3, 0, 0, 2, 2, "ched")]
