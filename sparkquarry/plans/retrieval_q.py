@@ -297,3 +297,25 @@ def admission_units(s, d):
 @query("w11_admission_of_units")
 def _(s, d):
     return evidence.admit(admission_units(s, d)).select("query_id", "chunk_rank", "unit_index", F.round("score", 6).alias("score"))
+
+
+def _top_lines(s, d):
+    """query_id, chunk_id, line_no, line, query: all lines of each question's best chunks."""
+    pairs = _top(s, d).join(C.chunks(s, d).select("chunk_id", "content"), "chunk_id").join(C.questions(s, d), "query_id")
+    return pairs.select("query_id", "chunk_id", "query", F.posexplode(F.split("content", "\n")).alias("line_no", "line"))
+
+
+LINES_SQL = f"""{TOP_CTE}, l AS (SELECT query_id, chunk_id, query, i - 1 AS line_no, x[i] AS line FROM (SELECT query_id, chunk_id, query, string_split(content, chr(10)) AS x FROM top JOIN ({C.CHUNKS_SQL}) c USING (chunk_id) JOIN ({C.QUESTIONS_SQL}) q USING (query_id)), unnest(range(1, len(x) + 1)) t(i))"""
+
+
+@query("f15_scores_of_top_lines", f"""WITH {LINES_SQL}, a AS (SELECT query_id, line_id, term, count(*) AS n FROM (SELECT query_id, chunk_id || '-' || line_no AS line_id, unnest({terms('line')}) AS term FROM l) GROUP BY ALL), b AS (SELECT query_id, term, count(*) AS m FROM (SELECT query_id, unnest({terms('query')}) AS term FROM ({C.QUESTIONS_SQL})) GROUP BY ALL)
+SELECT query_id, line_id, CAST(sum(least(n, m)) AS BIGINT) AS score FROM a JOIN b USING (query_id, term) GROUP BY ALL""")
+def _(s, d):
+    return lexical.line_scores(_top_lines(s, d).select("query_id", F.concat_ws("-", "chunk_id", "line_no").alias("line_id"), "line"), C.questions(s, d))
+
+
+@query("t19_t21_compact_top_lines", f"WITH {LINES_SQL}, h AS (SELECT query_id, chunk_id, line_no, len(list_filter(list_distinct(regexp_extract_all(lower(query), '[a-z0-9]{{3,}}')), lambda w: contains(lower(line), w))) AS hits FROM l) SELECT query_id, chunk_id, line_no, hits FROM h QUALIFY hits > 0 AND hits = max(hits) OVER (PARTITION BY query_id, chunk_id)")
+def _(s, d):
+    hits = F.size(F.filter(F.array_distinct(F.regexp_extract_all(F.lower("query"), F.lit("[a-z0-9]{3,}"), F.lit(0))), lambda w: F.contains(F.lower("line"), w)))
+    l = _top_lines(s, d).select("query_id", "chunk_id", "line_no", hits.cast("bigint").alias("hits"))
+    return l.withColumn("_m", F.max("hits").over(Window.partitionBy("query_id", "chunk_id"))).where("hits > 0 and hits = _m").drop("_m")

@@ -115,3 +115,9 @@ def test_anchors_of_all_questions(spark, sf):
 def test_otsl_cells(spark):
     t = spark.createDataFrame([(1, ["ched", "lcel", "nl", "rhed", "fcel", "nl", "ucel", "ecel", "nl"]), (2, None), (3, ["ched", "lcel", "nl", "ucel", "xcel", "nl"])], "table_id bigint, tokens array<string>")
     assert sorted(tuple(r) for r in geometry.otsl_cells(t).collect()) == [(1, 0, 0, 1, 2, "ched"), (1, 1, 0, 2, 1, "rhed"), (1, 1, 1, 1, 1, "fcel"), (1, 2, 1, 1, 1, "ecel"), (3, 0, 0, 2, 2, "ched")]
+
+
+def test_lines_of_the_best_chunks(spark, sf):
+    scored = QUERIES["f15_scores_of_top_lines"](spark, sf).collect()
+    assert any(int(r.line_id.split("-")[0]) != r.query_id for r in scored) and any(not r.line_id.endswith("-0") for r in scored)
+    assert any(r.chunk_id != r.query_id for r in QUERIES["t19_t21_compact_top_lines"](spark, sf).collect())
