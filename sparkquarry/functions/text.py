@@ -23,6 +23,8 @@ FLAG = r"(?:^|[^\w-])(--?[A-Za-z][A-Za-z0-9-]*)"
 HEX = r"0x[0-9a-f]+"
 NAMED_NUMBER = r"[A-Za-z][A-Za-z0-9_.+-]*[0-9][A-Za-z0-9_.+-]*"
 SPACED = r"[A-Za-z][A-Za-z0-9]*(?:\s*(?:[._/:+-]\s*|\s+)[0-9]+(?:\s*(?:[._/:+-]\s*|\s+)[A-Za-z0-9]+)*)"
+#: White space of any script, as Python strips it.
+SPACE = r"[\s\x1c-\x1f]"
 PHRASE = r"[A-Za-z][A-Za-z0-9]*(?:\s+[A-Za-z][A-Za-z0-9]*)+"
 
 # Words that tell what a question is after, and relation markers in order of precedence.
@@ -92,7 +94,7 @@ def _any(c: Column, words: list[str]) -> Column:
 
 def named_phrases(c: Column) -> Column:
     """Runs of two or more ASCII words, with single spaces, in lower case."""
-    return F.transform(_every(r"\b" + PHRASE + r"\b", c), lambda x: F.lower(F.trim(F.regexp_replace(x, r"\s+", " "))))
+    return F.transform(_every(r"(?U)\b" + PHRASE + r"\b", c), lambda x: F.lower(F.regexp_replace(x, r"(?U)\s+", " ")))
 
 
 def relation_anchors(c: Column) -> Column:
@@ -122,7 +124,7 @@ def retrieval_profile(c: Column) -> Column:
 def direct_identifiers(c: Column) -> Column:
     """Composite names, versions, flags, hexadecimals and terms with digits, the longest first."""
     low = F.lower(c)
-    flags = F.regexp_extract_all(low, F.lit(FLAG), F.lit(1))
+    flags = F.regexp_extract_all(low, F.lit("(?U)" + FLAG), F.lit(1))
     named = F.filter(_every(TERM, low), lambda t: (F.char_length(t) >= 3) & t.rlike("^[!-~]+$") & t.rlike("[_0-9]"))
     found = F.array_distinct(F.concat(_every(COMPOSITE, low), _every(r"\b" + VERSION + r"\b", low), flags, _every(r"\b" + HEX + r"\b", low), named))
     return F.transform(F.array_sort(F.transform(found, lambda x: F.struct((-F.char_length(x)).alias("n"), x.alias("x")))), lambda s: s["x"])
@@ -156,8 +158,8 @@ def tightest_span(a: pd.Series, b: pd.Series, content: pd.Series) -> pd.Series:
 
 def substantive(c: Column) -> Column:
     """At least 24 characters without headings and comments."""
-    bare = F.regexp_replace(F.regexp_replace(c, r"(?s)<!--.*?-->", ""), r"(?m)^\s{0,3}#{1,6}\s.*$", "")
-    return F.char_length(F.trim(F.regexp_replace(bare, r"^\s+|\s+$", ""))) >= 24
+    bare = F.regexp_replace(F.regexp_replace(c, r"(?s)<!--.*?-->", ""), r"(?mdU)^\s{0,3}#{1,6}\s.*$", "")
+    return F.char_length(F.regexp_replace(bare, rf"(?U)^{SPACE}+|{SPACE}+\z", "")) >= 24
 
 
 def trace_id(c: Column) -> Column:
@@ -203,8 +205,6 @@ def resolve_max_tokens(requested: Column, configured: int, context: int, estimat
     return F.least(F.greatest(requested, F.lit(1)), F.lit(configured), F.greatest(F.lit(1), F.lit(context) - estimated - reserve))
 
 
-#: White space of any script, as Python strips it.
-SPACE = r"[\s\x1c-\x1f]"
 FOOTER = rf"(?isU){SPACE}*(?:^|\n)[ \t]*(?:#{{1,6}}[ \t]*)?(?:references|参考资料|参考文献)[ \t]*[:：]?[ \t]*(?:\n|\[).*$"
 
 

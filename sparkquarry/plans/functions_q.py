@@ -256,3 +256,26 @@ def _(s, d):
 def _(s, d):
     v = X.l2_normalise(F.col("embedding"))
     return load(s, d, "embeddings").select("vec_id", F.round(X.dot(F.col("embedding"), F.col("embedding")), 6).alias("squared"), F.round(F.get(v, F.lit(0)), 6).alias("first"))
+
+
+# The same functions as above on texts and questions as they are, in any script.
+@query("f06_named_phrases_all")
+def _(s, d):
+    return C.chunks(s, d).select("chunk_id", F.array_join(T.named_phrases(F.col("content")), "|").alias("phrases"))
+
+
+@query("f12_direct_identifiers_all")
+def _(s, d):
+    return C.all_questions(s, d).select("query", F.array_join(T.direct_identifiers(F.col("query")), "|").alias("identifiers"))
+
+
+@query("f13_identifier_coverage_all")
+def _(s, d):
+    q = C.questions(s, d).select("query_id", F.get(T.direct_identifiers(F.col("query")), F.lit(0)).alias("id")).where("id is not null")
+    hits = C.chunks(s, d).select(F.lower("content").alias("c")).join(q.select("id").distinct(), F.contains("c", F.col("id"))).groupBy("id").agg(F.count("*").alias("chunks"))
+    return q.join(hits, "id").select("query_id", "chunks")
+
+
+@query("f14_substantive_all")
+def _(s, d):
+    return load(s, d, "blocks").where("text is not null").select("block_id", T.substantive(F.col("text")).alias("ok"))

@@ -38,6 +38,13 @@ def _(s, d):
     return gates.protected_evidence(top.join(C.chunks(s, d).select("chunk_id", "content"), "chunk_id"), ascii_q)
 
 
+@query("w06_protected_evidence_all")
+def _(s, d):
+    q = C.questions(s, d)
+    top = lexical.bm25(C.chunks(s, d), q).select("query_id", "chunk_id", "rank", F.col("rank").alias("lexical_rank"))
+    return gates.protected_evidence(top.join(C.chunks(s, d).select("chunk_id", "content"), "chunk_id"), q)
+
+
 @query("p02_p03_graph_budget", f"SELECT query_id, CASE WHEN profile IN ('exact', 'document_fact') THEN 0 ELSE 500 END AS entity_tokens, CASE WHEN profile IN ('exact', 'document_fact') THEN 0 ELSE 300 END AS relation_tokens, profile <> 'relation_fact' AS graph FROM (SELECT query_id, {PROFILE_SQL} AS profile FROM ({C.QUESTIONS_SQL}))")
 def _(s, d):
     p = fusion.profiled(C.questions(s, d))

@@ -121,3 +121,29 @@ def test_lines_of_the_best_chunks(spark, sf):
     scored = QUERIES["f15_scores_of_top_lines"](spark, sf).collect()
     assert any(int(r.line_id.split("-")[0]) != r.query_id for r in scored) and any(not r.line_id.endswith("-0") for r in scored)
     assert any(r.chunk_id != r.query_id for r in QUERIES["t19_t21_compact_top_lines"](spark, sf).collect())
+
+
+def test_phrases_and_substance_of_whole_texts(spark, sf):
+    def phrases(text):
+        return "|".join(re.sub(r"\s+", " ", x).lower() for x in re.findall(rf"\b{T.PHRASE}\b", text))
+
+    def solid(text):
+        return len(re.sub(r"(?m)^\s{0,3}#{1,6}\s.*$", "", re.sub(r"(?s)<!--.*?-->", "", text)).strip()) >= 24
+
+    texts = {r.doc_id: r.text for r in _rows(spark, sf, "documents").where("length(text) > 0").collect()}
+    assert {r.chunk_id: r.phrases for r in QUERIES["f06_named_phrases_all"](spark, sf).collect()} == {i: phrases(t) for i, t in texts.items()}
+    blocks = {r.block_id: r.text for r in _rows(spark, sf, "blocks").where("text is not null").collect()}
+    assert {r.block_id: r.ok for r in QUERIES["f14_substantive_all"](spark, sf).collect()} == {i: solid(t) for i, t in blocks.items()}
+    assert spark.createDataFrame([("　" * 30 + "短",)], "c string").select(T.substantive(F.col("c"))).first()[0] is False
+
+
+def test_questions_keep_their_script(spark, tmp_path):
+    spark.createDataFrame([(0, "decode 性能"), (100, "有哪些 pump modes"), (200, "如何配置 USB_TEST")], "result_id bigint, question string").write.parquet(str(tmp_path / "eval_results.parquet"))
+    long = " and then some more words about it"
+    docs = [(7, "decode 性能" + long), (8, "pump modes" + long), (9, "the usb_test" + long)]
+    rows = spark.createDataFrame(docs, "doc_id bigint, text string")
+    rows.selectExpr("doc_id", "text", "'a.md' source", "'d' full_doc_id", "0 chunk_order_index", "array('') content_headings", "timestamp'2026-01-01' updated_at").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.query_id: (r.chunk_id, r.why) for r in QUERIES["w06_protected_evidence_all"](spark, str(tmp_path)).collect()}
+    assert got == {0: (7, "lexical"), 100: (8, "fact"), 200: (9, "fact")}
+    assert {r.query: r.identifiers for r in QUERIES["f12_direct_identifiers_all"](spark, str(tmp_path)).collect()} == {"decode 性能": "", "有哪些 pump modes": "", "如何配置 USB_TEST": "usb_test"}
+    assert [(r.query_id, r.chunks) for r in QUERIES["f13_identifier_coverage_all"](spark, str(tmp_path)).collect()] == [(200, 1)]
