@@ -192,30 +192,26 @@ def _write(root: Node) -> str:
     threshold = _content(root)[1]
     out: list[str] = []
 
-    def cells(row: Node) -> str:
-        return _BAR.join(" ".join(text_of(c).split()) for c in row.children if isinstance(c, Node) and c.tag in ("td", "th"))
-
-    def text_of(node: Node) -> str:
+    # these generators yield the nodes to visit next, as they may be nested deeper than Python recurses
+    def cells(row: Node):
+        texts = []
+        for c in row.children:
+            if isinstance(c, Node) and c.tag in ("td", "th"):
+                texts.append(" ".join((yield from text_of(c)).split()))
+        return _BAR.join(texts)
+
+    def text_of(node: Node):
         mark = len(out)
-        for c in node.children:
-            visit(c, 0)
+        yield from node.children
         text = "".join(out[mark:])
         del out[mark:]
         return text
 
-    def visit(c, depth: int) -> None:
-        if isinstance(c, str):
-            out.append(c)
-            return
-        if _dropped(c, threshold):
-            return
+    def visit(c: Node):
         tag = c.tag
-        if depth > 200:
-            out.append(" ")
-            return
         if tag in _HEADINGS:
             # a heading that was never closed ends at its line
-            first, _, rest = text_of(c).strip().partition("\n")
+            first, _, rest = (yield from text_of(c)).strip().partition("\n")
             out.append(f"\n{_HEAD * _HEADINGS[tag]} {first}\n{rest}\n")
         elif tag == "br":
             out.append("\n")
@@ -224,21 +220,30 @@ def _write(root: Node) -> str:
         elif tag == "img":
             out.append(dict(c.attrs).get("alt") or "")
         elif tag == "tr":
-            out.append(_BREAK + (cells(c) if any(isinstance(x, Node) and x.tag in ("td", "th") for x in c.children) else text_of(c)) + _BREAK)
+            text = yield from (cells(c) if any(isinstance(x, Node) and x.tag in ("td", "th") for x in c.children) else text_of(c))
+            out.append(_BREAK + text + _BREAK)
         elif tag == "li":
             number = c.parent and c.parent.tag == "ol" and sum(isinstance(x, Node) and x.tag == "li" for x in c.parent.children[: c.parent.children.index(c) + 1])
-            out.append(f"{_BREAK}{f'{number}.' if number else _DASH} " + text_of(c).strip() + _BREAK)
+            text = yield from text_of(c)
+            out.append(f"{_BREAK}{f'{number}.' if number else _DASH} " + text.strip() + _BREAK)
         elif tag in ("sub", "sup"):
-            out.append(("\ue005" if tag == "sub" else "\ue006") + text_of(c))
+            text = yield from text_of(c)
+            out.append(("\ue005" if tag == "sub" else "\ue006") + text)
         else:
             gap = "\n" if tag in _BLOCK else ""
             out.append(gap)
-            for x in c.children:
-                visit(x, depth + 1)
+            yield from c.children
             out.append(gap)
 
-    for c in root.children:
-        visit(c, 0)
+    stack = [iter(root.children)]
+    while stack:
+        c = next(stack[-1], None)
+        if c is None:
+            stack.pop()
+        elif isinstance(c, str):
+            out.append(c)
+        elif not _dropped(c, threshold):
+            stack.append(visit(c))
     return "".join(out)
 
 
