@@ -69,7 +69,7 @@ def _common() -> dict[str, frozenset[str]]:
 
 def language_of(text: str) -> str:
     """The language whose frequent words a text has most of, among those with abbreviations; "" if none."""
-    words = [w.lower() for w in _WORD.findall(text[:20_000])]
+    words = [w.lower() for w in _WORD.findall(text)]
     best, most = "", 0
     for lang, common in _common().items():
         n = sum(w in common for w in words)
@@ -87,14 +87,27 @@ def _patterns():
     markup = r"(?:</[A-Za-z][\w]*>|[*_`~'\"]++(?=[\s\p{P}]|$)|\[\^[^\[\]\s]{1,8}\])"
     closers = r"[\p{Pe}\p{Pf}”’»]|“(?=[\s\p{P}]|$)"
     end = regex.compile(rf"(?P<stop>[{stop}]+)(?P<close>(?:{closers}|{markup}|[   ]»)*)(?P<space>\s*)")
-    spans = regex.compile(
-        r"“[^“”]{1,400}”|„[^„“”]{1,400}[“”]|«[^«»]{1,400}»|»(?=\p{L})[^«»]{1,400}(?<=\S)«|「[^「」]{1,400}」|『[^『』]{1,400}』|《[^《》]{1,400}》"
-        r"|‹[^‹›]{1,400}›|‘[^‘’\n]{1,200}’(?!\p{L})|\([^()]{1,600}\)|（[^（）]{1,600}）|\[[^\[\]]{1,400}\]|【[^【】]{1,400}】"
-    )
-    straight = regex.compile(r"(?<![^\s(\[“„«])\"(?=\S)[^\"]{1,400}?(?<=\S)\"(?!\w)")
+    # each stops at the next mark of its kind, so a run is searched in proportion to its length
+    spans = regex.compile(r"“[^“”]++”|„[^„“”]++[“”]|«[^«»]++»|»(?=\p{L})[^«»]++(?<=\S)«|‘[^‘’\n]++’(?!\p{L})")
+    straight = regex.compile(r"(?<![^\s(\[“„«])\"(?=\S)[^\"]++(?<=\S)\"(?!\w)")
     return end, straight, spans, regex.compile(r"\p{Sentence_Break=SContinue}"), regex.compile(r"\p{Sentence_Break=Lower}"), regex.compile(r"\p{Lo}"), regex.compile(r"[\p{L}\p{M}.'’-]*$")
 
 
+_OPENERS = {c: o for o, c in ("()", "（）", "[]", "【】", "「」", "『』", "《》", "‹›")}
+_BRACKET = re.compile("[" + re.escape("".join(c + o for c, o in _OPENERS.items())) + "]")
+
+
+def _brackets(run: str) -> list[tuple[int, int]]:
+    """Brackets that open and close with different marks, however long and deep; each kind by itself, empty ones left out."""
+    out, opened = [], {o: [] for o in _OPENERS.values()}
+    for m in _BRACKET.finditer(run):
+        if (c := m[0]) in opened:
+            opened[c].append(m.start())
+        elif opened[_OPENERS[c]] and (s := opened[_OPENERS[c]].pop()) + 1 < m.start():
+            out.append((s, m.end()))
+    return out
+
+
 _ITEM = re.compile(r"\s*(?:[-*+•·‣▪–—]|\d{1,3}[.)]|[(（]\d{1,3}[)）]|[A-Za-zА-я]\))[ \t　]+(?=\S)")
 _MARKER = re.compile(r"\s*(?:[-*+•·‣▪–—]\s*)?(?:\d{1,3}[.)]|[A-Za-zА-я][.)])$")
 #: Ends of lines that go on: hyphens and commas; scripts without spaces, which are wrapped anywhere.
@@ -141,7 +154,7 @@ def _ends(run: str, always: frozenset[str], before_number: frozenset[str], lang:
     out = []
     inside = [m.span() for m in straight.finditer(run)] if '"' in run else []
     if any(c in run for c in "“„«»「『《‹‘([（【"):
-        inside += [m.span() for m in spans.finditer(run, overlapped=True)]
+        inside += [m.span() for m in spans.finditer(run, overlapped=True)] + _brackets(run)
     for m in end.finditer(run):
         stop, after = m["stop"], m.end()
         close_end = m.end("close")
