@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("sparkquarry.llm.registry")
 
-from sparkquarry.llm import digest, langid, markup, pack, pairs, registry, scans, sentences, split, tokenize  # noqa: E402
+from sparkquarry.llm import digest, langid, markup, pack, pairs, registry, scan_pages, scans, sentences, split, tokenize  # noqa: E402
 
 TOKENIZER = tokenize.tokenizer_file()
 
@@ -96,9 +96,48 @@ def test_scan_repair(spark):
     assert sorted(out) == [f"{w} sees the service hatch of the maintenance window of {w} opened." for w in ("Alpha", "Gamma")]
 
 
+def _paragraphs(spark, pages):
+    clean = "The installation of the service hatch follows. Use the fail-safe pump of the maintenance window.\n" * 40
+    rows = scans.repaired_paragraphs(*_scan(spark, [(0, "c", 1, "pdfium_layout", clean), *((i, "d", i, "vision_fusion", t) for i, t in pages)])).collect()
+    return [(r.page, r.text) for r in sorted(rows, key=lambda r: (r.page, r.paragraph_no))]
+
+
+def test_words_over_lines_and_pages(spark):
+    filler = "The service hatch of the pump follows the installation of it"
+    pages = [(1, f"{filler}\nand the maintenance window is near the instal-"), (2, f"lation of the service hatch, which is here. {filler}.\nOpen.")]
+    assert _paragraphs(spark, pages) == [(1, f"{filler} and the maintenance window is near the installation of the service hatch, which is here. {filler}. Open.")]
+
+
+def test_misread_divided_words(spark):
+    filler = "The service hatch of the pump follows the installation of it"
+    pages = [(1, f"{filler}\nand so the instal-\n1ation, then lnstal-\nlation of the fail-\nsafe pump. {filler} is done.")]
+    assert _paragraphs(spark, pages) == [(1, f"{filler} and so the installation, then installation of the fail-safe pump. {filler} is done.")]
+
+
+def test_mending_touches_no_other_word():
+    line = "tlie tliex tlie."
+    assert scans.mend([(0, line)], None, False, {}, {0: [(0, "tlie", "the", -1)]}, {}) == [(0, "the tliex tlie.")]
+    assert scans.mend([(0, "TLIE 申源")], None, False, {}, {0: [(0, "tlie", "the", -1)]}, {0: [(5, "电")]}) == [(0, "THE 电源")]
+    assert scans.mend([(0, "a hyphen-"), (1, "ated) word")], None, False, {0: 8}, {}, {}) == [(0, "a hyphenated)"), (1, "word")]
+
+
+def test_headers_of_two_lines_and_near_keys(spark):
+    body = ["{a} wide words stand in the middle of this page, enough of them", "to fill a line that is as wide as any other of the {a} page"]
+    pages = [(i, "d", i, "vision_fusion", "\n".join(["Controller handbook", h, *(b.format(a=a) for b in body), "Closing words of the " + a])) for i, a, h in ((1, "first", "Release 7 notes"), (2, "other", "Release 8 notes"), (3, "third", "Release 9 notes"))]
+    pages.append((4, "d", 4, "vision_fusion", "Controiler hanbook\n" + "\n".join(b.format(a="last") for b in body) + "\nNothing else is down here"))
+    found = {(r.record_id, r.line_no) for r in scans.scan_defects(*_scan(spark, pages)).where("defect = 'running_line'").collect()}
+    assert found == {(i, n) for i in (1, 2, 3) for n in (0, 1)} | {(4, 0)}
+
+
+def test_repeated_and_unnamed_pages(spark):
+    rows = [(1, "d", 1, "vision_fusion", "Pump overview\nText one is here."), (1, "d", 1, "vision_fusion", "Pump overview\nText one is here."), (None, "d", 2, "vision_fusion", "Pump overview\nText two is there."), (None, None, None, "vision_fusion", None)]
+    found = sorted((str(r.record_id), r.line_no, r.defect) for r in scans.scan_defects(*_scan(spark, rows, [(None, None, None, None), (5, 99, 0, "x")], [(None, None, None, None, None, None, None, None)])).collect())
+    assert found == [("1", 0, "running_line"), ("None", 0, "running_line")]
+
+
 def test_page_numbers():
-    assert scans.page_number("- 89 -") == (89, True) and scans.page_number("cxxii") == (122, False) and scans.page_number("Page 172 / 177") == (172, True)
-    assert scans.page_number("l02")[0] == 102 and scans.page_number("relay")[0] is None and scans.page_number("")[0] is None
+    assert scan_pages.page_number("第 118 页 / 122") == (118, True) and scan_pages.page_number("- 89 -") == (89, True) and scan_pages.page_number("cxxii") == (122, False) and scan_pages.page_number("Page 172 / 177") == (172, True)
+    assert scan_pages.page_number("l02")[0] == 102 and scan_pages.page_number("relay")[0] is None and scan_pages.page_number("")[0] is None
 
 
 def test_skeletons():
