@@ -2,8 +2,8 @@
 
 Code is set aside first, then formulas, so nothing quoted in them counts or changes. HTML goes through a lenient parser
 into a DOM. Its nodes get a composite text density (characters per tag, adjusted by how many of either are links); the
-node whose children's densities have the greatest sum holds the content, the least density on the path from it to the
-body is the threshold, and link-ridden nodes under it go. What is left is written out by kind of element, and wiki, LaTeX
+node whose children's densities have the greatest sum holds the content, and the least density on the path from it to the
+body is the threshold: boxes beside that path go if they are under it, and so do nodes that are mostly links. What is left is written out by kind of element, and wiki, LaTeX
 and Markdown marks in the text follow. Headings come out as lines behind ``#``, lists behind ``- `` or numbers, tables
 as rows with `` | ``, code in fences, formulas between ``$``.
 """
@@ -32,6 +32,9 @@ _BLOCK = set("address article aside blockquote body caption center dd details di
 _INLINE = set("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup td th tt u var button select option textarea iframe object video audio canvas colgroup head map picture svg".split())
 _DROPPED = set("script style template".split())
 _TAGS = _VOID | _BLOCK | _INLINE | _DROPPED | {"pre"}
+#: Boxes that may lie beside the content; of what is always at a margin; and what gives a box structure.
+_BOXES, _MARGINS = {"div", "section", "article", "form", "center", "details"}, {"aside", "footer", "header"}
+_STRUCTURE = set(_HEADINGS) | {"ul", "ol", "dl", "table", "pre", "code"}
 #: Elements that end an open one of the same kind, where the writer left out its end.
 _ENDS = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -52,7 +55,7 @@ _ANY = r"(?:[^\n]|\n(?!\s*\n))"
 _TICKS = re.compile(rf"(?<!`)(`{{1,2}})(?!`)((?:(?!`){_ANY})+?)\1(?!`)")
 _MATH = re.compile(
     r"\$\$(.+?)\$\$|\\\[(.+?)\\\]|\\\((.+?)\\\)|\\begin\{((?:equation|align|gather|multline|displaymath|math|eqnarray)\*?)\}(.*?)(?:\\end\{\4\}|\Z)"
-    r"|(?<![A-Za-z0-9_\\$])\$(?=[^\s$])((?:[^$\n]|\n(?!\s*\n)){0,300}?(?<![\s\\]))\$(?![0-9_$])",
+    r"|(?<![A-Za-z0-9_\\$])\$(?=[^\s$])((?:[^$\n]|\n(?!\s*\n))*(?<![\s\\]))\$(?![0-9_$])",
     re.S,
 )
 _FORMULA = re.compile(r"[\\^_=+<>{}]|^[A-Za-z]$|^\d+(?:\.\d+)?$")
@@ -60,11 +63,11 @@ _TABLE_KEY = re.compile(r"\{\{TBL:[^{}\n]*\}\}")
 
 _WIKI_TABLE = re.compile(r"^[ \t]*\{\|.*?(?:^[ \t]*\|\}|\Z)", re.M | re.S)
 _WIKI_HEADING = re.compile(r"^[ \t]*(={2,6})[ \t]*([^=\n].*?)[ \t]*\1[ \t]*$", re.M)
-_WIKI_LINK = re.compile(r"\[\[([^\[\]]{0,400})\]\]")
-_WIKI_TEMPLATE = re.compile(r"\{\{(?!TBL:)([^{}]*)\}\}")
+_WIKI_LINK = re.compile(r"\[\[([^\[\]]*)\]\]")
+_BRACES = re.compile(r"\{\{|\}\}")
 _WIKI_BOLD = re.compile(rf"'{{2,5}}(?=[^\s'])({_ANY}+?)(?<=\S)'{{2,5}}")
 _WIKI_WORD = re.compile(r"__(?:TOC|NOTOC|FORCETOC|NOEDITSECTION|INDEX|NOINDEX|NEWSECTIONLINK)__|^#REDIRECT\b[ \t:]*", re.M | re.I)
-_WIKI_URL = re.compile(r"\[(?:https?|ftp)://[^\s\]]+(?:\s+([^\[\]]{1,300}))?\](?!\()")
+_WIKI_URL = re.compile(r"\[(?:https?|ftp)://[^\s\]]+(?:\s+([^\[\]]+))?\](?!\()")
 _WIKI_REF = re.compile(r"<ref\b[^>]*/>|<ref\b[^>]*>.*?</ref\s*>", re.I | re.S)
 _WIKI_TAG = re.compile(r"</?(?:references|gallery|onlyinclude|noinclude|includeonly|poem)\b[^<>]*>", re.I)
 
@@ -84,15 +87,15 @@ _BULLET = re.compile(r"^([ \t]*)[-*+][ \t]+(?:\[([ xX])\][ \t]+)?(?=\S)(?!\d+[ \
 _QUOTE = re.compile(r"^[ \t]{0,3}(?:>[ \t]?)+(?=\S)", re.M)
 _MD_ROW = re.compile(r"^[ \t]*\|(.*)\|[ \t]*$", re.M)
 _MD_DELIMITER = re.compile(r"^[ \t]*\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)*\|?[ \t]*$")
-_IMAGE = re.compile(r"!\[([^\[\]]{0,300})\]\(([^()\n]*)\)")
-_LINK = re.compile(r"\[([^\[\]]{1,300})\]\(([^()\s]*(?:\s+\"[^\"\n]*\")?)\)")
-_REF_LINK = re.compile(r"!?\[([^\[\]]{1,300})\][ ]?\[([^\[\]\n]{0,60})\]")
-_DEFINITION = re.compile(r"^[ \t]{0,3}\[(?!\^)([^\[\]\n]{1,60})\]:[ \t]+(\S+)[^\n]*$", re.M)
+_IMAGE = re.compile(r"!\[([^\[\]]*)\]\(([^()\n]*)\)")
+_LINK = re.compile(r"\[([^\[\]]+)\]\(([^()\s]*(?:\s+\"[^\"\n]*\")?)\)")
+_REF_LINK = re.compile(r"!?\[([^\[\]]+)\][ ]?\[([^\[\]\n]*)\]")
+_DEFINITION = re.compile(r"^[ \t]{0,3}\[(?!\^)([^\[\]\n]+)\]:[ \t]+(\S+)[^\n]*$", re.M)
 _FOOTNOTE_TEXT = re.compile(r"^[ \t]{0,3}\[\^([^\[\]\s]+)\]:[ \t]*", re.M)
 _FOOTNOTE = re.compile(r"\[\^([^\[\]\s]+)\]")
 _AUTOLINK = re.compile(r"<((?:https?|ftp|mailto):[^\s<>]+|[\w.+-]+@[\w-]+\.[\w.-]+)>")
 _STRONG = re.compile(rf"(\*\*\*|\*\*)(?=[^\s*])({_ANY}+?)(?<=[^\s*])\1|(?<![A-Za-z0-9_])__(?![A-Z]+__|[a-z0-9_]+__)(?=[^\s_])({_ANY}+?)(?<=[^\s_])__(?![A-Za-z0-9_])|~~(?=\S)({_ANY}+?)(?<=\S)~~")
-_EM = re.compile(r"(?<![A-Za-z0-9*\\])\*(?=[^\s*])((?:[^*\n]|\n(?!\s*\n)){1,300}?)(?<=[^\s*])\*(?![A-Za-z0-9*])|(?<![A-Za-z0-9_\\])_(?=[^\s_])((?:[^_\n]|\n(?!\s*\n)){1,300}?)(?<=[^\s_])_(?![A-Za-z0-9_])")
+_EM = re.compile(r"(?<![A-Za-z0-9*\\])\*(?=[^\s*])((?:[^*\n]|\n(?!\s*\n))+)(?<=[^\s*])\*(?![A-Za-z0-9*])|(?<![A-Za-z0-9_\\])_(?=[^\s_])((?:[^_\n]|\n(?!\s*\n))+)(?<=[^\s_])_(?![A-Za-z0-9_])")
 
 
 class Node:
@@ -182,14 +185,47 @@ def _content(root: Node) -> tuple[Node, float]:
     return best, threshold
 
 
-def _dropped(node: Node, threshold: float) -> bool:
-    """Boilerplate: under the threshold and mostly links, several of them; or navigation by its name."""
-    return node.tag in _DROPPED or node.density < threshold and node.link_tags >= 3 and node.link_chars * 2 > node.chars and node.tag not in ("td", "th", "tr", "tbody", "thead") or node.tag == "nav" and node.link_chars * 2 > node.chars
+def _path(node: Node | None) -> set[int]:
+    """The ids of a node and all it lies in."""
+    out = set()
+    while node:
+        out.add(id(node))
+        node = node.parent
+    return out
+
+
+def _structured(node: Node) -> bool:
+    """Whether headings, lists, tables or code lie in a node."""
+    stack = [node]
+    while stack:
+        for c in stack.pop().children:
+            if isinstance(c, Node):
+                if c.tag in _STRUCTURE:
+                    return True
+                stack.append(c)
+    return False
+
+
+def _dropped(node: Node, threshold: float, path: set[int]) -> bool:
+    """Boilerplate, all under the threshold: boxes beside the way to the content, those of plain kind only without structure of their own; what is mostly links, several of them. And navigation by its name."""
+    if node.tag in _DROPPED or node.tag == "nav" and node.link_chars * 2 > node.chars:
+        return True
+    if node.density >= threshold or id(node) in path:
+        return False
+    if node.link_tags >= 3 and node.link_chars * 2 > node.chars and node.tag not in ("td", "th", "tr", "tbody", "thead"):
+        return True
+    if node.parent is None or id(node.parent) not in path:
+        return False
+    if node.tag not in _BOXES:
+        return node.tag in _MARGINS
+    return not _structured(node)
 
 
 def _write(root: Node) -> str:
     _measure(root)
-    threshold = _content(root)[1]
+    best, threshold = _content(root)
+    path = _path(best.parent)  # boxes go only beside it; in the content itself only what is mostly links
+    items: dict[int, int] = {}
     out: list[str] = []
 
     # these generators yield the nodes to visit next, as they may be nested deeper than Python recurses
@@ -223,7 +259,9 @@ def _write(root: Node) -> str:
             text = yield from (cells(c) if any(isinstance(x, Node) and x.tag in ("td", "th") for x in c.children) else text_of(c))
             out.append(_BREAK + text + _BREAK)
         elif tag == "li":
-            number = c.parent and c.parent.tag == "ol" and sum(isinstance(x, Node) and x.tag == "li" for x in c.parent.children[: c.parent.children.index(c) + 1])
+            number = 0
+            if c.parent and c.parent.tag == "ol":
+                number = items[id(c.parent)] = items.get(id(c.parent), 0) + 1
             text = yield from text_of(c)
             out.append(f"{_BREAK}{f'{number}.' if number else _DASH} " + text.strip() + _BREAK)
         elif tag in ("sub", "sup"):
@@ -242,11 +280,14 @@ def _write(root: Node) -> str:
             stack.pop()
         elif isinstance(c, str):
             out.append(c)
-        elif not _dropped(c, threshold):
+        elif not (c is not best and _dropped(c, threshold, path)):
             stack.append(visit(c))
     return "".join(out)
 
 
+_HELD = re.compile("\ue000(\\d+)\ue001")
+
+
 class _Aside:
     """Passages set aside behind private-use characters while the rest is worked on."""
 
@@ -258,11 +299,9 @@ class _Aside:
         return f"\ue000{len(self.held) - 1}\ue001"
 
     def back(self, text: str) -> str:
-        for _ in range(20):  # as deep as they were nested
-            new = re.sub("\ue000(\\d+)\ue001", lambda m: self.held[int(m[1])], text)
-            if new == text:
-                break
-            text = new
+        n = 1
+        while n:  # each holds only such as were set aside before it
+            text, n = _HELD.subn(lambda m: self.held[int(m[1])], text)
         return text
 
 
@@ -363,6 +402,32 @@ def clean(text: str | None, heading: str | None = None, level: int | None = None
     return own + re.sub(r"\n{3,}", "\n\n", t).strip("\n"), [k for k in KINDS if k in found]
 
 
+def _templates(t: str, saw) -> str:
+    """Templates by their unnamed and named values, the inner ones first; braces that don't pair, or hold single ones, stay."""
+    value = saw("wiki", lambda m: "")
+    out: list[list[str]] = [[]]
+    at = 0
+    for m in _BRACES.finditer(t):
+        out[-1].append(t[at : m.start()])
+        at = m.end()
+        if m[0] == "{{":
+            out.append([])
+        elif len(out) == 1:
+            out[-1].append(m[0])
+        else:
+            inner = "".join(out.pop())
+            if "{" in inner or "}" in inner:
+                out[-1].append("{{" + inner + "}}")
+            else:
+                value(m)
+                out[-1].append(" ".join(p.split("=", 1)[-1].strip() for p in inner.split("|")[1:]))
+    out[-1].append(t[at:])
+    while len(out) > 1:
+        rest = out.pop()
+        out[-1] += ["{{", *rest]
+    return "".join(out[0])
+
+
 def _wiki_marks(t: str, saw) -> str:
     if "==" in t:
         t = _WIKI_HEADING.sub(saw("wiki", lambda m: f"{_HEAD * len(m[1])} {m[2]}"), t)
@@ -371,12 +436,8 @@ def _wiki_marks(t: str, saw) -> str:
     if "[" in t:
         t = _WIKI_LINK.sub(saw("wiki", lambda m: "" if re.match(r"\s*category\s*:", m[1], re.I) else m[1].rsplit("|", 1)[-1]), t)
         t = _WIKI_URL.sub(saw("wiki", lambda m: m[1] or ""), t)
-    for _ in range(5):
-        if "{{" not in t:
-            break
-        t, n = _WIKI_TEMPLATE.subn(saw("wiki", lambda m: " ".join(p.split("=", 1)[-1].strip() for p in m[1].split("|")[1:])), t)
-        if not n:
-            break
+    if "{{" in t:
+        t = _templates(t, saw)
     if "''" in t:
         t = _WIKI_BOLD.sub(saw("wiki", lambda m: m[1]), t)
     return t
@@ -401,10 +462,9 @@ def _latex_marks(t: str, saw, aside: _Aside) -> str:
             return f"\n{_HEAD * _SECTIONS[name]} {arg}\n"
         return f" ({arg})" if name == "footnote" else arg or ""
 
-    for _ in range(6):
+    n = 1
+    while n:  # the innermost first
         t, n = _COMMAND.subn(saw("latex", command), t)
-        if not n:
-            break
     return t
 
 
