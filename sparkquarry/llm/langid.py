@@ -36,19 +36,39 @@ CLIP = 7.0
 
 _QUOTED = re.compile(r"[\"“„«「『‘][^\"“”„«»「」『』‘’\n]{1,160}[\"”“»」』’]")
 #: ASCII runs with digits or signs of code: names, settings, addresses, options, files.
-_CODE = re.compile(r"(?<![!-~])(?:[!-~]*[0-9_=/\\|<>{}$@#~^`][!-~]*|--?[a-z][!-~]*|[!-~]*[a-z]\.[a-z]{2,4}(?![!-~]))")
+_NO_SIGN = r"[!\"%&'()*+,:;?A-Z\[\]a-z-]"
+_CODE = re.compile(rf"(?<![!-~])(?:(?:{_NO_SIGN}|\.)*+[0-9_=/\\|<>{{}}$@#~^`][!-~]*+|--?[a-z][!-~]*+|(?:{_NO_SIGN}*+\.)++(?<=[a-z]\.)[a-z]{{2,4}}+(?![!-~]))")
 _UNSPACED = re.compile(r"[฀-๿぀-ヿ㐀-鿿가-힯豈-﫿]")
 _ASCII_GAP = re.compile(r"[^A-Za-z]+")
 _ASCII_LETTER, _ASCII_WORD = re.compile(r"[A-Za-z]"), re.compile(r"[A-Za-z][A-Za-z'’]*")
+#: Something of code; quotations; scripts whose letters have marks of their own.
+_CODE_SIGN, _QUOTE_SIGN, _MARKED = re.compile(r"[0-9_=/\\|<>{}$@#~^`]|-[a-z]|[a-z]\.[a-z]"), re.compile("[\"“„«「『‘]"), re.compile("[\u0300-\u036f\u0483-\u0489\u0591-\u1aff\u20d0-\u20f0\ua66f-\uabff\ufb1e\ufe00-\ufe2f\U00010000-\U0010ffff]")
+_GAPS = re.compile(r"[\W\d_²³¹¼-¾⁰-₉①-⓿]+")
+_STRIP = ".,;:!?()[]«»\"'“”„*#؟،。"
+#: A token that is a word of two letters or more between marks.
+_PLAIN = re.compile(rf"(?<!\S)[{re.escape(_STRIP)}]*+[^\W\d_]{{2,}}+(?:['’-][^\W\d_]++)*+[{re.escape(_STRIP)}]*+(?!\S)|(?<!\S)[{re.escape(_STRIP)}]*+[^\W\d_](?:['’-][^\W\d_]++)++[{re.escape(_STRIP)}]*+(?!\S)")
+#: Where a word wholly in capitals may be.
+_CAPITALS = re.compile("[A-ZÀ-ÞΆ-ΫЀ-Я]['’-]?[A-ZÀ-ÞΆ-ΫЀ-Я]|[\u0100-\u0370\u0500-\u0590\u10a0-\u10ff\u13a0-\u13ff\u1c80-\u1fff\u2c00-\u2dff\ua640-\ua7ff]")
 _NOT_PROSE = re.compile(r"^\s*(?:\$ |\[[\w.-]+\]\s*$|[\w.-]+\s*=\s*\S*\s*$|\d{4}-\d\d-\d\d[T ]\d\d:|\[\d+:\d+)")
 
 
 @cache
 def _letters():
-    """A word; what isn't letters; invisible format characters. Letters are with their marks, which scripts such as Devanagari need."""
+    """A word; what isn't letters. Letters are with their marks, which scripts such as Devanagari need."""
     import regex
 
-    return regex.compile(r"[\p{L}\p{M}]+(?:['’-][\p{L}\p{M}]+)*"), regex.compile(r"[^\p{L}\p{M}]+"), regex.compile(r"[\p{Cf}]+")
+    return regex.compile(r"[\p{L}\p{M}]+(?:['’-][\p{L}\p{M}]+)*"), regex.compile(r"[^\p{L}\p{M}]+")
+
+
+@cache
+def _hidden() -> re.Pattern:
+    """Invisible format characters."""
+    return re.compile("[" + "".join(map(re.escape, (c for c in map(chr, range(0x10000)) if unicodedata.category(c) == "Cf"))) + "\U000e0001-\U000e007f]+")
+
+
+def plain(text: str) -> str:
+    """The text in composed form without invisible characters; its lines stay as many."""
+    return text if text.isascii() else _hidden().sub("", unicodedata.normalize("NFC", text))
 
 
 def is_prose(line: str) -> bool:
@@ -58,9 +78,13 @@ def is_prose(line: str) -> bool:
     if not line.isascii() and len(_UNSPACED.findall(line)) >= 2:
         return True
     tokens = line.split()
-    word, wanted = _letters()[0].fullmatch, len(tokens) // 2
+    wanted = len(tokens) // 2
+    if not _MARKED.search(line):
+        found = _PLAIN.findall(line)
+        return len(found) > wanted and (_CAPITALS.search(line) is None or sum(not w.isupper() for w in found) > wanted)
+    word = _letters()[0].fullmatch
     for t in tokens:
-        w = t.strip(".,;:!?()[]«»\"'“”„*#؟،。")
+        w = t.strip(_STRIP)
         if len(w) > 1 and not w.isupper() and (w.isalpha() or word(w)):
             wanted -= 1
             if wanted < 0:
@@ -69,32 +93,38 @@ def is_prose(line: str) -> bool:
 
 
 def letters_of(line: str) -> str:
-    """What is scored of a line: words in lower case, without code and, where enough is left, quotations."""
-    _, gaps, hidden = _letters()
-    if not line.isascii():
-        line = hidden.sub("", unicodedata.normalize("NFC", line))
-    bare = _CODE.sub(" ", line)
-    rest = _QUOTED.sub(" ", bare)
-    if sum(map(str.isalpha, rest)) >= 8:
-        bare = rest
+    """What is scored of a :func:`plain` line: words in lower case, without code and, where enough is left, quotations."""
+    bare = _CODE.sub(" ", line) if _CODE_SIGN.search(line) else line
+    if _QUOTE_SIGN.search(bare):
+        rest = _QUOTED.sub(" ", bare)
+        if sum(map(str.isalpha, rest)) >= 8:
+            bare = rest
     if not bare.isascii() and (dense := len(_UNSPACED.findall(bare))):
         # of two kinds of script in a line, the one that says more
         latin = len(_ASCII_LETTER.findall(bare))
         if latin:
             bare = (_ASCII_WORD if dense * 3 >= latin else _UNSPACED).sub(" ", bare)
-    bare = (_ASCII_GAP if bare.isascii() else gaps).sub(" ", bare).strip()
+    gap = _ASCII_GAP if bare.isascii() else _letters()[1] if _MARKED.search(bare) else _GAPS
+    bare = gap.sub(" ", bare).strip()
     return f" {bare.lower()} " if bare else ""
 
 
 def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The bucket of each n-gram, and the number of the text it is of, ascending by n only."""
+    parts = list(_by_size(texts))
+    if not parts:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.concatenate([b for b, _ in parts]), np.concatenate([o for _, o in parts])
+
+
+def _by_size(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Buckets and texts' numbers of the 1-grams, the 2-grams, the 3-grams; numbers ascend in each."""
     joined = "\n".join(texts)
     c = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     if not len(c):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return
     end = c == 10
     text = np.cumsum(end) - end
-    found, of = [], []
     h = np.zeros(len(c), np.uint64)
     clean = np.ones(len(c), bool)
     for n in range(3):
@@ -104,9 +134,34 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         h = h[:m] * np.uint64(0x9E3779B97F4A7C15) + c[n:] + np.uint64(n + 1)
         clean = clean[:m] & ~end[n:]
         mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        found.append((mixed[clean] >> np.uint64(64 - BITS)).astype(np.int64))
-        of.append(text[:m][clean])
-    return np.concatenate(found), np.concatenate(of)
+        yield (mixed[clean] >> np.uint64(64 - BITS)).astype(np.int64), text[:m][clean]
+
+
+#: Characters that are scored at once.
+PIECE = 200_000
+
+
+def _pieces(texts: list[str]) -> Iterator[tuple[list[str], list[int]]]:
+    """The texts and their numbers in lists of about ``PIECE`` characters, longer ones cut at spaces, else anywhere."""
+    held, numbers, size = [], [], 0
+    for i, t in enumerate(texts):
+        at = 0
+        while at < len(t):
+            to = len(t)
+            if to - at > PIECE:
+                space = t.rfind(" ", at + PIECE // 2, at + PIECE)
+                to = space + 1 if space > 0 else at + PIECE
+            held.append(t[at:to])
+            numbers.append(i)
+            size += to - at
+            at = to if to == len(t) or t[to - 1] != " " else to - 1  # the space bounds words on both sides
+            if size >= PIECE:
+                yield held, numbers
+                held, numbers, size = [], [], 0
+            if to == len(t):
+                break
+    if held:
+        yield held, numbers
 
 
 class Model:
@@ -123,14 +178,16 @@ class Model:
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Log likelihoods (texts by languages), each text's best offset alike, and the number of n-grams."""
-        out = np.zeros((len(texts), len(self.langs)))
-        buckets, of = ngrams(texts)
-        if len(buckets):
-            order = np.argsort(of, kind="stable")
-            of, buckets = of[order], buckets[order]
-            starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-            out[of[starts]] = np.add.reduceat(self.logp[buckets], starts, axis=0)
-        return out, np.bincount(of, minlength=len(texts)) if len(of) else np.zeros(len(texts), np.int64)
+        out, sizes = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64)
+        for part, numbers in _pieces(texts):
+            numbers = np.array(numbers)
+            for buckets, of in _by_size(part):
+                if len(of):
+                    starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+                    at = numbers[of[starts]]
+                    np.add.at(out, at, np.add.reduceat(self.logp[buckets], starts, axis=0))
+                    np.add.at(sizes, at, np.diff(np.r_[starts, len(of)]))
+        return out, sizes
 
     def confidence(self, scores: np.ndarray, n: int) -> tuple[int, float]:
         """The best language, and its posterior if the text's n-grams told no more than 30 independent ones of their kind."""
@@ -142,6 +199,9 @@ class Model:
 
 def decode(scores: np.ndarray) -> list[int]:
     """The best sequence of languages for lines with these scores."""
+    each = scores.argmax(1)
+    if (each == each[0]).all():
+        return [int(each[0])] * len(each)
     best = scores[0].copy()
     back = []
     for s in scores[1:]:
@@ -159,7 +219,7 @@ def segments(model: Model, texts: list[str | None]) -> list[list[tuple[int, int,
     """Of each text its segments: first line, line after the last, index of the language, confidence."""
     lines, owners = [], []
     for i, t in enumerate(texts):
-        for no, line in enumerate((t or "").split("\n")):
+        for no, line in enumerate(plain(t or "").split("\n")):
             if is_prose(line):
                 lines.append(letters_of(line))
                 owners.append((i, no))
@@ -172,7 +232,7 @@ def segments(model: Model, texts: list[str | None]) -> list[list[tuple[int, int,
             end += 1
         n_lines = (t or "").count("\n") + 1
         if end == at or not sizes[at:end].any():
-            s, n = model.score([letters_of(t or "")])
+            s, n = model.score([letters_of(plain(t or ""))])
             best, p = model.confidence(s[0], int(n[0]))
             out.append([(0, n_lines, best, p)])
         else:
@@ -206,19 +266,23 @@ _COUNTS = "lang int, bucket int, n double"
 
 
 def fit(df: DataFrame, codes: dict[str, str], text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = DOCUMENTS_PER_LANGUAGE) -> Model:
-    """The model, from at most ``per_language`` labelled documents of each language, taken by a hash of their ids.
+    """The model, from at most ``per_language`` labelled documents of each language, taken by a hash of their ids: no language sends more to be ranked, however many documents it has.
 
     Without labelled documents all languages stay equally likely.
     """
     langs = sorted(set(codes.values()))
     index = {x: i for i, x in enumerate(langs)}
-    known = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), label_of(F.col(lang_col), codes).alias("_lang")).where(F.col("_lang").isNotNull() & F.col("_text").rlike(r"(?U)\S"))
-    rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), F.col("_id")))
+    known = df.select(F.xxhash64(id_col).alias("_hash"), F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), label_of(F.col(lang_col), codes).alias("_lang")).where(F.col("_lang").isNotNull())
+    # of a language with many documents only those under a threshold of the hash are read and ranked, some more than are wanted
+    share = {r[0]: min(1.0, (per_language + 8 * per_language**0.5 + 20) / r[1]) for r in known.groupBy("_lang").count().collect()}
+    limit = F.create_map(*(F.lit(x) for k, v in share.items() for x in (k, int(v * 2**63) if v < 1 else 2**63 - 1))) if share else F.create_map(F.lit(""), F.lit(0))
+    known = known.where((F.shiftrightunsigned("_hash", 1) <= limit.getItem(F.col("_lang"))) & F.col("_text").rlike(r"(?U)\S"))
+    rank = F.row_number().over(Window.partitionBy("_lang").orderBy("_hash", "_id"))
     taken = known.withColumn("_rank", rank).where(F.col("_rank") <= per_language).repartition(df.sparkSession.sparkContext.defaultParallelism * 2, "_rank").select("_text", "_lang")
 
     def prose(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
-            yield pd.DataFrame({"lines": ["\n".join(letters_of(x) for x in text.split("\n") if is_prose(x)) for text in pdf["_text"]], "lang": pdf["_lang"].map(index)})
+            yield pd.DataFrame({"lines": ["\n".join(letters_of(x) for x in plain(text).split("\n") if is_prose(x)) for text in pdf["_text"]], "lang": pdf["_lang"].map(index)})
 
     sample = checkpoint(taken.mapInPandas(prose, "lines string, lang int"))
     model = None

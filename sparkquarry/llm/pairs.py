@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from sparkquarry.llm.frames import integer_columns, integers
-from sparkquarry.llm.langid import Model, is_prose, letters_of
+from sparkquarry.llm.langid import Model, is_prose, letters_of, plain
 from sparkquarry.sources import spread
 
 # Titles of reference lists, names of an answer, and placeholders for no answer.
@@ -245,7 +245,7 @@ def script_of(letters: str) -> str | None:
 
 def spoken(text: str) -> str:
     """The letters of a text's prose lines."""
-    return "".join(letters_of(x) for x in text.split("\n") if is_prose(x) and not _FENCE.match(x))
+    return "".join(letters_of(x) for x in plain(text).split("\n") if is_prose(x) and not _FENCE.match(x))
 
 
 #: How much likelier two languages must be than any one for both texts, in units of log likelihood.
