@@ -3,7 +3,7 @@
 Truncation: a pushdown parser goes over the answer; fences, code spans, brackets, quotations and emphasis open and close
 on its stack, and what is open at the end was cut off; so was a table row without its last bar and prose without an end
 mark. Repetition of the question: greedy string tiling, the share of either text that common tiles cover. Refusals: each
-sentence, courtesies aside, is a phrase of the refusal grammar and adds nothing. Language: scripts of the letters, and
+sentence, courtesies aside, is derived by a production of the refusal grammar and adds nothing. Language: scripts of the letters, and
 within a script the naive Bayes model of :mod:`langid`.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -28,33 +29,144 @@ _PLACEHOLDER = re.compile(r"^\W*(?:n\s*/\s*a|n\.a\.|null|none|nil|nan|undefined|
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,80}>|<!--.*?-->", re.S)
 _HIDDEN = re.compile(r"[​-‏‪-‮⁠﻿­]")
 
-# Courtesies around a refusal, then phrases of refusals by language.
+# Courtesies around a refusal.
 _COURTESY = re.compile(
     r"^\W*(?:hello|hi|dear user|thank you(?: for [^,.!]*)?|thanks(?: for [^,.!]*)?|sorry|i(?:'|’)?m sorry|i am sorry|i apologi[sz]e|unfortunately|please (?:contact|consult|ask|try|rephrase)[^.!;]*"
     r"|您好|你好|感谢(?:提问|您的提问|您的?咨询)?|谢谢|抱歉|很抱歉|对不起|请联系[^。]*|建议联系[^。]*|こんにちは|ご質問ありがとうございます|申し訳(?:ありません|ございません)が?|すみません|恐れ入りますが"
     r"|안녕하세요|질문 감사합니다|죄송합니다(?:만)?|죄송하지만|hallo|guten tag|danke(?: für [^,.!]*)?|vielen dank(?: für [^,.!]*)?|leider|entschuldigung|es tut mir leid|bonjour|merci(?: pour [^,.!]*| de [^,.!]*)?|désolée?|malheureusement"
     r"|hola|gracias(?: por [^,.!]*)?|lo siento|lamentablemente|olá|obrigad[oa](?: por [^,.!]*| pela [^,.!]*)?|desculpe|infelizmente|lamento|ciao|salve|buongiorno|grazie(?: per [^,.!]*)?|mi dispiace|purtroppo"
+    r"|ขออภัย(?:ครับ|ค่ะ|ด้วย)*|ขอโทษ(?:ครับ|ค่ะ|ด้วย)*|สวัสดี(?:ครับ|ค่ะ)?|ขอบคุณ(?:สำหรับคำถาม|ที่ถาม)?(?:ครับ|ค่ะ)?|กรุณาติดต่อ[^.]*|नमस्ते|क्षमा करें|माफ़? ?कीजिए|माफ़ करें|खेद है(?: कि)?|मुझे खेद है(?: कि)?|दुर्भाग्य से|प्रश्न के लिए धन्यवाद|धन्यवाद|مرحبا|عذرا|عذراً|آسف|أعتذر|للأسف|مع الأسف|شكرا(?: على سؤالك)?|شكراً(?: على سؤالك)?|يرجى الاتصال[^.]*"
     r"|здравствуйте|спасибо(?: за [^,.!]*)?|к сожалению|извините|простите|вітаю|дякую(?: за [^,.!]*)?|на жаль|вибачте)[\s,;.!。！，、:：]*",
     re.I,
 )
-_REFUSAL = re.compile(
-    r"\b(?:can(?:no|'|’)t|cannot|can not|could not|couldn(?:'|’)t|unable to|not able to|not allowed to|won(?:'|’)t|will not|must not) (?:[\w]+ ){0,3}?(?:answer|help|assist|provide|respond|discuss|comply|find|say|share|tell)\b"
-    r"|\b(?:do not|don(?:'|’)t) (?:know|have (?:an|any|enough|the) (?:answer|information|data|details))\b|\bhave no (?:answer|information|idea|data)\b|\bnot sure\b"
-    r"|\bno (?:\w+ ){0,2}(?:information|answer|data|result|match|entry|entries|evidence|details)\b.*\b(?:found|available|exists?|given|provided)\b|\bno (?:\w+ )?(?:information|answer|data) (?:on|about|for|is|was)\b"
-    r"|\bnothing (?:\w+ ){0,2}(?:about|on|found|relevant)\b|\b(?:does|do) not (?:contain|include|provide|mention|cover|have)\b|\b(?:is|was|are) not (?:mentioned|covered|found|included|available|described|answered)\b"
-    r"|\b(?:outside|beyond|out of) (?:\w+ ){0,3}(?:scope|allowed|able|knowledge|capabilit|remit)|\b(?:against|violate) (?:\w+ ){0,2}(?:guideline|polic|rule)|\bfalls outside\b|\binsufficient (?:information|context|data)\b"
-    r"|(?:无法|不能|没法|不便|未能|不可以|难以)(?:[^。，]{0,8})?(?:回答|作答|提供|协助|帮助|解答|答复|确定|找到|判断|给出)|没有(?:[^。，]{0,10})?(?:找到|提到|提及|相关|足够|信息|资料|答案|说明|涉及|记载)|未(?:找到|提及|提到|检索到|发现|涉及|查到)|(?:找|查|搜)不到"
-    r"|不(?:清楚|知道|了解|太清楚|确定)|超出[^。，]{0,10}(?:范围|能力)|不在[^。，]{0,10}范围|信息不足|资料不足|缺乏(?:相关)?(?:信息|资料)"
-    r"|(?:お答え|回答|お手伝い|提供|ご案内|お応え|対応|判断)(?:することは?)?(?:は|が)?(?:でき|いたしかね|しかね)(?:ません|ない|ます)|見つかりません|見つかっていません|(?:わか|分か)りません|(?:存じ|知り)(?:上げ)?ません|記載(?:されて|が|は)(?:い|あり)?ません|情報(?:が|は)(?:あり|不足|含まれて)|範囲外|該当する情報"
-    r"|(?:답변|대답|도움|도와|제공|안내|확인|알|찾을)(?:해|을|를|드릴|할|하실)?\s?(?:드릴|할)?\s?수\s?(?:가\s?)?없|찾(?:을 수|지) (?:없|못)|모르겠|알지 못|정보(?:가|를|는) (?:없|찾지|부족)|범위를 벗어"
-    r"|\b(?:kann|können|konnte|darf|vermag)\b[^.!]*\b(?:nicht|keine?n?)\b|\bnicht (?:beantworten|helfen|bekannt|enthalten|gefunden|erlaubt)\b|\bkeine (?:[\wäöüß]+ ){0,3}(?:angaben|informationen|antwort|daten|treffer|hinweise)\b|\bweiß (?:es |das |ich )*nicht\b|\bnichts (?:dazu|darüber|zu|gefunden)\b|\baußerhalb (?:meine|des)\b|\bwiderspricht meinen\b"
-    r"|\bne (?:peux|puis|pouvons|sais|saurais|dispose|trouve|contient|contiennent|figure|connais)\b[^.!]*\b(?:pas|rien|aucune?)\b|\bje ne sais pas\b|\baucune? (?:[\wéèàê]+ ){0,2}(?:information|réponse|donnée|résultat|mention)\b|\bn(?:'|’)(?:a|ai|est|ont|y a) (?:pas|rien|aucune?)\b|\bhors (?:de|du) (?:mon|ma|cadre|champ)\b"
-    r"|\bno (?:puedo|podemos|pude|sé|lo sé|tengo|se encontr\w+|se ha encontrado|hay|dispongo|figura|aparece|contiene|es posible)\b|\bninguna información\b|\bfuera de mi\b"
-    r"|\bnão (?:posso|consigo|podemos|sei|tenho|foi encontrad\w|foram encontrad\w+|encontrei|há|consta|contém|é possível)\b|\bnenhuma informação\b|\bfora do meu\b"
-    r"|\bnon (?:posso|possiamo|so|lo so|sono in grado|ho|è stat\w|sono stat\w|ci sono|c(?:'|’)è|contiene|è possibile|dispongo|risulta)\b|\bnessuna informazione\b|\bfuori dal mio\b"
-    r"|\bне (?:могу|можем|знаю|удалось|найден\w*|содерж\w+|располагаю|имею|указан\w*|упомина\w+|в состоянии)\b|\bнет (?:ответа|информации|сведений|данных)\b|\bвне (?:моей|моих|рамок)\b|\bне (?:можу|можемо|знаю|вдалося|знайден\w*|містит\w+|маю)\b|\bнемає (?:відповіді|інформації|відомостей|даних)\b",
-    re.I,
-)
+# The terminals of the refusal grammar by language. cannot: an ability or will denied; tell: what an answer does; ignorance: not knowing; none: no such thing; lore: what an answer is made of; absent: not there, in one phrase; beyond, against: outside of, contrary to; bounds: what an answerer keeps to; if: what makes a sentence a condition, so no refusal.
+_TERMINALS = {
+    "en": {
+        "cannot": r"(?:can(?:no|'|’)t|cannot|can not|could not|couldn(?:'|’)t|unable to|not able to|not allowed to|won(?:'|’)t|will not|must not|not (?:going|permitted) to)",
+        "tell": r"(?<!the )(?<!an )(?:answer|help|assist|provide|respond|discuss|comply|find|say|share|tell|give|explain)(?!\w)",
+        "ignorance": r"(?:(?:do not|don(?:'|’)t) know|no idea|not sure|(?:do not|don(?:'|’)t) have)",
+        "absent": r"(?:(?:does|do|did) not (?:contain|include|provide|mention|cover|have)|(?:is|was|are|were) not (?:mentioned|covered|found|included|available|described|answered|provided))(?!\w)",
+        "none": r"(?:no|nothing|insufficient)(?!\w)", "lore": r"(?<!the )(?<!an )(?:information|answers?|data|details?|idea|results?|match|entry|entries|evidence|context|about|found|relevant)(?!\w)",
+        "beyond": r"(?:outside|beyond|out of)(?!\w)", "against": r"(?:against|violates?|contrary to)(?!\w)",
+        "bounds": r"(?:scope|allowed|able|knowledge|capabilit\w*|remit|guidelines?|polic\w+|rules?)(?!\w)", "if": r"(?:if|when|whenever|unless|until|in case)(?!\w)",
+    },
+    "de": {
+        "cannot": r"(?:kann|können|konnte|darf|dürfen|vermag)(?!\w)(?=[^.!?]*(?<!\w)(?:nicht|keine?n?)(?!\w))", "tell": r"(?:beantworten|antworten|helfen|geben|nennen|sagen|machen|bereitstellen|unterstützen|diskutieren|finden)(?!\w)",
+        "ignorance": r"(?:weiß (?:es |das |ich )*(?:leider )?nicht|nicht (?:bekannt|sicher))", "none": r"(?:keine?n?|nichts|nicht)(?!\w)",
+        "lore": r"(?:angaben|informationen|antwort|daten|treffer|hinweise|dazu|darüber|enthalten|gefunden|erwähnt|beschrieben)(?!\w)",
+        "beyond": r"außerhalb", "against": r"(?:widersprich\w*|gegen|verst\w+ß\w* gegen)(?!\w)", "bounds": r"(?:meine[rsn]?|des|richtlinien|rahmens?|bereichs?|möglichkeiten|regeln)(?!\w)", "if": r"(?:wenn|falls|sofern|sobald|solange)(?!\w)",
+    },
+    "fr": {
+        "cannot": r"(?:ne (?:peux|puis|pouvons|peut|saurais|saurions)|n(?:'|’)(?:ai|est) pas (?:le droit|autorisée?|en mesure) (?:de|d(?:'|’)))", "tell": r"(?:répondre|aider|fournir|donner|dire|discuter|traiter|partager|trouver)(?!\w)",
+        "ignorance": r"(?:(?:ne |n(?:'|’)en )?sais (?:pas|rien)|n(?:'|’)ai (?:pas|aucune))", "none": r"(?:aucune?|rien|ne|n(?:'|’)(?:a|ai|est|ont|y a) (?:pas|rien|aucune?))(?!\w)",
+        "lore": r"(?:informations?|réponse|données?|résultats?|mention|trouvée?s?|contient|contiennent|figure|dispose|connais|pertinente?s?|suffisamment)(?!\w)",
+        "beyond": r"hors(?!\w)", "against": r"(?:contraire|contre|enfreint)(?!\w)", "bounds": r"(?:mon|mes|cadre|champ|règles|directives|compétences?)(?!\w)", "if": r"(?:si|lorsque|quand|tant que|sauf)(?!\w)",
+    },
+    "es": {
+        "cannot": r"no (?:puedo|podemos|puede|pude|es posible|se me permite|estoy autorizad[oa] a)(?!\w)", "tell": r"(?:responder|ayudar(?:te|le)?|proporcionar|dar|decir|contestar|ofrecer|compartir|facilitar)(?!\w)",
+        "ignorance": r"no (?:lo )?(?:sé|sabemos|tengo|dispongo)(?!\w)", "none": r"(?:no (?:se encontr\w+|se ha encontrado|hay|figura|aparece|contienen?)|ninguna?|nada)(?!\w)",
+        "lore": r"(?:información|respuesta|datos?|resultados?|relevante|base|documentos?|suficientes?|sobre|esto|eso|al respecto)(?!\w)",
+        "beyond": r"fuera de(?!\w)", "against": r"(?:contra|en contra de|contrario)(?!\w)", "bounds": r"(?:mi|mis|alcance|ámbito|normas|reglas|políticas?|directrices)(?!\w)", "if": r"(?:si|cuando|hasta que|a menos que)(?!\w)",
+    },
+    "pt": {
+        "cannot": r"não (?:posso|consigo|podemos|pode|é possível|tenho permissão para|estou autorizad[oa] a)(?!\w)", "tell": r"(?:responder|ajudar|fornecer|dar|dizer|informar|discutir|compartilhar|encontrar)(?!\w)",
+        "ignorance": r"não (?:o )?(?:sei|sabemos|tenho|disponho)(?!\w)", "none": r"(?:não (?:foi encontrad\w|foram encontrad\w+|encontrei|há|consta|contém|existe)|nenhuma?|nada)(?!\w)",
+        "lore": r"(?:informaç\w+|respostas?|dados?|resultados?|relevantes?|base|documentos?|suficientes?|sobre|isso|a respeito)(?!\w)",
+        "beyond": r"fora d[oae]s?(?!\w)", "against": r"(?:contra|contrári[oa])(?!\w)", "bounds": r"(?:meu|minhas?|escopo|âmbito|normas|regras|políticas?|diretrizes)(?!\w)", "if": r"(?:se|quando|até que|a menos que|caso)(?!\w)",
+    },
+    "it": {
+        "cannot": r"(?:non (?:posso|possiamo|può|sono in grado di|è possibile|mi è permesso)|impossibile)(?!\w)", "tell": r"(?:rispondere|aiutar\w+|fornire|dare|dire|trattare|condividere|trovare)(?!\w)",
+        "ignorance": r"non (?:lo )?(?:so|sappiamo|ho|dispongo)(?!\w)", "none": r"(?:non (?:è stat\w|sono stat\w|ci sono|c(?:'|’)è|contiene|risulta\w*)|nessun[oa]?|niente|nulla)(?!\w)",
+        "lore": r"(?:informazion\w+|rispost\w|dat[oi]|risultat[oi]|pertinent\w|rilevant\w|base|document\w+|sufficient\w|trovat\w|al riguardo|questo)(?!\w)",
+        "beyond": r"fuori da\w*(?!\w)", "against": r"(?:contro|contrari[oa])(?!\w)", "bounds": r"(?:mi[oae]i?|ambito|regole|norme|politiche|competenze)(?!\w)", "if": r"(?:se|quando|finché|qualora)(?!\w)",
+    },
+    "ru": {
+        "cannot": r"(?:не (?:могу|можем|может|имею права|в состоянии|вправе)|нельзя)(?!\w)", "tell": r"(?:ответить|отвечать|помочь|помогать|предоставить|дать|сказать|обсуждать|сообщить|найти)(?!\w)",
+        "ignorance": r"не (?:знаю|знаем|располагаю|имею|удалось|уверен\w*)(?!\w)", "none": r"(?:не (?:найден\w*|содерж\w+|указан\w*|упомина\w+|нашл\w+)|нет|отсутств\w+|ничего)(?!\w)",
+        "lore": r"(?:ответа?|информаци\w+|сведени\w+|данны\w+|результат\w*|подходящ\w+|достаточн\w+|базе|документ\w+|об этом)(?!\w)",
+        "beyond": r"(?:вне|за рамк\w+|за предел\w+|выходит за)(?!\w)", "against": r"(?:против\w*|наруша\w+)(?!\w)", "bounds": r"(?:мо(?:ей|их|его|им)|рам\w+|предел\w+|правил\w*|полномочи\w*|компетенци\w*)(?!\w)", "if": r"(?:если|когда|пока|в случае)(?!\w)",
+    },
+    "uk": {
+        "cannot": r"не (?:можу|можемо|може|маю права|в змозі)(?!\w)", "tell": r"(?:відповісти|відповідати|допомогти|надати|дати|сказати|обговорювати|повідомити|знайти)(?!\w)",
+        "ignorance": r"не (?:знаю|знаємо|маю|вдалося|впевнен\w*)(?!\w)", "none": r"(?:не (?:знайден\w*|містит\w+|вказан\w*|згадано)|немає|відсутн\w+|нічого)(?!\w)",
+        "lore": r"(?:відповід\w+|інформаці\w+|відомост\w+|дани\w+|результат\w*|відповідн\w+|достатн\w+|базі|документ\w+|про це)(?!\w)",
+        "beyond": r"(?:поза|за меж\w+|виходить за)(?!\w)", "against": r"(?:проти\w*|порушу\w+)(?!\w)", "bounds": r"(?:мо(?:єї|їх|го|їми)|меж\w+|правил\w*|повноважен\w*|компетенці\w*)(?!\w)", "if": r"(?:якщо|коли|доки|у разі)(?!\w)",
+    },
+    "zh": {
+        "cannot": r"(?:无法|不能|没法|不便|未能|不可以|难以|恕不)", "tell": r"(?:回答|作答|提供|协助|帮助|解答|答复|确定|找到|判断|给出|回应|讨论)", "ignorance": r"(?:不(?:太)?(?:清楚|知道|了解|确定)|没有答案)",
+        "none": r"(?:没有|未|(?:找|查|搜)不到|缺乏|不足|不够)", "lore": r"(?:找到|提到|提及|相关|足够|信息|资料|答案|说明|涉及|记载|检索到|发现|查到|内容)", "beyond": r"(?:超出|不在|超越)", "against": r"(?:违反|违背|有悖)", "bounds": r"(?:范围|能力|权限|规定|准则|原则|政策)", "if": r"(?:如果|若|假如|一旦|除非)",
+    },
+    "ja": {
+        "cannot": r"(?:でき(?:ません|ない|かね)|しかね|いたしかね|応じられ(?:ません|ない))", "tell": r"(?:お?答え|回答|お?手伝い|提供|ご?案内|お応え|対応|判断|ご?質問)", "ignorance": r"(?:(?:わか|分か)りません|(?:存じ|知り)(?:上げ)?ません|不明です)",
+        "none": r"(?:見つかりません|見つかっていません|ありません|記載され(?:て(?:い|お)ら?)?(?:ません|ず)|含まれて(?:い|おり)?ません|不足|ございません)", "lore": r"(?:情報|記載|該当|資料|データ|回答|答え|内容)", "beyond": r"(?:範囲外|超えて|対象外)", "against": r"(?:違反|反し)", "bounds": r"(?:範囲|規定|方針|ガイドライン|権限|対象外)", "if": r"(?:もし|場合|とき|時は|たら、)",
+    },
+    "ko": {
+        "cannot": r"수(?:가|는)?\s?없(?:습니다|어요|다|음)", "tell": r"(?:답변|대답|도움|도와|제공|안내|확인|알려|찾을|답할|논의)", "ignorance": r"(?:모르겠|모릅니다|알지 못|알 수 없)", "none": r"(?:찾(?:을 수 없|지 못)|없(?:습니다|어요|음)|부족|포함되어 있지 않|언급되지 않)",
+        "lore": r"(?:정보|자료|답변|내용|문서|데이터|관련)", "beyond": r"(?:벗어|밖)", "against": r"(?:위배|위반|어긋)", "bounds": r"(?:범위|지침|규정|정책|권한)", "if": r"(?:만약|경우|때에|(?:으)?면\s)",
+    },
+    "th": {
+        "cannot": r"(?:ไม่สามารถ|ไม่อาจ|ไม่ได้รับอนุญาต)", "tell": r"(?:ตอบ|ช่วย|ให้ข้อมูล|ให้คำ|บอก|อธิบาย|พูดคุย|ดำเนินการ)", "ignorance": r"(?:ไม่ทราบ|ไม่รู้|ไม่แน่ใจ)", "none": r"(?:ไม่พบ|ไม่มี|ไม่ได้ระบุ|ไม่ได้กล่าว|ไม่เพียงพอ)", "lore": r"(?:ข้อมูล|คำตอบ|เนื้อหา|รายละเอียด|เอกสาร|เกี่ยวข้อง|เกี่ยวกับ)",
+        "beyond": r"(?:นอก|เกิน)", "against": r"(?:ขัดต่อ|ขัดกับ|ละเมิด|ผิด)", "bounds": r"(?:ขอบเขต|นโยบาย|แนวทาง|กฎ|ความสามารถ)", "if": r"(?:ถ้า|หาก|เมื่อ)",
+    },
+    "hi": {
+        "cannot": r"(?:नहीं (?:कर |दे |बता |हो )?(?:सकता|सकती|सकते|सका|सकूँगा|पा रहा|पाया)|असमर्थ|अक्षम|अनुमति नहीं)", "tell": r"(?:उत्तर|जवाब|मदद|सहायता|बता|जानकारी|दे|चर्चा|प्रदान)", "ignorance": r"(?:नहीं (?:जानता|जानती|जानते|पता)|पता नहीं|मालूम नहीं|निश्चित नहीं)",
+        "none": r"(?:नहीं (?:मिल\w*|मिली|मिला|है|हैं|दी गई|दिया गया)|कोई|अपर्याप्त|पर्याप्त नहीं|उल्लेख नहीं)", "lore": r"(?:जानकारी|उत्तर|जवाब|सूचना|विवरण|डेटा|संदर्भ|दस्तावेज़?|प्रासंगिक|उल्लेख)", "beyond": r"(?:बाहर|परे)", "against": r"(?:विरुद्ध|खिलाफ|ख़िलाफ़|उल्लंघन)", "bounds": r"(?:दायरे|सीमा|क्षेत्र|नियम\w*|दिशा-?निर्देश\w*|नीति\w*)", "if": r"(?:यदि|अगर|जब)",
+    },
+    "ar": {
+        "cannot": r"(?:لا (?:أستطيع|استطيع|يمكنني|يمكننا|يمكن|نستطيع|أقدر)|لست قادرا?ً?|غير قادر|لن (?:أتمكن|أستطيع)|لا يسمح لي|غير مسموح)", "tell": r"(?:الإجابة|الاجابة|إجابة|الرد|المساعدة|مساعدت\w*|تقديم|توفير|أجيب|أساعد|إعطاء|مناقشة)", "ignorance": r"(?:لا (?:أعرف|اعرف|أعلم|اعلم|أدري|نعرف)|لست متأكدا?ً?)",
+        "none": r"(?:لا (?:توجد|يوجد|تتوفر|تتوافر|يحتوي|تحتوي|يتضمن|تتضمن)|لم (?:أجد|يتم العثور|يُ?عثر|يرد|يُ?ذكر|أعثر)|ليس (?:لدي|هناك)|ليست (?:لدي|هناك)|غير كاف\w*)", "lore": r"(?:معلومات|إجابة|اجابة|بيانات|تفاصيل|نتائج|ذكر|صلة|السياق|المستندات|الوثائق|هذا|ذلك)",
+        "beyond": r"(?:خارج|يتجاوز|تتجاوز)", "against": r"(?:ضد|يخالف|تخالف|مخالف\w*|ينتهك|يتعارض)", "bounds": r"(?:نطاق|إرشادات\w*|سياس\w+|قواعد\w*|صلاحي\w+|قدرات\w*)", "if": r"(?:إذا|اذا|عندما|لو)(?!\w)",
+    },
+}
+#: The productions: a refusal is one of these, its symbols in any order, as languages differ, with no more than ``GAP`` words between.
+_PRODUCTIONS = [("ignorance",), ("absent",), ("cannot", "tell"), ("none", "lore"), ("beyond", "bounds"), ("against", "bounds")]
+GAP = 6
+_BY_SCRIPT = {"latin": ["en", "de", "fr", "es", "pt", "it"], "cyrillic": ["ru", "uk"], "han": ["zh"], "kana": ["ja"], "hangul": ["ko"], "thai": ["th"], "devanagari": ["hi"], "arabic": ["ar"]}
+
+
+@cache
+def _terminals(lang: str) -> re.Pattern:
+    bound = r"(?<!\w)" if lang in (*_BY_SCRIPT["latin"], *_BY_SCRIPT["cyrillic"], "hi", "ar") else ""
+    return re.compile("|".join(f"(?P<{'if_' if k == 'if' else k}>{bound}{v})" for k, v in _TERMINALS[lang].items()), re.I)
+
+
+@cache
+def _each_terminal(lang: str) -> dict[str, re.Pattern]:
+    bound = r"(?<!\w)" if lang in (*_BY_SCRIPT["latin"], *_BY_SCRIPT["cyrillic"], "hi", "ar") else ""
+    return {k: re.compile(bound + v, re.I) for k, v in _TERMINALS[lang].items()}
+
+
+def derives_refusal(sentence: str, lang: str) -> bool:
+    """Whether some part of a sentence is derived by a production, and no condition stands before it."""
+    if not _terminals(lang).search(sentence):
+        return False
+    # terminals may overlap (a word can be of two kinds), so each kind is looked for by itself
+    places = {k: [m.span() for m in p.finditer(sentence)] for k, p in _each_terminal(lang).items()}
+    condition = min((a for a, _ in places["if"]), default=len(sentence))
+    spaced = lang not in ("zh", "ja", "th")
+    for symbols in _PRODUCTIONS:
+        if not all(x in places for x in symbols):
+            continue
+        if len(symbols) == 1:
+            if any(a < condition for a, _ in places[symbols[0]]):
+                return True
+            continue
+        for a, b in places[symbols[0]]:
+            for c, d in places[symbols[1]]:
+                if min(a, c) > condition:
+                    continue
+                between = sentence[b:c] if c >= b else sentence[d:a]
+                if (len(between.split()) if spaced else len(between)) <= (GAP if spaced else 2 * GAP):
+                    return True
+    return False
+
+
+def refuses(sentence: str) -> bool:
+    """Whether a sentence is a refusal in some language of its script."""
+    script = script_of(sentence)
+    return any(derives_refusal(sentence, lang) for lang in _BY_SCRIPT.get(script, ()))
+
+
 #: Words that join content to a phrase of refusal.
 _CONTENT = re.compile(r"[,;:，；：]\s*(?:but|however|yet|though|although|except|aber|jedoch|doch|mais|cependant|toutefois|pero|sin embargo|mas|porém|ma|però|tuttavia|но|однако|але|проте|不过|但是?|然而|可是|ただし|しかし|하지만|그러나)\b|(?:但是?|不过|然而|可是)|(?:ませんが|ないが|없지만|없으나)", re.I)
 _SENTENCE = re.compile(r"[^.!?。！？।\n]+(?:[.!?。！？।]+|\n|$)")
@@ -115,22 +227,40 @@ def tiled(a: list[str], b: list[str], shortest: int = 2) -> int:
 
 
 def is_copy(question: str | None, answer: str) -> bool:
-    """The answer is the question again, once or a few times, with no more than marks and labels around."""
+    """The answer is the question again, however often, with no more than marks and labels around."""
     q, a = tokens(question or ""), tokens(_LABEL.sub("", answer))
-    if not q or not a or len(a) > 4 * len(q) + 4:
+    if not q or not a:
         return False
+    if len(a) % len(q) == 0 and a[: len(q)] == q and a[len(q) :] == a[: -len(q)]:
+        return True
     known = set(q)
     if sum(t in known for t in a) < 0.9 * len(a) - 1:  # no tiles can cover more
         return False
-    times = max(1, round(len(a) / len(q)))
-    covered = tiled(a, q * times)
-    return len(a) - covered <= max(1, 0.1 * len(a)) and covered >= 0.8 * len(q)  # one token may be a label or number
+    spare = max(1, 0.1 * len(a))  # one token may be a label or number
+    if len(a) < 1.5 * len(q):
+        covered = tiled(a, q)
+        return len(a) - covered <= spare and covered >= 0.8 * len(q)
+    # each repetition by itself, from where the one before ends
+    at = missed = 0
+    while at < len(a) and missed <= spare:
+        part = a[at : at + len(q)]
+        if len(part) < 0.5 * len(q):  # an end cut short
+            missed += len(part) - tiled(part, q, min(2, len(part)))
+            break
+        if part[0] != q[0] and q[0] in part[1:]:
+            missed += (skip := part.index(q[0]))
+            at += skip
+            continue
+        covered = tiled(part, q)
+        if covered < 0.8 * len(q) and len(part) == len(q):
+            return False
+        missed += len(part) - covered
+        at += len(part)
+    return missed <= spare
 
 
 def is_refusal(answer: str) -> bool:
-    """Every sentence is a courtesy or a phrase of refusal, and at least one is a refusal."""
-    if len(answer) > 1000:
-        return False
+    """Every sentence is a courtesy or derived as a refusal, and at least one is a refusal."""
     refused = False
     for m in _SENTENCE.finditer(_LABEL.sub("", answer)):
         s = m[0].strip(" \t\n\"'“”*_")
@@ -138,7 +268,7 @@ def is_refusal(answer: str) -> bool:
             s = s[c.end() :]
         if not tokens(s):
             continue
-        if _CONTENT.search(s) or not _REFUSAL.search(s) or len(tokens(s)) > 40:
+        if _CONTENT.search(s) or not refuses(s):
             return False
         refused = True
     return refused

@@ -2,7 +2,7 @@
 
 import pytest
 
-from sparkquarry.llm import markup
+from sparkquarry.llm import markup, pairs
 
 
 @pytest.mark.parametrize(
@@ -38,3 +38,32 @@ def test_boxes_beside_the_content_go():
 def test_nothing_goes_of_fragments():
     out = markup.clean("<p>Short.</p><ul><li>" + "Long item of the list. " * 20 + "</ul><div>Note</div><table><tr><td>1<td>2</table>")[0]
     assert all(x in out for x in ("Short.", "Long item", "1 | 2"))
+
+
+@pytest.mark.parametrize(
+    "answer",
+    [
+        "I cannot answer this. " * 60, "I cannot answer the question " + "about this and that " * 40 + "here.", "No relevant information was found.", "Leider kann ich diese Frage nicht beantworten.", "Je ne sais pas.", "Désolé, je ne peux pas répondre.",
+        "No puedo responder a esta pregunta.", "Nenhuma informação relevante foi encontrada.", "Non posso rispondere a questa domanda.", "К сожалению, я не могу ответить на этот вопрос.", "Немає відповіді на це.", "抱歉，我无法回答这个问题。", "该请求超出了我的服务范围。",
+        "申し訳ありませんが、その質問にはお答えできません。", "죄송하지만 이 질문에는 답변할 수 없습니다.", "ขออภัย ฉันไม่สามารถตอบคำถามนี้ได้", "ไม่พบข้อมูลที่เกี่ยวข้อง", "क्षमा करें, मैं इस प्रश्न का उत्तर नहीं दे सकता।", "मुझे नहीं पता।", "عذرا، لا أستطيع الإجابة على هذا السؤال.", "لا توجد معلومات حول هذا.",
+    ],
+)
+def test_refusals(answer):
+    assert pairs.is_refusal(answer)
+
+
+@pytest.mark.parametrize(
+    "answer",
+    [
+        "Do not remove the answer cache while the pump runs.", "If the log contains no information about it, open the valve.", "I could not find an entry, but the pump is on.", "The valve is open.", "Wenn keine Antwort kommt, starten Sie die Pumpe neu.", "如果没有找到信息，请重启设备。", "ถ้าไม่พบข้อมูล ให้เปิดวาล์ว", "यदि जानकारी नहीं मिलती है, तो वाल्व खोलें।", "إذا لم تجد معلومات، افتح الصمام.", "Der Deckel kann nicht geöffnet werden.", "",
+    ],
+)
+def test_no_refusals(answer):
+    assert not pairs.is_refusal(answer)
+
+
+def test_copies_however_often():
+    q = "How is the pump set up here?"
+    assert all(pairs.is_copy(q, " ".join([q] * n)) for n in (1, 2, 5, 40)) and pairs.is_copy(q, " ".join([q] * 7 + ["How is the pump"]))
+    assert not pairs.is_copy(q, " ".join([q] * 3) + " Open the valve and wait for two seconds until it is set up.") and not pairs.is_copy(q, "the pump " * 9)
+    assert pairs.is_copy("the " * 5000, "the " * 5000)
