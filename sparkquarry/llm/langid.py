@@ -253,7 +253,7 @@ def segments(model: Model, texts: list[str | None]) -> list[list[tuple[int, int,
 def label_of(lang: Column, codes: dict[str, str]) -> Column:
     """The two-letter code that a label names, in whatever case, with region, script, spaces or three letters; else null."""
     first = F.split(F.lower(F.trim(F.regexp_replace(lang, r"\s+", " "))), "[-_ ]").getItem(0)
-    return F.create_map(*(F.lit(x) for kv in codes.items() for x in kv)).getItem(first)
+    return F.create_map(*(F.lit(x) for kv in codes.items() for x in kv))[first]
 
 
 def read_codes(codes: DataFrame) -> dict[str, str]:
@@ -276,7 +276,7 @@ def fit(df: DataFrame, codes: dict[str, str], text_col: str = "text", lang_col:
     # of a language with many documents only those under a threshold of the hash are read and ranked, some more than are wanted
     share = {r[0]: min(1.0, (per_language + 8 * per_language**0.5 + 20) / r[1]) for r in known.groupBy("_lang").count().collect()}
     limit = F.create_map(*(F.lit(x) for k, v in share.items() for x in (k, int(v * 2**63) if v < 1 else 2**63 - 1))) if share else F.create_map(F.lit(""), F.lit(0))
-    known = known.where((F.shiftrightunsigned("_hash", 1) <= limit.getItem(F.col("_lang"))) & F.col("_text").rlike(r"(?U)\S"))
+    known = known.where((F.shiftrightunsigned("_hash", 1) <= limit[F.col("_lang")]) & F.col("_text").rlike(r"(?U)\S"))
     rank = F.row_number().over(Window.partitionBy("_lang").orderBy("_hash", "_id"))
     taken = known.withColumn("_rank", rank).where(F.col("_rank") <= per_language).repartition(df.sparkSession.sparkContext.defaultParallelism * 2, "_rank").select("_text", "_lang")
 

@@ -66,13 +66,16 @@ def _hard_cuts(text: str, start: int, end: int, room: int) -> list[int]:
     return cuts
 
 
+def fitting(limit: int, overlap: int) -> int:
+    return limit // 2 if overlap >= limit else max(overlap, 0)
+
+
 def cut(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]:
-    """Pieces as start, end and strength of the boundary at the end (5 at the text's end)."""
+    """Pieces as start, end and strength of the boundary at the end (5 at the text's end). An overlap that leaves no room under the limit is taken as half the limit, one below 0 as none."""
     n = len(text)
     if n <= limit:
         return [(0, n, 5)]
-    if not 0 <= overlap < limit:
-        raise ValueError("the overlap must be less than the limit")
+    overlap = fitting(limit, overlap)
     room = limit - overlap
     bounds = [(a, s) for a, s in zip(*candidates(text)) if a > overlap]  # the first piece holds the overlap
     ends, strengths, begin = [], [], 0
@@ -120,7 +123,7 @@ def split_items(items: DataFrame) -> DataFrame:
 
     Offsets are in code points; a piece begins ``overlap_chars`` before the end of the one before it. A text within its
     limit is one piece and doesn't leave the JVM; null texts and items without a limit give no piece; an empty text is one
-    empty piece. Repeated ids keep their pieces each. Other columns are left out.
+    empty piece. An overlap not below the limit is taken as half of it, a negative or null one as none. Repeated ids keep their pieces each. Other columns are left out.
     """
     items = items.select("record_table", F.col("record_id").cast("bigint").alias("record_id"), "text", F.col("max_chars").cast("int").alias("max_chars"), F.col("overlap_chars").cast("int").alias("overlap_chars")).where("text is not null and max_chars >= 1")
     length = F.char_length("text")

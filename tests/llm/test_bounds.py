@@ -2,7 +2,7 @@
 
 import pytest
 
-from sparkquarry.llm import markup, pairs
+from sparkquarry.llm import markup, pairs, split
 
 
 @pytest.mark.parametrize(
@@ -67,3 +67,9 @@ def test_copies_however_often():
     assert all(pairs.is_copy(q, " ".join([q] * n)) for n in (1, 2, 5, 40)) and pairs.is_copy(q, " ".join([q] * 7 + ["How is the pump"]))
     assert not pairs.is_copy(q, " ".join([q] * 3) + " Open the valve and wait for two seconds until it is set up.") and not pairs.is_copy(q, "the pump " * 9)
     assert pairs.is_copy("the " * 5000, "the " * 5000)
+
+
+def test_overlaps_that_do_not_fit():
+    for overlap, taken in ((10, 5), (99, 5), (-3, 0)):
+        pieces = split.cut("x" * 45, 10, overlap)
+        assert all(b - a <= 10 for a, b, _ in pieces) and all(c == b - taken for (_, b, _), (c, _, _) in zip(pieces, pieces[1:])) and pieces[-1][1] == 45
