@@ -18,11 +18,12 @@ SEPARATORS = r"[._/:+-]+"
 #: Terms from here on are runs of ideographs; all others are ASCII.
 FIRST_IDEOGRAPH = "\u3400"
 COMPOSITE = r"[A-Za-z][A-Za-z0-9]*(?:[._/:+-][A-Za-z0-9]+)+"
-VERSION = r"v?[0-9]+(?:\.[0-9]+)+(?:[_-][A-Za-z0-9]+)*"
+VERSION = r"v?\d+(?:\.\d+){1,}(?:[_-][A-Za-z0-9]+)*"
+#: The flag is a group, as SQL engines have no lookbehind to leave out what stands before.
 FLAG = r"(?:^|[^\w-])(--?[A-Za-z][A-Za-z0-9-]*)"
 HEX = r"0x[0-9a-f]+"
-NAMED_NUMBER = r"[A-Za-z][A-Za-z0-9_.+-]*[0-9][A-Za-z0-9_.+-]*"
-SPACED = r"[A-Za-z][A-Za-z0-9]*(?:\s*(?:[._/:+-]\s*|\s+)[0-9]+(?:\s*(?:[._/:+-]\s*|\s+)[A-Za-z0-9]+)*)"
+NAMED_NUMBER = r"[A-Za-z][A-Za-z0-9_.+-]*\d[A-Za-z0-9_.+-]*"
+SPACED = r"[A-Za-z][A-Za-z0-9]*(?:\s*(?:[._/:+-]\s*|\s+)\d+(?:\s*(?:[._/:+-]\s*|\s+)[A-Za-z0-9]+)*)"
 #: White space of any script, as Python strips it.
 SPACE = r"[\s\x1c-\x1f]"
 PHRASE = r"[A-Za-z][A-Za-z0-9]*(?:\s+[A-Za-z][A-Za-z0-9]*)+"
@@ -81,7 +82,7 @@ def exact_terms(c: Column) -> Column:
 
 def index_text(c: Column) -> Column:
     """The text, with compact forms of identifiers that are written with spaces on a line of their own."""
-    aliases = F.array_sort(F.array_distinct(F.transform(F.filter(_every(r"\b" + SPACED, c), lambda x: x.rlike("[0-9]")), compact_identifier)))
+    aliases = F.array_sort(F.array_distinct(F.transform(F.filter(_every(r"(?U)\b" + SPACED, c), lambda x: x.rlike("[0-9]")), compact_identifier)))
     return F.concat_ws("\n", F.nullif(c, F.lit("")), F.nullif(F.array_join(aliases, " "), F.lit("")))
 
 

@@ -30,15 +30,33 @@ def rerank_n(profile, candidates, requested: int, most: int = 12):
     return F.when(profile.isin(*SPECIAL), F.least(candidates, F.greatest(F.lit(requested), F.lit(most)))).otherwise(F.lit(requested))
 
 
-def fuse(vector: DataFrame, lexical: DataFrame, queries: DataFrame, k: int = 12) -> DataFrame:
+#: Lexical rows that are looked through for one that states a relation.
+RELATION_SCAN = 64
+
+
+def fuse(vector: DataFrame, lexical: DataFrame, queries: DataFrame, requested: int = 3) -> DataFrame:
     """``query_id, chunk_id, vector_rank, lexical_rank, score, rank`` by weighted reciprocal ranks; ties by chunk_id.
 
-    ``vector`` and ``lexical``: query_id, chunk_id, rank. A chunk in one list alone has a null rank in the other.
+    ``vector`` and ``lexical``: query_id, chunk_id, rank. As many lexical rows take part, and as many rows come out, as the
+    query's profile asks for; for relations ``RELATION_SCAN`` lexical rows take part. A chunk in one list alone has a null
+    rank in the other.
     """
-    both = vector.select("query_id", "chunk_id", F.col("rank").alias("vector_rank")).join(lexical.select("query_id", "chunk_id", F.col("rank").alias("lexical_rank")), ["query_id", "chunk_id"], "full_outer")
+    p = profiled(queries).select("query_id", "w_vector", "w_lexical", "profile", candidate_k(F.col("profile"), requested).alias("_k"))
+    scan = F.when(F.col("profile") == "relation_fact", F.greatest(F.col("_k"), F.lit(RELATION_SCAN))).otherwise(F.col("_k"))
+    lexical = lexical.select("query_id", "chunk_id", F.col("rank").alias("lexical_rank")).join(p.select("query_id", scan.alias("_scan")), "query_id").where("lexical_rank <= _scan").drop("_scan")
+    both = vector.select("query_id", "chunk_id", F.col("rank").alias("vector_rank")).join(lexical, ["query_id", "chunk_id"], "full_outer")
     term = lambda w, r: F.coalesce(F.col(w) / (RRF_K + F.col(r)), F.lit(0.0))
-    scored = both.join(profiled(queries).select("query_id", "w_vector", "w_lexical"), "query_id").withColumn("score", term("w_vector", "vector_rank") + term("w_lexical", "lexical_rank"))
-    return top_k(scored, k, ["query_id"], F.desc("score"), F.col("chunk_id")).drop("w_vector", "w_lexical")
+    scored = both.join(p, "query_id").withColumn("score", term("w_vector", "vector_rank") + term("w_lexical", "lexical_rank"))
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")))
+    return ranked.where("rank <= _k").select("query_id", "chunk_id", "vector_rank", "lexical_rank", "score", "rank")
+
+
+def direct_relation(lexical: DataFrame, queries: DataFrame, most: int = 480) -> DataFrame:
+    """``query_id, chunk_id``: of each query for a relation the first lexical row (query_id, chunk_id, rank, content) that holds both its anchors no more than ``most`` characters apart."""
+    q = queries.select("query_id", T.relation_anchors(F.col("query")).alias("a"), T.retrieval_profile(F.col("query")).alias("p")).where("p = 'relation_fact'")
+    rows = lexical.join(q, "query_id").where(F.size(T.coverage(F.col("a"), F.col("content"))) == 2)
+    rows = rows.withColumn("_span", T.tightest_span(F.get("a", F.lit(0)), F.get("a", F.lit(1)), "content")).where(F.col("_span") <= most)
+    return rows.groupBy("query_id").agg(F.min_by("chunk_id", "rank").alias("chunk_id"))
 
 
 def fuse_after_rerank(ranked: DataFrame, queries: DataFrame) -> DataFrame:

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 # Patterns of lines, and of headings whose sections are reference matter.
 HEADING = r"^(#{1,6})\s+(.+?)\s*#*\s*$"
-DELIMITER = r"^\s*\|?(\s*:?-{3,}:?\s*\|)+\s*$"
-LOG = r"(?i)(^|\s)([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}:[0-9]{2}:[0-9]{2}|DEBUG|INFO|WARN(ING)?|ERROR|FATAL|Traceback|Exception|kernel:|dmesg:|\[[0-9.]+\])"
-SHELL = r"^\s*([$#]|sudo\s+|adb\s+|curl\s+|python3?\s+|export\s+|systemctl\s+)"
-LOW_VALUE = r"(?i)(目录|修订记录|更新记录|版本(信息|记录|历史)?|变更记录|参考(文献|资料)?|附录|文件清单|命令清单|参数(表|列表|配置表)|术语表|索引|copyright|revision|changelog|references?|appendix|table\s+of\s+contents)"
+DELIMITER = r"^\s*\|?(?:\s*:?-{3,}:?\s*\|)+\s*$"
+LOG = r"(?i)(?:^|\s)(?:\d{4}-\d\d-\d\d|\d\d:\d\d:\d\d|DEBUG|INFO|WARN(?:ING)?|ERROR|FATAL|Traceback|Exception|kernel:|dmesg:|\[[0-9.]+\])"
+SHELL = r"^\s*(?:[$#]|sudo\s+|adb\s+|curl\s+|python(?:3)?\s+|export\s+|systemctl\s+)"
+LOW_VALUE = r"(?i)(?:目录|修订记录|更新记录|版本(?:信息|记录|历史)?|变更记录|参考(?:文献|资料)?|附录|文件清单|命令清单|参数(?:表|列表|配置表)|术语表|索引|copyright|revision|changelog|references?|appendix|table\s+of\s+contents)"
 
 
 def lines(docs: DataFrame, key: str, text: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkquarry.functions import text as T
 from sparkquarry.sources import load, spread
 
 #: Every hundredth result's question is a query.
@@ -32,3 +33,20 @@ def markdown(spark: SparkSession, sf: str) -> DataFrame:
     blocks = load(spark, sf, "ir_blocks").where("content_template is not null")
     ordered = F.array_sort(F.collect_list(F.struct("block_index", "ir_block_id", "content_template")))
     return blocks.groupBy("document_name").agg(F.array_join(F.transform(ordered, lambda x: x["content_template"]), "\n\n").alias("markdown"))
+
+
+#: Configured expansions of questions: trigger and what is added.
+EXPANSIONS = [("固件", "firmware image"), ("firmware", "固件镜像"), ("电源", "power supply"), ("queue", "message buffer")]
+_SPACES = "\\t\\n\\x0b\\x0c\\r\\x1c-\\x20\\x85\\xa0\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+_SPACED_SQL = T.SPACED.replace("\\s", f"[{_SPACES}]")
+#: The query with its expansions; the index text of ``content``.
+EXPANDED_SQL = "query || " + " || ".join(f"CASE WHEN contains(lower(query), '{a}') THEN ' {b}' ELSE '' END" for a, b in EXPANSIONS)
+_ALIASES_SQL = f"array_to_string(list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(content, '(?:^|[^\\p{{L}}\\p{{N}}\\p{{M}}\\p{{Pc}}])({_SPACED_SQL})', 1), lambda x: regexp_matches(x, '[0-9]')), lambda x: regexp_replace(lower(x), '[^a-z0-9]+', '', 'g')))), ' ')"
+INDEX_SQL = f"CASE WHEN {_ALIASES_SQL} = '' THEN content ELSE content || chr(10) || {_ALIASES_SQL} END"
+SEARCH_SQL = f"SELECT *, {INDEX_SQL} AS search FROM ({CHUNKS_SQL})"
+
+
+def expanded(queries: DataFrame) -> DataFrame:
+    """Queries with ``expanded``: themselves and what the triggers in them add."""
+    added = [F.when(F.contains(F.lower("query"), F.lit(a)), F.lit(" " + b)).otherwise("") for a, b in EXPANSIONS]
+    return queries.withColumn("expanded", F.concat("query", *added))

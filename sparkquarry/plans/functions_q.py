@@ -42,14 +42,17 @@ def _(s, d):
     return C.chunks(s, d).select("chunk_id", T.passage_terms(F.col("content")).alias("ts")).select("chunk_id", F.size("ts").cast("bigint").alias("n_terms"), F.md5(F.array_join("ts", " ").cast("binary")).alias("digest"))
 
 
-@query("f04_index_text", rf"""SELECT chunk_id, md5(CASE WHEN a = '' THEN content ELSE content || chr(10) || a END) AS digest FROM (SELECT chunk_id, content, array_to_string(list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(content, '\b{T.SPACED}'), lambda x: regexp_matches(x, '[0-9]')), lambda x: regexp_replace(lower(x), '[^a-z0-9]+', '', 'g')))), ' ') AS a FROM (SELECT doc_id AS chunk_id, regexp_replace(text, '[^\x00-\x7f]', ' ', 'g') AS content FROM documents WHERE length(text) > 0))""")
+@query("f04_index_text", f"SELECT chunk_id, md5({C.INDEX_SQL}) AS digest FROM ({C.CHUNKS_SQL})")
 def _(s, d):
-    # other scripts' letters are blanked, as engines differ in where words begin beside them
-    return C.chunks(s, d).select("chunk_id", F.md5(T.index_text(F.regexp_replace("content", r"[^\x00-\x7f]", " ")).cast("binary")).alias("digest"))
+    return C.chunks(s, d).select("chunk_id", F.md5(T.index_text(F.col("content")).cast("binary")).alias("digest"))
 
 
 _SHAPE = rf"(regexp_matches(query, '{T.COMPOSITE}') OR regexp_matches(query, '(?i)\b{T.VERSION}\b') OR regexp_matches(query, '{T.FLAG}') OR regexp_matches(query, '(?i)\b{T.HEX}\b') OR regexp_matches(query, '(?i)\b{T.NAMED_NUMBER}\b'))"
-PROFILE_SQL = f"""CASE WHEN {contains_any('query', T.TABLE_WORDS)} THEN 'table' WHEN {contains_any('query', T.FACT_WORDS)} THEN 'document_fact'
+_PHRASE = rf"(?:^|[^\p{{L}}\p{{N}}\p{{M}}\p{{Pc}}])({T.PHRASE})"
+_LEFT, _RIGHT = (lambda m: f"lower(list_extract(regexp_extract_all(split_part(query, '{m}', 1), '{_PHRASE}', 1), -1))"), (lambda m: f"lower(nullif(regexp_extract(substring(query, instr(query, '{m}') + {len(m)}), '{_PHRASE}', 1), ''))")
+#: Whether some marker has different phrases on both sides.
+_RELATION = "(" + " OR ".join(f"coalesce(contains(query, '{m}') AND {_LEFT(m)} <> {_RIGHT(m)}, FALSE)" for m in T.RELATION_MARKERS) + ")"
+PROFILE_SQL = f"""CASE WHEN {contains_any('query', T.TABLE_WORDS)} THEN 'table' WHEN {_RELATION} THEN 'relation_fact' WHEN {contains_any('query', T.FACT_WORDS)} THEN 'document_fact'
   WHEN {_SHAPE} AND ({contains_any('query', T.EXACT_WORDS)} OR length(trim(query)) <= 48) THEN 'exact' WHEN {contains_any('query', T.SEMANTIC_WORDS)} THEN 'semantic' ELSE 'balanced' END"""
 
 
@@ -58,30 +61,12 @@ def _(s, d):
     return C.all_questions(s, d).select("query", T.retrieval_profile(F.col("query")).alias("profile"))
 
 
-@query("f06_named_phrases", rf"SELECT chunk_id, md5(array_to_string(list_transform(regexp_extract_all(c, '\b{T.PHRASE}\b'), lambda x: lower(trim(regexp_replace(x, '\s+', ' ', 'g')))), '|')) AS phrases FROM (SELECT doc_id AS chunk_id, regexp_replace(text, '[^\x00-\x7f]', '.', 'g') AS c FROM documents WHERE length(text) > 0)")
+@query("f07_query_expansion", f"SELECT query, {C.EXPANDED_SQL} AS expanded FROM {ALL_Q}")
 def _(s, d):
-    return C.chunks(s, d).select("chunk_id", F.md5(F.array_join(T.named_phrases(F.regexp_replace("content", r"[^\x00-\x7f]", ".")), "|").cast("binary")).alias("phrases"))
+    return C.expanded(C.all_questions(s, d)).select("query", "expanded")
 
 
-_EXPANSIONS = [("固件", "firmware image"), ("firmware", "固件镜像"), ("电源", "power supply"), ("queue", "message buffer")]
-
-
-@query("f07_query_expansion", f"SELECT query, concat_ws(' ', query, string_agg(term, ' ' ORDER BY no)) AS expanded FROM {ALL_Q} LEFT JOIN (VALUES {', '.join(f'({i}, {chr(39)}{a}{chr(39)}, {chr(39)}{b}{chr(39)})' for i, (a, b) in enumerate(_EXPANSIONS))}) e(no, trigger, term) ON contains(lower(query), lower(trigger)) GROUP BY query")
-def _(s, d):
-    rules = [F.when(F.contains(F.lower("query"), F.lit(a.lower())), F.lit(b)) for a, b in _EXPANSIONS]  # a configuration, so plain expressions
-    return C.all_questions(s, d).select("query", F.concat_ws(" ", "query", *rules).alias("expanded"))
-
-
-_RELATIONS = [("call queue 设置为 default destination，有哪些", "call queue", "default destination"), ("A to B", None, None), ("door switch 指向 door switch", None, None), ("the fan unit 流向 heat exchanger", "the fan unit", "heat exchanger")]
-
-
-@query("f08_relation_anchors", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', {repr(b) if b else 'NULL'}, {repr(c) if c else 'NULL'})" for a, b, c in _RELATIONS) + ") t(query, left_anchor, right_anchor)")
-def _(s, d):
-    a = T.relation_anchors(F.col("query"))
-    return s.createDataFrame([(q,) for q, _, _ in _RELATIONS], "query string").select("query", F.get(a, F.lit(0)).alias("left_anchor"), F.get(a, F.lit(1)).alias("right_anchor"))
-
-
-@query("f08_relation_anchors_all")
+@query("f08_relation_anchors")
 def _(s, d):
     a = T.relation_anchors(F.col("query"))
     return C.all_questions(s, d).select("query", F.get(a, F.lit(0)).alias("left_anchor"), F.get(a, F.lit(1)).alias("right_anchor"))
@@ -109,38 +94,6 @@ def _(s, d):
 
 _IDENT = rf"""list_distinct(list_concat(regexp_extract_all(l, '{T.COMPOSITE}'), regexp_extract_all(l, '\b{T.VERSION}\b'), regexp_extract_all(l, '{T.FLAG}', 1), regexp_extract_all(l, '\b{T.HEX}\b'), list_filter(regexp_extract_all(l, '{TERM}'), lambda t: length(t) >= 3 AND regexp_matches(t, '^[!-~]+$') AND regexp_matches(t, '[_0-9]'))))"""
 IDENTIFIERS_SQL = f"list_transform(list_sort(list_transform({_IDENT}, lambda x: {{'n': -length(x), 'x': x}})), lambda s: s.x)"
-_ASCII_Q = r"(SELECT DISTINCT regexp_replace(question, '[^\x00-\x7f]', ' ', 'g') AS query FROM eval_results WHERE question IS NOT NULL)"
-
-
-@query("f12_direct_identifiers", f"SELECT query, array_to_string({IDENTIFIERS_SQL}, '|') AS identifiers FROM (SELECT query, lower(query) AS l FROM {_ASCII_Q})")
-def _(s, d):
-    q = C.all_questions(s, d).select(F.regexp_replace("query", r"[^\x00-\x7f]", " ").alias("query")).distinct()
-    return q.select("query", F.array_join(T.direct_identifiers(F.col("query")), "|").alias("identifiers"))
-
-
-@query("f13_identifier_coverage", f"SELECT query_id, count(*) AS chunks FROM (SELECT query_id, {IDENTIFIERS_SQL} AS ids FROM (SELECT query_id, lower(regexp_replace(query, '[^\\x00-\\x7f]', ' ', 'g')) AS l FROM ({C.QUESTIONS_SQL}))) q JOIN ({C.CHUNKS_SQL}) c ON len(ids) > 0 AND contains(lower(c.content), ids[1]) GROUP BY query_id")
-def _(s, d):
-    # identifiers are terms, so an equi-join on distinct identifiers of the texts would lose those inside words: the few distinct identifiers of the stated queries go against all rows
-    q = C.questions(s, d).select("query_id", F.get(T.direct_identifiers(F.regexp_replace("query", r"[^\x00-\x7f]", " ")), F.lit(0)).alias("id")).where("id is not null")
-    hits = C.chunks(s, d).select(F.lower("content").alias("c")).join(q.select("id").distinct(), F.contains("c", F.col("id"))).groupBy("id").agg(F.count("*").alias("chunks"))
-    return q.join(hits, "id").select("query_id", "chunks")
-
-
-@query("f14_substantive", r"SELECT block_id, length(regexp_replace(regexp_replace(regexp_replace(text, '(?s)<!--.*?-->', '', 'g'), '(?m)^\s{0,3}#{1,6}\s.*$', '', 'g'), '^\s+|\s+$', '', 'g')) >= 24 AS ok FROM (SELECT block_id, regexp_replace(text, '[^\x00-\x7f]', 'x', 'g') AS text FROM blocks WHERE text IS NOT NULL)")
-def _(s, d):
-    return load(s, d, "blocks").where("text is not null").select("block_id", T.substantive(F.regexp_replace("text", r"[^\x00-\x7f]", "x")).alias("ok"))
-
-
-@query("f15_line_scores", f"""WITH l AS (SELECT q.query_id, c.chunk_id AS line_id, unnest({terms('c.content')}) AS term FROM ({C.QUESTIONS_SQL}) q JOIN ({C.CHUNKS_SQL}) c ON c.chunk_id = q.query_id),
-a AS (SELECT query_id, line_id, term, count(*) AS n FROM l GROUP BY ALL), b AS (SELECT query_id, term, count(*) AS m FROM (SELECT query_id, unnest({terms('query')}) AS term FROM ({C.QUESTIONS_SQL})) GROUP BY ALL)
-SELECT query_id, line_id, CAST(sum(least(n, m)) AS BIGINT) AS score FROM a JOIN b USING (query_id, term) GROUP BY ALL""")
-def _(s, d):
-    from sparkquarry.operators.lexical import line_scores
-
-    q = C.questions(s, d)
-    return line_scores(q.join(C.chunks(s, d), q["query_id"] == F.col("chunk_id")).select("query_id", F.col("chunk_id").alias("line_id"), F.col("content").alias("line")), q)
-
-
 @query("f16_trace_id", f"SELECT query, substring(sha256(query), 1, 12) AS trace_id FROM {ALL_Q}")
 def _(s, d):
     return C.all_questions(s, d).select("query", T.trace_id(F.col("query")).alias("trace_id"))
@@ -175,14 +128,7 @@ def _(s, d):
     return e.withColumn("max_tokens", T.resolve_max_tokens(F.lit(400).cast("bigint"), 512, 4096, F.col("estimated"), 128))
 
 
-@query("f26_without_footer", r"SELECT DISTINCT result_id, md5(regexp_replace(regexp_replace(answer, '(?is)\s*(?:^|\n)[ \t]*(?:#{1,6}[ \t]*)?(?:references|参考资料|参考文献)[ \t]*[:：]?[ \t]*(?:\n|\[).*$', ''), '\s+$', '')) AS digest FROM eval_results WHERE answer IS NOT NULL AND NOT regexp_matches(answer, '[\x{85}\x{a0}\x{1680}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x0b]')")
-def _(s, d):
-    # answers with other white space than ASCII's aside, where engines' classes differ
-    e = load(s, d, "eval_results").where("answer is not null").where(~F.col("answer").rlike(r"[\x{85}\x{a0}\x{1680}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x0b]"))
-    return e.select("result_id", F.md5(T.without_footer(F.col("answer")).cast("binary")).alias("digest")).distinct()
-
-
-@query("f26_without_footer_all")
+@query("f26_without_footer")
 def _(s, d):
     return load(s, d, "eval_results").where("answer is not null").select("result_id", F.md5(T.without_footer(F.col("answer")).cast("binary")).alias("digest")).distinct()
 
@@ -206,14 +152,7 @@ def _(s, d):
     return b.select("ir_block_id", F.size(T.heading_terms(F.col("heading"))).cast("bigint").alias("n_terms"), T.heading_score(F.col("heading"), F.col("content_template")).cast("bigint").alias("hits"))
 
 
-@query("f31_paragraph_sentences", """SELECT block_id, CASE WHEN len(p) > 1 AND len(list_filter(p, lambda x: length(x) < 12)) = 0 THEN len(p) ELSE 1 END AS n FROM (
-SELECT block_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([。！？；!?])', '\\1␞', 'g'), '([A-Za-z0-9][.!?]␞?)\\s+', '\\1␞', 'g'), '␞'), lambda x: trim(x)), lambda x: x <> '') AS p FROM blocks WHERE text IS NOT NULL AND NOT contains(text, chr(10)))""")
-def _(s, d):
-    b = load(s, d, "blocks").where("text is not null and not contains(text, chr(10))")
-    return b.select("block_id", F.size(T.paragraph_sentences(F.col("text"))).cast("bigint").alias("n"))
-
-
-@query("f31_paragraph_sentences_all")
+@query("f31_paragraph_sentences")
 def _(s, d):
     return load(s, d, "blocks").where("text is not null").select("block_id", F.size(T.paragraph_sentences(F.col("text"))).cast("bigint").alias("n"))
 
@@ -259,23 +198,23 @@ def _(s, d):
 
 
 # The same functions as above on texts and questions as they are, in any script.
-@query("f06_named_phrases_all")
+@query("f06_named_phrases")
 def _(s, d):
     return C.chunks(s, d).select("chunk_id", F.array_join(T.named_phrases(F.col("content")), "|").alias("phrases"))
 
 
-@query("f12_direct_identifiers_all")
+@query("f12_direct_identifiers")
 def _(s, d):
     return C.all_questions(s, d).select("query", F.array_join(T.direct_identifiers(F.col("query")), "|").alias("identifiers"))
 
 
-@query("f13_identifier_coverage_all")
+@query("f13_identifier_coverage")
 def _(s, d):
     q = C.questions(s, d).select("query_id", F.get(T.direct_identifiers(F.col("query")), F.lit(0)).alias("id")).where("id is not null")
     hits = C.chunks(s, d).select(F.lower("content").alias("c")).join(q.select("id").distinct(), F.contains("c", F.col("id"))).groupBy("id").agg(F.count("*").alias("chunks"))
     return q.join(hits, "id").select("query_id", "chunks")
 
 
-@query("f14_substantive_all")
+@query("f14_substantive")
 def _(s, d):
     return load(s, d, "blocks").where("text is not null").select("block_id", T.substantive(F.col("text")).alias("ok"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkquarry.functions import text as T
-from sparkquarry.operators import fusion, gates, lexical, markdown, metrics, tables
+from sparkquarry.operators import fusion, gates, markdown, metrics, tables
 from sparkquarry.plans import common as C
-from sparkquarry.plans.functions_q import IDENTIFIERS_SQL, PROFILE_SQL
-from sparkquarry.plans.retrieval_q import BM25_CTE
+from sparkquarry.plans.functions_q import PROFILE_SQL
+from sparkquarry.plans.retrieval_q import BM25_CTE, best
 from sparkquarry.plans.structure_q import _ROWS
 from sparkquarry.sources import load
 from sparkquarry.sources.sinks import write_lines, write_routed
@@ -27,21 +27,10 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("w06_p18_protected_evidence", rf"""WITH {BM25_CTE}, q AS (SELECT query_id, {PROFILE_SQL} AS profile, {IDENTIFIERS_SQL.replace('(l,', '(lower(query),')} AS ids FROM (SELECT query_id, regexp_replace(query, '[^\x00-\x7f]', ' ', 'g') AS query FROM ({C.QUESTIONS_SQL}))),
-c AS (SELECT query_id, chunk_id, profile, rank, len(list_filter(ids, lambda i: contains(lower(regexp_replace(content, '\s+', ' ', 'g')), i))) AS covered, length(regexp_replace(regexp_replace(regexp_replace(content, '(?s)<!--.*?-->', '', 'g'), '(?m)^\s{{0,3}}#{{1,6}}\s.*$', '', 'g'), '^\s+|\s+$', '', 'g')) >= 24 AS solid FROM lex JOIN q USING (query_id) JOIN ({C.CHUNKS_SQL}) x USING (chunk_id) WHERE rank <= 12 AND profile IN ('document_fact', 'exact', 'table', 'relation_fact')),
-g AS (SELECT query_id, profile, min(CASE WHEN solid THEN (rank, chunk_id) END) AS fact, min(CASE WHEN covered > 0 THEN (-covered, rank, rank, chunk_id) END) AS named, min(CASE WHEN solid THEN (rank, chunk_id) END) AS lexical FROM c GROUP BY ALL)
-SELECT query_id, CASE WHEN profile = 'document_fact' THEN fact[2] WHEN named IS NOT NULL THEN named[4] ELSE lexical[2] END AS chunk_id, CASE WHEN profile = 'document_fact' THEN 'fact' WHEN named IS NOT NULL THEN 'named' ELSE 'lexical' END AS why FROM g WHERE chunk_id IS NOT NULL""")
+@query("w06_p18_protected_evidence")
 def _(s, d):
     q = C.questions(s, d)
-    top = lexical.bm25(C.chunks(s, d), q).select("query_id", "chunk_id", "rank", F.col("rank").alias("lexical_rank"))
-    ascii_q = q.select("query_id", F.regexp_replace("query", r"[^\x00-\x7f]", " ").alias("query"))
-    return gates.protected_evidence(top.join(C.chunks(s, d).select("chunk_id", "content"), "chunk_id"), ascii_q)
-
-
-@query("w06_protected_evidence_all")
-def _(s, d):
-    q = C.questions(s, d)
-    top = lexical.bm25(C.chunks(s, d), q).select("query_id", "chunk_id", "rank", F.col("rank").alias("lexical_rank"))
+    top = best(s, d).select("query_id", "chunk_id", "rank", F.col("rank").alias("lexical_rank"))
     return gates.protected_evidence(top.join(C.chunks(s, d).select("chunk_id", "content"), "chunk_id"), q)
 
 
@@ -88,7 +77,7 @@ def _(s, d):
 
 @query("a07_best_of_family", f"WITH {BM25_CTE} SELECT query_id, regexp_replace(file_path, '\\.(kg|text)\\.md$', '.md') AS family, round(max(score), 5) AS best, count(*) AS n FROM lex JOIN ({C.CHUNKS_SQL}) c USING (chunk_id) WHERE rank <= 12 AND file_path IS NOT NULL GROUP BY ALL")
 def _(s, d):
-    top = lexical.bm25(C.chunks(s, d), C.questions(s, d)).join(C.chunks(s, d).where("file_path is not null").select("chunk_id", T.source_family(F.col("file_path")).alias("family")), "chunk_id")
+    top = best(s, d).join(C.chunks(s, d).where("file_path is not null").select("chunk_id", T.source_family(F.col("file_path")).alias("family")), "chunk_id")
     return top.groupBy("query_id", "family").agg(F.round(F.max("score"), 5).alias("best"), F.count("*").alias("n"))
 
 

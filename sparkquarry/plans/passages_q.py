@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkquarry.functions import text as X
-from sparkquarry.operators import lexical, passages
+from sparkquarry.operators import lexical, pages, passages
 from sparkquarry.plans import common as C
+from sparkquarry.plans.retrieval_q import BM25_CTE, COS_CTE, best
 from sparkquarry.sources import load
 
 Q, S = {}, {}
@@ -27,7 +28,7 @@ _HT = r"list_distinct(list_concat(list_filter(regexp_extract_all(lower({0}), '[a
 
 @query("w07_w08_best_sections", f"""WITH s AS (SELECT document_name AS doc, heading, heading_level AS level, block_index AS first_line, coalesce(content_template, '') AS body, count(*) OVER (PARTITION BY document_name) AS n FROM ir_blocks WHERE heading IS NOT NULL AND heading <> ''),
 q AS (SELECT query_id, {_HT.format('query')} AS terms FROM ({C.QUESTIONS_SQL})),
-z AS (SELECT query_id, doc, heading, level, first_line, 8 * len(list_filter(terms, lambda t: contains(lower(heading), t))) + least(len(list_filter(terms, lambda t: contains(lower(body), t))), 6) AS score FROM s, q WHERE n >= 2 AND len(list_filter({_HT.format('lower(heading)')}, lambda t: list_contains(terms, t))) > 0)
+z AS (SELECT query_id, doc, heading, level, first_line, 8 * len(list_filter(terms, lambda t: contains(lower(heading), t))) + least(len(list_filter(terms, lambda t: contains(lower(body), t))), 6) AS score FROM s, q WHERE n >= 2)
 SELECT query_id, doc, heading, score FROM z WHERE score >= 8 QUALIFY row_number() OVER (PARTITION BY query_id, doc ORDER BY score DESC, level DESC, first_line, heading DESC) = 1""")
 def _(s, d):
     b = load(s, d, "ir_blocks").where("heading is not null and heading <> ''").select(F.col("document_name").alias("doc"), "heading", F.col("heading_level").alias("level"), F.col("block_index").alias("first_line"), F.coalesce("content_template", F.lit("")).alias("body"))
@@ -44,21 +45,13 @@ def _(s, d):
     return passages.reconstruct(units(s, d), "document_name")
 
 
-@query("w17_t25_passages")
+@query("w17_t22_t23_t25_passages")
 def _(s, d):
-    q = C.questions(s, d)
-    top = lexical.bm25(C.chunks(s, d), q, 6)
-    rows = top.join(C.chunks(s, d).select("chunk_id", "content"), "chunk_id").join(q, "query_id")
-    return rows.select("query_id", "chunk_id", "rank", passages.passage_window("content", "query", F.lit(600)).alias("passage"))
+    q = C.expanded(C.questions(s, d))
+    return passages.best_passages(best(s, d, 6), C.chunks(s, d), q)
 
 
-@query("w18_token_fit", r"SELECT doc_id, md5(CASE WHEN length(text) <= 400 THEN text ELSE substring(text, 1, 400) END) AS digest FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^\x00-\x7f]')")
-def _(s, d):
-    t = load(s, d, "documents").where(F.col("text").isNotNull() & ~F.col("text").rlike(r"[^\x00-\x7f]"))
-    return t.select("doc_id", F.md5(passages.fit_tokens("text", F.lit(100)).cast("binary")).alias("digest"))
-
-
-@query("w18_token_fit_all", r"""WITH n AS (SELECT doc_id, text, i, sum(CASE WHEN unicode(substring(text, i, 1)) < 128 THEN 0.25 ELSE 1.0 END) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM documents, unnest(range(1, length(text) + 1)) u(i) WHERE text IS NOT NULL),
+@query("w18_token_fit", r"""WITH n AS (SELECT doc_id, text, i, sum(CASE WHEN unicode(substring(text, i, 1)) < 128 THEN 0.25 ELSE 1.0 END) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM documents, unnest(range(1, length(text) + 1)) u(i) WHERE text IS NOT NULL),
 k AS (SELECT doc_id, max(i) FILTER (WHERE upto <= 100) AS fits FROM n GROUP BY doc_id) SELECT doc_id, md5(substring(text, 1, coalesce(fits, 0))) AS digest FROM documents LEFT JOIN k USING (doc_id) WHERE text IS NOT NULL""")
 def _(s, d):
     t = load(s, d, "documents").where("text is not null")
@@ -81,22 +74,48 @@ def _(s, d):
     return kept.groupBy("table_uid").agg(F.array_join(F.array_sort(F.collect_list("i")), ",").alias("rows"))
 
 
-@query("t30_t31_heading_levels")
+@query("t30_t31_page_blocks")
 def _(s, d):
     p = load(s, d, "parsed_pages").select("page_uid", F.col("document_id").alias("document"), "page")
-    t = load(s, d, "blocks").where("label = 'title' and text is not null").join(p, "page_uid").where("document is not null")
-    return passages.heading_levels(t.select("document", (F.col("page").cast("bigint") * 1_000_000_000 + F.col("reading_order") * 1000 + F.col("block_id") % 1000).alias("at"), "text"))
+    return pages.page_blocks(load(s, d, "blocks").join(p, "page_uid").where("document is not null"))
+
+
+_W = passages.CONTRACT_WORDS
+_KIND = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(query), '{w}')" for w in _W[k]) + f" THEN '{k}'" for k in _W) + " ELSE 'general' END"
+_EVERY = r"list_distinct(regexp_extract_all(lower(query), '(?:^|[^\p{{L}}\p{{N}}\p{{M}}\p{{Pc}}])({})', 1))"
+_MODELS, _TOKENS = _EVERY.format("(?:" + "|".join(passages.MODEL_NAMES) + ")[a-z0-9._-]*[a-z0-9_]"), _EVERY.format("[a-z](?:[a-z0-9._+-]*[a-z0-9_])?")
+_THINGS = f"CASE WHEN len({_MODELS}) >= 2 THEN {_MODELS} ELSE list_filter({_TOKENS}, lambda t: regexp_matches(t, '[0-9]')) END"
+_ANCHORS = _EVERY.format("[a-z][a-z0-9_.+-]+[a-z0-9_]")
+#: Whether ``content`` meets the contract of ``query``, of kind ``kind``.
+_MET = rf"""coalesce(CASE kind WHEN 'comparison' THEN len({_THINGS}) >= 2 AND len(list_filter({_THINGS}, lambda t: NOT contains(lower(content), t))) = 0 WHEN 'command' THEN regexp_matches(content, '`[^`]+`|[A-Za-z]')
+WHEN 'procedure' THEN (len({_ANCHORS}) = 0 OR len(list_filter({_ANCHORS}, lambda t: contains(lower(content), t))) > 0) AND (len(regexp_extract_all(content, '(?m)^\s*(?:[-*+]\s+|\d+[.)]\s+)')) >= 2 OR contains(content, '然后') OR len(string_split(content, '→')) >= 3) ELSE TRUE END, FALSE)"""
 
 
-_KIND = "CASE WHEN regexp_matches(lower(question), '对比|区别|差异|比较|compare|difference|versus| vs') THEN 'comparison' WHEN regexp_matches(lower(question), '命令|command|cli') THEN 'command' WHEN regexp_matches(lower(question), '步骤|流程|如何|怎么|steps|how to|how is') THEN 'procedure' ELSE 'general' END"
+@query("p05_evidence_contract", f"SELECT DISTINCT result_id, kind, CASE WHEN {_MET} THEN 'pass' ELSE 'needs_retrieval' END AS status FROM (SELECT result_id, question AS query, answer AS content, {_KIND.replace('query', 'question')} AS kind FROM eval_results WHERE question IS NOT NULL)")
+def _(s, d):
+    kind, status = passages.evidence_contract(F.col("question"), F.col("answer"))
+    return load(s, d, "eval_results").where("question is not null").select("result_id", kind.alias("kind"), status.alias("status")).distinct()
+
+
+#: The questions with what a recovery adds to them, by kind.
+_MORE = "query || CASE " + _KIND[5:].replace("THEN 'comparison'", f"THEN '{passages.RECOVERY_WORDS['comparison']}'").replace("THEN 'command'", f"THEN '{passages.RECOVERY_WORDS['command']}'").replace("THEN 'procedure'", f"THEN '{passages.RECOVERY_WORDS['procedure']}'").replace("ELSE 'general'", "ELSE ''")
+_RECOVERY_CTE = BM25_CTE.replace(C.EXPANDED_SQL, C.EXPANDED_SQL.replace("query", f"({_MORE})")) if C.EXPANDED_SQL in BM25_CTE else ""
 
 
-@query("p05_evidence_contract", rf"""SELECT DISTINCT result_id, kind, CASE WHEN CASE kind WHEN 'comparison' THEN len(regexp_extract_all(a, '[A-Z][A-Za-z0-9_-]+')) >= 2 WHEN 'command' THEN regexp_matches(a, '(?m)^\s*[$#]\s|```|--[a-z]') WHEN 'procedure' THEN len(regexp_extract_all(a, '(?m)^\s*(?:\d+[.)]|[-*])\s')) >= 2 ELSE length(trim(a, ' ')) > 0 END THEN 'pass' ELSE 'needs_retrieval' END AS status
-FROM (SELECT result_id, regexp_replace(answer, '[^\x00-\x7f]', 'x', 'g') AS a, {_KIND} AS kind FROM eval_results WHERE question IS NOT NULL)""")
+@query("j07_u2_contract_recovery", f"""WITH {COS_CTE}, {_RECOVERY_CTE}, k AS (SELECT query_id, query, {_KIND} AS kind FROM ({C.QUESTIONS_SQL})),
+ca AS (SELECT query_id, chunk_id FROM cos WHERE rank <= 3), fo AS (SELECT query_id, chunk_id FROM lex WHERE rank <= 3),
+met AS (SELECT DISTINCT query_id FROM ca JOIN k USING (query_id) JOIN ch USING (chunk_id) WHERE {_MET}),
+more AS (SELECT fo.* FROM fo JOIN k USING (query_id) JOIN ch USING (chunk_id) WHERE {_MET} AND query_id NOT IN (SELECT query_id FROM met))
+SELECT query_id, chunk_id, FALSE AS supplemental FROM ca UNION ALL SELECT query_id, chunk_id, TRUE FROM more ANTI JOIN ca USING (query_id, chunk_id)""")
 def _(s, d):
-    kind, status = passages.evidence_contract(F.col("question"), F.col("a"))
-    e = load(s, d, "eval_results").where("question is not null").withColumn("a", F.regexp_replace("answer", r"[^\x00-\x7f]", "x"))
-    return e.select("result_id", kind.alias("kind"), status.alias("status")).distinct()
+    """The three nearest chunks; where none meets the question's contract, the best ones by BM25 for the question with words of its kind."""
+    q, chunks = C.questions(s, d), C.chunks(s, d)
+    kind = passages.evidence_contract(F.col("query"), F.lit(""))[0]
+    words = F.create_map(*(F.lit(x) for kv in passages.RECOVERY_WORDS.items() for x in kv))
+    more = C.expanded(q.withColumn("query", F.concat("query", F.coalesce(words[kind], F.lit("")))))
+    text = chunks.select("chunk_id", "content")
+    candidates = lexical.cosine(chunks, q, 3).select("query_id", "chunk_id").join(text, "chunk_id")
+    return passages.recover(candidates, q, lexical.bm25(chunks, more, 3).select("query_id", "chunk_id").join(text, "chunk_id"))
 
 
 @query("m05_progressing_pages", "WITH p AS (SELECT DISTINCT page_uid AS chunk, reading_order AS page_no, label || ':' || text_source AS key FROM blocks), f AS (SELECT chunk, key, min(page_no) AS page_no FROM p GROUP BY ALL), n AS (SELECT chunk, page_no, count(*) AS k FROM f GROUP BY ALL), e AS (SELECT DISTINCT chunk, page_no FROM p) SELECT chunk, page_no, coalesce(k, 0) AS new_keys, min(coalesce(k, 0)) OVER (PARTITION BY chunk ORDER BY page_no) > 0 AS kept FROM e LEFT JOIN n USING (chunk, page_no)")
@@ -122,19 +141,10 @@ def _(s, d):
     return e.select("result_id", F.size(F.array_intersect("q", "a")).cast("bigint").alias("common"), ((F.size("q") > 0) & (F.size(F.array_except("q", "a")) == 0)).alias("covered"))
 
 
-@query("t20_numbered_items", r"SELECT doc_id, len(x) AS items, list_max(list_transform(x, lambda l: length(l))) AS longest FROM (SELECT doc_id, regexp_extract_all(text, '(?m)^\s*\d+[.)]\s+[^\n]+') AS x FROM (SELECT doc_id, regexp_replace(text, '[^\x00-\x7f]', 'x', 'g') AS text FROM documents)) WHERE len(x) >= 2")
+@query("t20_numbered_items", r"SELECT doc_id, len(x) AS items, list_max(list_transform(x, lambda l: length(l))) AS longest FROM (SELECT doc_id, regexp_extract_all(text, '(?m)^\s*\d+[.)]\s+[^\n]+') AS x FROM documents) WHERE len(x) >= 2")
 def _(s, d):
-    items = F.regexp_extract_all(F.regexp_replace("text", r"[^\x00-\x7f]", "x"), F.lit(r"(?m)^\s*\d+[.)]\s+[^\n]+"), F.lit(0))
+    items = F.regexp_extract_all("text", F.lit(r"(?md)^\s*\d+[.)]\s+[^\n]+"), F.lit(0))
     t = load(s, d, "documents").select("doc_id", items.alias("x")).where(F.size("x") >= 2)
     return t.select("doc_id", F.size("x").cast("bigint").alias("items"), F.array_max(F.transform("x", lambda l: F.char_length(l))).cast("bigint").alias("longest"))
 
 
-@query("t19_t21_compact_lines", "WITH q AS (SELECT result_id AS doc_id, min(question) AS question FROM eval_results WHERE question IS NOT NULL GROUP BY result_id), l AS (SELECT d.doc_id, i - 1 AS line_no, x[i] AS line, question FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL) d JOIN q USING (doc_id), unnest(range(1, len(x) + 1)) u(i)), s AS (SELECT doc_id, line_no, len(list_filter(list_distinct(regexp_extract_all(lower(question), '[a-z0-9]{3,}')), lambda w: contains(lower(line), w))) AS hits FROM l) SELECT doc_id, line_no, hits FROM s QUALIFY hits > 0 AND hits = max(hits) OVER (PARTITION BY doc_id)")
-def _(s, d):
-    from pyspark.sql import Window
-
-    q = load(s, d, "eval_results").where("question is not null").groupBy(F.col("result_id").alias("doc_id")).agg(F.min("question").alias("question"))
-    l = load(s, d, "documents").where("text is not null").join(q, "doc_id").select("doc_id", "question", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    hits = F.size(F.filter(F.array_distinct(F.regexp_extract_all(F.lower("question"), F.lit("[a-z0-9]{3,}"), F.lit(0))), lambda w: F.contains(F.lower("line"), w)))
-    l = l.select("doc_id", "line_no", hits.cast("bigint").alias("hits"))
-    return l.withColumn("_m", F.max("hits").over(Window.partitionBy("doc_id"))).where("hits > 0 and hits = _m").drop("_m")

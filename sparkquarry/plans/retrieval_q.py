@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkquarry.functions import text as T
-from sparkquarry.operators import evidence, fusion, lexical, vectors
+from sparkquarry.operators import evidence, fusion, lexical, passages, vectors
 from sparkquarry.plans import common as C
 from sparkquarry.plans.functions_q import PROFILE_SQL
 from sparkquarry.plans.tokens_sql import TERM, bigrams, passage_terms, terms
@@ -76,17 +76,24 @@ def _(s, d):
     return lexical.corpus_stats(C.chunks(s, d)).withColumn("avgdl", F.round("avgdl", 6))
 
 
-BM25_CTE = f"""posts AS MATERIALIZED ({POSTINGS_SQL}), lens AS (SELECT chunk_id, sum(tf) AS len FROM posts GROUP BY chunk_id), st AS (SELECT (SELECT count(*) FROM ({C.CHUNKS_SQL})) AS n, (SELECT sum(len) FROM lens) / (SELECT count(*) FROM ({C.CHUNKS_SQL})) AS avgdl),
-dfs AS (SELECT term, count(*) AS df FROM posts GROUP BY term), qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({terms('query')}) AS term FROM ({C.QUESTIONS_SQL})) GROUP BY ALL),
+BM25_CTE = f"""ch AS MATERIALIZED ({C.SEARCH_SQL}), qs AS MATERIALIZED (SELECT query_id, query, {C.EXPANDED_SQL} AS expanded FROM ({C.QUESTIONS_SQL})),
+posts AS MATERIALIZED (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest({terms('search')}) AS term FROM ch) GROUP BY ALL), lens AS (SELECT chunk_id, sum(tf) AS len FROM posts GROUP BY chunk_id), st AS (SELECT (SELECT count(*) FROM ch) AS n, (SELECT sum(len) FROM lens) / (SELECT count(*) FROM ch) AS avgdl),
+dfs AS (SELECT term, count(*) AS df FROM posts GROUP BY term), qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({terms('expanded')}) AS term FROM qs) GROUP BY ALL),
 base AS (SELECT query_id, chunk_id, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / greatest(avgdl, 1.0)))) AS s FROM qt JOIN dfs USING (term) JOIN posts USING (term) JOIN lens USING (chunk_id), st GROUP BY query_id, chunk_id),
-ex AS (SELECT query_id, list_distinct(list_filter(regexp_extract_all(lower(query), '{TERM}'), lambda t: length(t) >= 3 AND (NOT regexp_matches(t, '^\\p{{L}}+$') OR regexp_matches(t, '^[a-z]+$')))) AS e FROM ({C.QUESTIONS_SQL})),
-bm AS (SELECT query_id, chunk_id, s + 2.0 * len(list_filter(e, lambda t: contains(lower(content), t))) AS score FROM base JOIN ex USING (query_id) JOIN ({C.CHUNKS_SQL}) c USING (chunk_id)),
-lex AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM bm)"""
+ex AS (SELECT query_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(expanded), '{TERM}'), lambda t: length(t) >= 3 AND (NOT regexp_matches(t, '^\\p{{L}}+$') OR regexp_matches(t, '^[a-z]+$'))))) AS e FROM qs),
+held AS MATERIALIZED (SELECT e, chunk_id FROM (SELECT DISTINCT e FROM ex), (SELECT chunk_id, lower(search) AS low FROM ch) WHERE contains(low, e)), boost AS (SELECT query_id, chunk_id, 2.0 * count(*) AS b FROM ex JOIN held USING (e) GROUP BY ALL),
+bm AS (SELECT query_id, chunk_id, coalesce(s, 0) + coalesce(b, 0) AS score FROM base FULL JOIN boost USING (query_id, chunk_id)),
+lex AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM bm WHERE score > 0)"""
+
+
+def best(s, d, k: int = 12):
+    """The best chunks of each question by BM25: query_id, chunk_id, score, rank."""
+    return lexical.bm25(C.chunks(s, d), C.expanded(C.questions(s, d)), k)
 
 
 @query("a04_w01_j1_j2_bm25", f"WITH {BM25_CTE} SELECT query_id, chunk_id, round(score, 5) AS score, rank FROM lex WHERE rank <= 12")
 def _(s, d):
-    return lexical.bm25(C.chunks(s, d), C.questions(s, d)).withColumn("score", F.round("score", 5))
+    return best(s, d).withColumn("score", F.round("score", 5))
 
 
 VECTOR_SQL = """SELECT query_id, vec_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM (
@@ -100,59 +107,98 @@ def _(s, d):
     return vectors.cosine_top_k(e, q).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("p08_p09_p10_w_profile_weights", f"""SELECT query_id, profile, CASE profile WHEN 'table' THEN 0.85 WHEN 'exact' THEN 0.75 WHEN 'semantic' THEN 1.5 WHEN 'document_fact' THEN 1.5 ELSE 1.0 END AS w_vector,
-CASE profile WHEN 'table' THEN 2.75 WHEN 'exact' THEN 2.5 WHEN 'semantic' THEN 1.0 ELSE 1.5 END AS w_lexical, CASE WHEN profile IN ('exact', 'table', 'document_fact') THEN 12 ELSE 6 END AS k, CASE WHEN profile IN ('exact', 'table', 'document_fact') THEN 9 ELSE 3 END AS n
-FROM (SELECT query_id, {PROFILE_SQL} AS profile FROM ({C.QUESTIONS_SQL}))""")
+WEIGHTS_SQL = f"""SELECT query_id, query, profile, CASE profile WHEN 'table' THEN 0.85 WHEN 'exact' THEN 0.75 WHEN 'semantic' THEN 1.5 WHEN 'document_fact' THEN 1.5 ELSE 1.0 END AS wv, CASE profile WHEN 'table' THEN 2.75 WHEN 'exact' THEN 2.5 WHEN 'semantic' THEN 1.0 WHEN 'relation_fact' THEN 1.75 ELSE 1.5 END AS wl,
+CASE WHEN profile IN ('exact', 'table', 'document_fact') THEN 12 ELSE 6 END AS k, CASE WHEN profile IN ('exact', 'table', 'document_fact') THEN 9 ELSE 3 END AS n, CASE profile WHEN 'exact' THEN 12 WHEN 'table' THEN 12 WHEN 'document_fact' THEN 12 WHEN 'relation_fact' THEN 64 ELSE 6 END AS scan FROM (SELECT query_id, query, {PROFILE_SQL} AS profile FROM ({C.QUESTIONS_SQL}))"""
+
+
+@query("p08_p09_p10_w_profile_weights", f"SELECT query_id, profile, wv AS w_vector, wl AS w_lexical, k, n FROM ({WEIGHTS_SQL})")
 def _(s, d):
     p = fusion.profiled(C.questions(s, d))
     return p.select("query_id", "profile", "w_vector", "w_lexical", fusion.candidate_k(F.col("profile"), 3).alias("k"), fusion.rerank_n(F.col("profile"), F.lit(9), 3).alias("n"))
 
 
-def _dense(s, d):
-    """A second ranking to fuse, in place of a vector index over texts: the twelve chunks numbered from the question's id on, in the order of a hash."""
-    q = C.questions(s, d).select("query_id", F.explode(F.sequence("query_id", F.col("query_id") + 11)).alias("chunk_id"))
-    pairs = q.join(C.chunks(s, d).select("chunk_id"), "chunk_id")
-    return lexical.top_k(pairs.select("query_id", "chunk_id"), 12, ["query_id"], F.desc(F.md5(F.concat_ws("-", "query_id", "chunk_id").cast("binary"))))
+COS_CTE = f"""cw AS MATERIALIZED (SELECT chunk_id, term, 1 + ln(count(*)) AS w FROM (SELECT chunk_id, unnest({passage_terms('content')}) AS term FROM ({C.CHUNKS_SQL})) GROUP BY ALL), cn AS (SELECT chunk_id, sqrt(sum(w * w)) AS norm FROM cw GROUP BY chunk_id), cd AS (SELECT term, count(*) AS df FROM cw GROUP BY term),
+cq AS (SELECT query_id, term, (1 + ln(qtf)) * ln(1 + (SELECT count(*) FROM ({C.CHUNKS_SQL})) / df) AS qw FROM (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({passage_terms('query')}) AS term FROM ({C.QUESTIONS_SQL})) GROUP BY ALL) JOIN cd USING (term)), cqn AS (SELECT query_id, sqrt(sum(qw * qw)) AS qnorm FROM cq GROUP BY query_id),
+co AS (SELECT query_id, chunk_id, round(sum(qw * w / norm / qnorm), 9) AS score FROM cq JOIN cqn USING (query_id) JOIN cw USING (term) JOIN cn USING (chunk_id) GROUP BY query_id, chunk_id),
+cos AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM co QUALIFY rank <= 12)"""
+TOP_CTE = f"{BM25_CTE}, top AS (SELECT query_id, chunk_id, rank FROM lex WHERE rank <= 12)"
+FUSED_CTE = f"""{BM25_CTE}, {COS_CTE}, w AS ({WEIGHTS_SQL}),
+fa AS (SELECT query_id, chunk_id, d.rank AS vector_rank, l.rank AS lexical_rank, coalesce(wv / (60.0 + d.rank), 0) + coalesce(wl / (60.0 + l.rank), 0) AS score, k FROM cos d FULL JOIN (SELECT l.* FROM lex l JOIN w USING (query_id) WHERE rank <= scan) l USING (query_id, chunk_id) JOIN w USING (query_id)),
+fu AS (SELECT query_id, chunk_id, vector_rank, lexical_rank, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM fa) WHERE rank <= k)"""
+DIRECT_SQL = f"""(12 * len(list_filter(list_distinct(regexp_extract_all(lower(query), '[a-z][a-z0-9]*(?:[._/:+-][a-z0-9]+)+')), lambda t: contains(lower({{0}}), t))) + 3 * len(list_filter(list_distinct(regexp_extract_all(lower(query), '[a-z][a-z0-9_-]+')), lambda t: contains(lower({{0}}), t)))
+ + len(list_filter({bigrams("array_to_string(regexp_extract_all(query, '[\\x{{3400}}-\\x{{9fff}}]'), '')")}, lambda t: contains(lower({{0}}), t))))"""
+
+
+def _cosine(s, d):
+    return lexical.cosine(C.chunks(s, d), C.questions(s, d)).select("query_id", "chunk_id", "rank")
 
 
-DENSE_SQL = f"SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY md5(query_id || '-' || chunk_id) DESC) AS rank FROM ({C.QUESTIONS_SQL}) q JOIN ({C.CHUNKS_SQL}) c ON chunk_id BETWEEN query_id AND query_id + 11 QUALIFY rank <= 12"
-FUSED_SQL = f"""{BM25_CTE}, den AS ({DENSE_SQL}), w AS (SELECT query_id, CASE profile WHEN 'table' THEN 0.85 WHEN 'exact' THEN 0.75 WHEN 'semantic' THEN 1.5 WHEN 'document_fact' THEN 1.5 ELSE 1.0 END AS wv, CASE profile WHEN 'table' THEN 2.75 WHEN 'exact' THEN 2.5 WHEN 'semantic' THEN 1.0 ELSE 1.5 END AS wl, profile FROM (SELECT query_id, {PROFILE_SQL} AS profile FROM ({C.QUESTIONS_SQL}))),
-fu AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT query_id, chunk_id, d.rank AS vector_rank, l.rank AS lexical_rank, coalesce(wv / (60.0 + d.rank), 0) + coalesce(wl / (60.0 + l.rank), 0) AS score FROM den d FULL JOIN (SELECT * FROM lex WHERE rank <= 12) l USING (query_id, chunk_id) JOIN w USING (query_id)) QUALIFY rank <= 12)"""
+def _top(s, d):
+    return best(s, d).select("query_id", "chunk_id", "rank")
 
 
-@query("a05_j3_w3_w4_rrf", f"WITH {FUSED_SQL} SELECT query_id, chunk_id, vector_rank, lexical_rank, round(score, 9) AS score, rank FROM fu")
+@query("w02_text_cosine", f"WITH {COS_CTE} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM cos")
+def _(s, d):
+    return lexical.cosine(C.chunks(s, d), C.questions(s, d)).withColumn("score", F.round("score", 6))
+
+
+@query("a05_j3_w3_w4_rrf", f"WITH {FUSED_CTE} SELECT query_id, chunk_id, vector_rank, lexical_rank, round(score, 9) AS score, rank FROM fu")
 def fused(s, d):
-    q = C.questions(s, d)
-    return fusion.fuse(_dense(s, d), lexical.bm25(C.chunks(s, d), q), q).withColumn("score", F.round("score", 9))
+    """Cosine and BM25 over all chunks fused; of both lists as many as the question's profile asks for."""
+    return fusion.fuse(_cosine(s, d), best(s, d, fusion.RELATION_SCAN), C.questions(s, d)).withColumn("score", F.round("score", 9))
 
 
-@query("a06_w13_rerank_fusion", f"""WITH {FUSED_SQL}, r AS (SELECT query_id, chunk_id, rank AS retrieval_rank, lexical_rank, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) AS rerank_rank FROM fu),
+@query("a06_w13_rerank_fusion", f"""WITH {FUSED_CTE}, r AS (SELECT query_id, chunk_id, rank AS retrieval_rank, lexical_rank, row_number() OVER (PARTITION BY query_id ORDER BY {DIRECT_SQL.format('content')} DESC, chunk_id) AS rerank_rank FROM fu JOIN ({C.CHUNKS_SQL}) c USING (chunk_id) JOIN ({C.QUESTIONS_SQL}) USING (query_id)),
 z AS (SELECT r.*, CASE WHEN profile IN ('exact', 'table', 'document_fact', 'relation_fact') THEN 1.0 / (60.0 + rerank_rank) + 0.7 / (60.0 + retrieval_rank) + coalesce(1.5 / (60.0 + lexical_rank), 0) END AS score FROM r JOIN w USING (query_id))
 SELECT query_id, chunk_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, CASE WHEN score IS NULL THEN rerank_rank ELSE retrieval_rank END, chunk_id) AS final_rank FROM z""")
 def _(s, d):
-    r = fused(s, d).select("query_id", "chunk_id", F.col("rank").alias("retrieval_rank"), "lexical_rank").withColumn("rerank_rank", F.row_number().over(Window.partitionBy("query_id").orderBy("chunk_id")))
+    r = fused(s, d).select("query_id", "chunk_id", F.col("rank").alias("retrieval_rank"), "lexical_rank").join(C.questions(s, d), "query_id").join(C.chunks(s, d).select("chunk_id", "content"), "chunk_id")
+    r = r.withColumn("_direct", evidence.unit_score(F.col("query"), F.col("content"), F.lit(False))).drop("query", "content")
+    r = r.withColumn("rerank_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("_direct"), "chunk_id")))
     return fusion.fuse_after_rerank(r, C.questions(s, d)).select("query_id", "chunk_id", F.round("score", 9).alias("score"), "final_rank")
 
 
-@query("w05_protected_slot", f"WITH {BM25_CTE}, den AS ({DENSE_SQL}), best AS (SELECT query_id, chunk_id FROM lex WHERE rank = 1) SELECT query_id, chunk_id, rank, FALSE AS protected FROM den d WHERE NOT (rank = (SELECT max(rank) FROM den x WHERE x.query_id = d.query_id) AND EXISTS (SELECT 1 FROM best b WHERE b.query_id = d.query_id AND b.chunk_id NOT IN (SELECT chunk_id FROM den y WHERE y.query_id = d.query_id))) UNION ALL SELECT b.query_id, b.chunk_id, (SELECT max(rank) FROM den x WHERE x.query_id = b.query_id), TRUE FROM best b WHERE b.query_id IN (SELECT query_id FROM den) AND b.chunk_id NOT IN (SELECT chunk_id FROM den y WHERE y.query_id = b.query_id)")
+@query("w05_protected_slot", f"WITH {BM25_CTE}, {COS_CTE}, den AS (SELECT query_id, chunk_id, rank FROM cos), best AS (SELECT query_id, chunk_id FROM lex WHERE rank = 1) SELECT query_id, chunk_id, rank, FALSE AS protected FROM den d WHERE NOT (rank = (SELECT max(rank) FROM den x WHERE x.query_id = d.query_id) AND EXISTS (SELECT 1 FROM best b WHERE b.query_id = d.query_id AND b.chunk_id NOT IN (SELECT chunk_id FROM den y WHERE y.query_id = d.query_id))) UNION ALL SELECT b.query_id, b.chunk_id, (SELECT max(rank) FROM den x WHERE x.query_id = b.query_id), TRUE FROM best b WHERE b.query_id IN (SELECT query_id FROM den) AND b.chunk_id NOT IN (SELECT chunk_id FROM den y WHERE y.query_id = b.query_id)")
 def _(s, d):
-    best = lexical.bm25(C.chunks(s, d), C.questions(s, d), 1).select("query_id", "chunk_id")
-    return fusion.protect(_dense(s, d), best)
+    return fusion.protect(_cosine(s, d), best(s, d, 1).select("query_id", "chunk_id"))
+
+
+_PHRASE = rf"(?:^|[^\p{{L}}\p{{N}}\p{{M}}\p{{Pc}}])({T.PHRASE})"
+_ANCHOR_CASES = " ".join(f"WHEN contains(query, '{m}') AND list_extract(regexp_extract_all(split_part(query, '{m}', 1), '{_PHRASE}', 1), -1) <> '' AND regexp_extract(substring(query, instr(query, '{m}') + {len(m)}), '{_PHRASE}', 1) <> '' THEN [lower(list_extract(regexp_extract_all(split_part(query, '{m}', 1), '{_PHRASE}', 1), -1)), lower(regexp_extract(substring(query, instr(query, '{m}') + {len(m)}), '{_PHRASE}', 1))]" for m in T.RELATION_MARKERS)
 
 
-@query("w12_p01_round_robin", f"WITH {BM25_CTE}, den AS ({DENSE_SQL}), a AS (SELECT query_id, chunk_id, rank, 0 AS list_no FROM den UNION ALL SELECT query_id, chunk_id, rank, 1 FROM lex WHERE rank <= 6), f AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY rank, list_no) AS n FROM a) SELECT query_id, chunk_id, rank, list_no, row_number() OVER (PARTITION BY query_id ORDER BY rank, list_no) AS position FROM f WHERE n = 1")
+@query("w05_relation_slot", f"""WITH {FUSED_CTE}, an AS (SELECT query_id, CASE {_ANCHOR_CASES} END AS a FROM w WHERE profile = 'relation_fact'),
+rel AS (SELECT query_id, chunk_id, rank FROM lex JOIN an USING (query_id) JOIN ch USING (chunk_id) WHERE rank <= 64 AND contains(lower(content), a[1]) AND contains(lower(content), a[2]) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) = 1),
+mi AS (SELECT query_id, chunk_id FROM rel ANTI JOIN fu USING (query_id, chunk_id))
+SELECT query_id, chunk_id, rank, FALSE AS protected FROM fu f WHERE NOT (rank = (SELECT max(rank) FROM fu x WHERE x.query_id = f.query_id) AND query_id IN (SELECT query_id FROM mi)) UNION ALL SELECT query_id, chunk_id, (SELECT max(rank) FROM fu x WHERE x.query_id = mi.query_id), TRUE FROM mi""")
 def _(s, d):
-    lex = lexical.bm25(C.chunks(s, d), C.questions(s, d)).select("query_id", "chunk_id", "rank")
-    return fusion.round_robin(_dense(s, d), fusion.limit_graph(lex, "mix"))
+    """The first lexical chunk that states a question's relation directly takes the last place of the fused list, if it isn't in it."""
+    scan = best(s, d, fusion.RELATION_SCAN)
+    direct = fusion.direct_relation(scan.join(C.chunks(s, d).select("chunk_id", "content"), "chunk_id"), C.questions(s, d))
+    return fusion.protect(fusion.fuse(_cosine(s, d), scan, C.questions(s, d)).select("query_id", "chunk_id", "rank"), direct)
 
 
-@query("j04_focused_overwrite", f"WITH den AS ({DENSE_SQL}) SELECT query_id, chunk_id, md5(CASE WHEN rank <= 3 THEN substring(content, 1, 100) ELSE content END) AS digest, rank <= 3 AND length(content) > 100 AS changed FROM den JOIN ({C.CHUNKS_SQL}) c USING (chunk_id)")
+@query("w12_p01_round_robin", f"WITH {BM25_CTE}, {COS_CTE}, den AS (SELECT query_id, chunk_id, rank FROM cos), a AS (SELECT query_id, chunk_id, rank, 0 AS list_no FROM den UNION ALL SELECT query_id, chunk_id, rank, 1 FROM lex WHERE rank <= 6), f AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY rank, list_no) AS n FROM a) SELECT query_id, chunk_id, rank, list_no, row_number() OVER (PARTITION BY query_id ORDER BY rank, list_no) AS position FROM f WHERE n = 1")
 def _(s, d):
-    rows = _dense(s, d).join(C.chunks(s, d).select("chunk_id", "content"), "chunk_id")
-    focused = rows.where("rank <= 3").select("query_id", "chunk_id", F.substring("content", 1, 100).alias("content"))
+    return fusion.round_robin(_cosine(s, d), fusion.limit_graph(_top(s, d), "mix"))
+
+
+@query("j04_focused_overwrite")
+def _(s, d):
+    """Candidates of the cosine list whose text gives way to the focused passage that the lexical list has of the same chunk."""
+    focused = passages.best_passages(_top(s, d), C.chunks(s, d), C.expanded(C.questions(s, d))).select("query_id", "chunk_id", F.col("passage").alias("content"))
+    rows = _cosine(s, d).join(C.chunks(s, d).select("chunk_id", "content"), "chunk_id")
     return fusion.overwrite(rows.select("query_id", "chunk_id", "content"), focused).select("query_id", "chunk_id", F.md5(F.col("content").cast("binary")).alias("digest"), "changed")
 
 
+@query("p04_anchor_gate", rf"""WITH {TOP_CTE}, q AS (SELECT query_id, list_distinct(regexp_extract_all(lower(regexp_replace(query, '[^\x00-\x7f]', ' ', 'g')), '\b[a-z][a-z0-9._:+/-]{{3,}}\b')) AS an, regexp_matches(query, '[A-Z]{{5}}|[0-9]') AS strict FROM ({C.QUESTIONS_SQL})),
+h AS (SELECT query_id, chunk_id, strict, len(list_filter(an, lambda a: contains(lower(content), a))) > 0 AS hit, len(an) AS n FROM top JOIN q USING (query_id) JOIN ({C.CHUNKS_SQL}) c USING (chunk_id)),
+m AS (SELECT *, max(hit) OVER (PARTITION BY query_id) AS any_hit FROM h) SELECT query_id, chunk_id FROM m WHERE n = 0 OR hit OR (NOT any_hit AND NOT strict)""")
+def _(s, d):
+    rows = _top(s, d).join(C.chunks(s, d).select("chunk_id", "content"), "chunk_id").join(C.questions(s, d), "query_id")
+    return evidence.anchor_gate(rows).select("query_id", "chunk_id")
+
+
 @query("j05_j17_reference_lookup", "SELECT DISTINCT e.result_id, r.reference_id, count(d.doc_id) OVER (PARTITION BY e.result_id, e.received_at, r.reference_id, r.file_path) AS chunks FROM eval_results e, unnest(e.cited_references) u(r) LEFT JOIN (SELECT DISTINCT source, 1 AS doc_id FROM documents WHERE source IS NOT NULL) d ON d.source = r.file_path")
 def _(s, d):
     r = load(s, d, "eval_results").select("result_id", "received_at", F.explode("cited_references").alias("r")).select("result_id", "received_at", "r.reference_id", "r.file_path")
@@ -174,21 +220,11 @@ def _(s, d):
     return docs.join(docs.where("doc_id % 100 = 0").select("full_doc_id", "source").distinct(), ["full_doc_id", "source"], "left_semi").select("doc_id").distinct()
 
 
-@query("p04_anchor_gate", rf"""WITH den AS ({DENSE_SQL}), q AS (SELECT query_id, list_distinct(regexp_extract_all(lower(regexp_replace(query, '[^\x00-\x7f]', ' ', 'g')), '\b[a-z][a-z0-9._:+/-]{{3,}}\b')) AS an, regexp_matches(query, '[A-Z]{{5}}|[0-9]') AS strict FROM ({C.QUESTIONS_SQL})),
-h AS (SELECT query_id, chunk_id, strict, len(list_filter(an, lambda a: contains(lower(content), a))) > 0 AS hit, len(an) AS n FROM den JOIN q USING (query_id) JOIN ({C.CHUNKS_SQL}) c USING (chunk_id)),
-m AS (SELECT *, max(hit) OVER (PARTITION BY query_id) AS any_hit FROM h) SELECT query_id, chunk_id FROM m WHERE n = 0 OR hit OR (NOT any_hit AND NOT strict)""")
-def _(s, d):
-    from sparkquarry.operators.evidence import anchor_gate
-
-    rows = _dense(s, d).join(C.chunks(s, d).select("chunk_id", "content"), "chunk_id").join(C.questions(s, d), "query_id")
-    return anchor_gate(rows).select("query_id", "chunk_id")
-
-
 @query("p07_w_diagnostic_filter", f"""WITH {BM25_CTE}, l AS (SELECT query_id, chunk_id, score / max(score) OVER (PARTITION BY query_id) AS s, rank FROM lex WHERE rank <= 12) SELECT query_id, chunk_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS k FROM l WHERE s >= 0.3) WHERE k <= 2""")
 def _(s, d):
     from sparkquarry.operators.evidence import relative_floor
 
-    l = lexical.bm25(C.chunks(s, d), C.questions(s, d))
+    l = best(s, d)
     l = l.withColumn("score", F.col("score") / F.max("score").over(Window.partitionBy("query_id")))
     return relative_floor(l, 0.5, 0.3, 2).select("query_id", "chunk_id", "rank")
 
@@ -207,68 +243,6 @@ def _(s, d):
     return docs.select("doc_id", F.regexp_extract("source", r"^(.*)\.(kg|text)\.md$", 2).alias("route"), (F.char_length("text") > 2000).alias("truncated"), F.md5(F.substring("text", 1, 2000).cast("binary")).alias("digest"), group.alias("group_id"))
 
 
-# The queries of fusion and gates above take their second list from a range of ids; those below rank all chunks by content.
-COS_CTE = f"""cw AS MATERIALIZED (SELECT chunk_id, term, 1 + ln(count(*)) AS w FROM (SELECT chunk_id, unnest({passage_terms('content')}) AS term FROM ({C.CHUNKS_SQL})) GROUP BY ALL), cn AS (SELECT chunk_id, sqrt(sum(w * w)) AS norm FROM cw GROUP BY chunk_id), cd AS (SELECT term, count(*) AS df FROM cw GROUP BY term),
-cq AS (SELECT query_id, term, (1 + ln(qtf)) * ln(1 + (SELECT count(*) FROM ({C.CHUNKS_SQL})) / df) AS qw FROM (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({passage_terms('query')}) AS term FROM ({C.QUESTIONS_SQL})) GROUP BY ALL) JOIN cd USING (term)), cqn AS (SELECT query_id, sqrt(sum(qw * qw)) AS qnorm FROM cq GROUP BY query_id),
-co AS (SELECT query_id, chunk_id, round(sum(qw * w / norm / qnorm), 9) AS score FROM cq JOIN cqn USING (query_id) JOIN cw USING (term) JOIN cn USING (chunk_id) GROUP BY query_id, chunk_id),
-cos AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM co QUALIFY rank <= 12)"""
-TOP_CTE = f"{BM25_CTE}, top AS (SELECT query_id, chunk_id, rank FROM lex WHERE rank <= 12)"
-WHOLE_SQL = FUSED_SQL.replace(f"den AS ({DENSE_SQL})", f"{COS_CTE}, den AS (SELECT query_id, chunk_id, rank FROM cos)")
-DIRECT_SQL = f"""(12 * len(list_filter(list_distinct(regexp_extract_all(lower(query), '[a-z][a-z0-9]*(?:[._/:+-][a-z0-9]+)+')), lambda t: contains(lower({{0}}), t))) + 3 * len(list_filter(list_distinct(regexp_extract_all(lower(query), '[a-z][a-z0-9_-]+')), lambda t: contains(lower({{0}}), t)))
- + len(list_filter({bigrams("array_to_string(regexp_extract_all(query, '[\\x{{3400}}-\\x{{9fff}}]'), '')")}, lambda t: contains(lower({{0}}), t))))"""
-
-
-def _cosine(s, d):
-    return lexical.cosine(C.chunks(s, d), C.questions(s, d)).select("query_id", "chunk_id", "rank")
-
-
-def _top(s, d):
-    return lexical.bm25(C.chunks(s, d), C.questions(s, d)).select("query_id", "chunk_id", "rank")
-
-
-@query("w02_text_cosine", f"WITH {COS_CTE} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM cos")
-def _(s, d):
-    return lexical.cosine(C.chunks(s, d), C.questions(s, d)).withColumn("score", F.round("score", 6))
-
-
-@query("a05_rrf_all_chunks", f"WITH {WHOLE_SQL} SELECT query_id, chunk_id, vector_rank, lexical_rank, round(score, 9) AS score, rank FROM fu")
-def fused_whole(s, d):
-    return fusion.fuse(_cosine(s, d), _top(s, d), C.questions(s, d)).withColumn("score", F.round("score", 9))
-
-
-@query("a06_rerank_all_chunks", f"""WITH {WHOLE_SQL}, r AS (SELECT query_id, chunk_id, rank AS retrieval_rank, lexical_rank, row_number() OVER (PARTITION BY query_id ORDER BY {DIRECT_SQL.format('content')} DESC, chunk_id) AS rerank_rank FROM fu JOIN ({C.CHUNKS_SQL}) c USING (chunk_id) JOIN ({C.QUESTIONS_SQL}) USING (query_id)),
-z AS (SELECT r.*, CASE WHEN profile IN ('exact', 'table', 'document_fact', 'relation_fact') THEN 1.0 / (60.0 + rerank_rank) + 0.7 / (60.0 + retrieval_rank) + coalesce(1.5 / (60.0 + lexical_rank), 0) END AS score FROM r JOIN w USING (query_id))
-SELECT query_id, chunk_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, CASE WHEN score IS NULL THEN rerank_rank ELSE retrieval_rank END, chunk_id) AS final_rank FROM z""")
-def _(s, d):
-    r = fused_whole(s, d).select("query_id", "chunk_id", F.col("rank").alias("retrieval_rank"), "lexical_rank").join(C.questions(s, d), "query_id").join(C.chunks(s, d).select("chunk_id", "content"), "chunk_id")
-    r = r.withColumn("_direct", evidence.unit_score(F.col("query"), F.col("content"), F.lit(False))).drop("query", "content")
-    r = r.withColumn("rerank_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("_direct"), "chunk_id")))
-    return fusion.fuse_after_rerank(r, C.questions(s, d)).select("query_id", "chunk_id", F.round("score", 9).alias("score"), "final_rank")
-
-
-@query("w05_protected_all_chunks", S["w05_protected_slot"].replace(f"den AS ({DENSE_SQL})", f"{COS_CTE}, den AS (SELECT query_id, chunk_id, rank FROM cos)"))
-def _(s, d):
-    return fusion.protect(_cosine(s, d), lexical.bm25(C.chunks(s, d), C.questions(s, d), 1).select("query_id", "chunk_id"))
-
-
-@query("w12_round_robin_all_chunks", S["w12_p01_round_robin"].replace(f"den AS ({DENSE_SQL})", f"{COS_CTE}, den AS (SELECT query_id, chunk_id, rank FROM cos)"))
-def _(s, d):
-    return fusion.round_robin(_cosine(s, d), fusion.limit_graph(_top(s, d), "mix"))
-
-
-@query("j04_focused_all_chunks", S["j04_focused_overwrite"].replace(f"den AS ({DENSE_SQL})", f"{TOP_CTE}, den AS (SELECT * FROM top)"))
-def _(s, d):
-    rows = _top(s, d).join(C.chunks(s, d).select("chunk_id", "content"), "chunk_id")
-    focused = rows.where("rank <= 3").select("query_id", "chunk_id", F.substring("content", 1, 100).alias("content"))
-    return fusion.overwrite(rows.select("query_id", "chunk_id", "content"), focused).select("query_id", "chunk_id", F.md5(F.col("content").cast("binary")).alias("digest"), "changed")
-
-
-@query("p04_anchor_all_chunks", S["p04_anchor_gate"].replace(f"den AS ({DENSE_SQL})", f"{TOP_CTE}, den AS (SELECT * FROM top)"))
-def _(s, d):
-    rows = _top(s, d).join(C.chunks(s, d).select("chunk_id", "content"), "chunk_id").join(C.questions(s, d), "query_id")
-    return evidence.anchor_gate(rows).select("query_id", "chunk_id")
-
-
 def scored_units(s, d):
     """The lines of each question's best chunks: query_id, chunk_rank, chunk_id, unit_index, line, direct."""
     pairs = _top(s, d).join(C.chunks(s, d).select("chunk_id", "content"), "chunk_id").join(C.questions(s, d), "query_id")
@@ -280,7 +254,7 @@ UNITS_SQL = f"""{TOP_CTE}, u AS (SELECT query_id, rank AS chunk_rank, chunk_id,
 x AS (SELECT *, {DIRECT_SQL.format('line')} AS direct FROM u)"""
 
 
-@query("w09_units_of_top_chunks", f"WITH {UNITS_SQL}, y AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_rank ORDER BY direct DESC, unit_index) AS depth FROM x) SELECT query_id, chunk_rank, unit_index, direct, row_number() OVER (PARTITION BY query_id ORDER BY depth, chunk_rank) AS position FROM y WHERE depth <= 8 QUALIFY position <= 24")
+@query("w09_w10_candidate_units", f"WITH {UNITS_SQL}, y AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_rank ORDER BY direct DESC, unit_index) AS depth FROM x) SELECT query_id, chunk_rank, unit_index, direct, row_number() OVER (PARTITION BY query_id ORDER BY depth, chunk_rank) AS position FROM y WHERE depth <= 8 QUALIFY position <= 24")
 def _(s, d):
     return evidence.candidate_units(scored_units(s, d)).select("query_id", "chunk_rank", "unit_index", F.col("direct").cast("bigint").alias("direct"), "position")
 
@@ -294,7 +268,7 @@ def admission_units(s, d):
     return u.select("query_id", "chunk_rank", "unit_index", "section", score.alias("score"), F.char_length("line").cast("bigint").alias("size"))
 
 
-@query("w11_admission_of_units")
+@query("w11_admission")
 def _(s, d):
     return evidence.admit(admission_units(s, d)).select("query_id", "chunk_rank", "unit_index", F.round("score", 6).alias("score"))
 
@@ -308,13 +282,13 @@ def _top_lines(s, d):
 LINES_SQL = f"""{TOP_CTE}, l AS (SELECT query_id, chunk_id, query, i - 1 AS line_no, x[i] AS line FROM (SELECT query_id, chunk_id, query, string_split(content, chr(10)) AS x FROM top JOIN ({C.CHUNKS_SQL}) c USING (chunk_id) JOIN ({C.QUESTIONS_SQL}) q USING (query_id)), unnest(range(1, len(x) + 1)) t(i))"""
 
 
-@query("f15_scores_of_top_lines", f"""WITH {LINES_SQL}, a AS (SELECT query_id, line_id, term, count(*) AS n FROM (SELECT query_id, chunk_id || '-' || line_no AS line_id, unnest({terms('line')}) AS term FROM l) GROUP BY ALL), b AS (SELECT query_id, term, count(*) AS m FROM (SELECT query_id, unnest({terms('query')}) AS term FROM ({C.QUESTIONS_SQL})) GROUP BY ALL)
+@query("f15_line_scores", f"""WITH {LINES_SQL}, a AS (SELECT query_id, line_id, term, count(*) AS n FROM (SELECT query_id, chunk_id || '-' || line_no AS line_id, unnest({terms('line')}) AS term FROM l) GROUP BY ALL), b AS (SELECT query_id, term, count(*) AS m FROM (SELECT query_id, unnest({terms('query')}) AS term FROM ({C.QUESTIONS_SQL})) GROUP BY ALL)
 SELECT query_id, line_id, CAST(sum(least(n, m)) AS BIGINT) AS score FROM a JOIN b USING (query_id, term) GROUP BY ALL""")
 def _(s, d):
     return lexical.line_scores(_top_lines(s, d).select("query_id", F.concat_ws("-", "chunk_id", "line_no").alias("line_id"), "line"), C.questions(s, d))
 
 
-@query("t19_t21_compact_top_lines", f"WITH {LINES_SQL}, h AS (SELECT query_id, chunk_id, line_no, len(list_filter(list_distinct(regexp_extract_all(lower(query), '[a-z0-9]{{3,}}')), lambda w: contains(lower(line), w))) AS hits FROM l) SELECT query_id, chunk_id, line_no, hits FROM h QUALIFY hits > 0 AND hits = max(hits) OVER (PARTITION BY query_id, chunk_id)")
+@query("t19_t21_compact_lines", f"WITH {LINES_SQL}, h AS (SELECT query_id, chunk_id, line_no, len(list_filter(list_distinct(regexp_extract_all(lower(query), '[a-z0-9]{{3,}}')), lambda w: contains(lower(line), w))) AS hits FROM l) SELECT query_id, chunk_id, line_no, hits FROM h QUALIFY hits > 0 AND hits = max(hits) OVER (PARTITION BY query_id, chunk_id)")
 def _(s, d):
     hits = F.size(F.filter(F.array_distinct(F.regexp_extract_all(F.lower("query"), F.lit("[a-z0-9]{3,}"), F.lit(0))), lambda w: F.contains(F.lower("line"), w)))
     l = _top_lines(s, d).select("query_id", "chunk_id", "line_no", hits.cast("bigint").alias("hits"))

@@ -206,11 +206,6 @@ def _(s, d):
     return g.select("page_uid", F.array_join(F.transform("g", lambda x: x["p"]), "").alias("text"))
 
 
-@query("t32_otsl_cells", "SELECT * FROM (VALUES (1, 0, 0, 1, 2, 'ched'), (1, 1, 0, 2, 1, 'rhed'), (1, 1, 1, 1, 1, 'fcel'), (1, 2, 1, 1, 1, 'ecel')) t(table_id, row, col, row_span, col_span, label)")
-def _(s, d):
-    return geometry.otsl_cells(s.createDataFrame([(1, ["ched", "lcel", "nl", "rhed", "fcel", "nl", "ucel", "ecel", "nl"])], "table_id bigint, tokens array<string>"))
-
-
 @query("t33_t34_t35_page_boxes", "SELECT b.block_id, round(greatest(0, x0::DOUBLE - pad), 4) AS px0, round(least(width, x1::DOUBLE + pad), 4) AS px1, round(x0::DOUBLE * dpi / 72.0, 4) AS ix0, round(height - y1::DOUBLE * (dpi / 72.0), 4) AS iy0 FROM (SELECT *, greatest(6.0, round(least(p.width, p.height) * 0.004)) AS pad FROM blocks JOIN parsed_pages p USING (page_uid)) b")
 def _(s, d):
     p = load(s, d, "parsed_pages").select("page_uid", "width", "height", "dpi")
@@ -233,33 +228,6 @@ def _(s, d):
     return g.select("page_uid", F.md5(F.concat(F.lit("## Page "), F.col("page").cast("string"), F.array_join(F.transform("xs", lambda x: x["t"]), "")).cast("binary")).alias("digest"))
 
 
-_PAIR = "(SELECT result_id AS query_id, any_value(question) AS query FROM eval_results WHERE result_id % 100 = 0 AND question IS NOT NULL GROUP BY result_id) q JOIN (SELECT doc_id, text FROM documents WHERE length(text) > 0) c ON c.doc_id BETWEEN q.query_id AND q.query_id + 11"
-_UNITS = rf"""u AS (SELECT query_id, doc_id AS chunk_rank, i - 1 AS unit_index, query, l[i] AS line FROM (SELECT query_id, doc_id, query, string_split(text, chr(10)) AS l FROM {_PAIR}), unnest(range(1, len(l) + 1)) t(i) WHERE trim(l[i], ' ') <> ''),
-x AS (SELECT *, 12 * len(list_filter(list_distinct(regexp_extract_all(lower(query), '[a-z][a-z0-9]*(?:[._/:+-][a-z0-9]+)+')), lambda t: contains(lower(line), t))) + 3 * len(list_filter(list_distinct(regexp_extract_all(lower(query), '[a-z][a-z0-9_-]+')), lambda t: contains(lower(line), t)))
- + len(list_filter({bigrams("array_to_string(regexp_extract_all(query, '[\\x{3400}-\\x{9fff}]'), '')")}, lambda t: contains(lower(line), t))) AS direct FROM u)"""
-
-
-def units(s, d):
-    q = C.questions(s, d).withColumn("chunk_id", F.explode(F.sequence("query_id", F.col("query_id") + 11)))
-    pairs = q.join(C.chunks(s, d), "chunk_id")
-    u = pairs.select("query_id", F.col("chunk_id").alias("chunk_rank"), "query", F.posexplode(F.split("content", "\n")).alias("unit_index", "line")).where("trim(line) <> ''")
-    return u.withColumn("direct", evidence.unit_score(F.col("query"), F.col("line"), F.lit(False)))
-
-
-@query("w09_w10_candidate_units", f"WITH {_UNITS}, y AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_rank ORDER BY direct DESC, unit_index) AS depth FROM x) SELECT query_id, chunk_rank, unit_index, direct, row_number() OVER (PARTITION BY query_id ORDER BY depth, chunk_rank) AS position FROM y WHERE depth <= 8 QUALIFY position <= 24")
-def _(s, d):
-    return evidence.candidate_units(units(s, d)).select("query_id", "chunk_rank", "unit_index", F.col("direct").cast("bigint").alias("direct"), "position")
-
-
-_ADMIT = [(1, 0, 0, "a", 1.0, 3000), (1, 0, 1, "a", 0.4, 2500), (1, 0, 2, "a", 0.9, 2000), (1, 1, 5, "b", 0.45, 500), (1, 1, 6, "b", 0.5, 900), (2, 0, 0, "a", 0.05, 10)]
-
-
-@query("w11_admission", "SELECT * FROM (VALUES (1, 0, 0, 1.0), (1, 0, 2, 0.9), (1, 1, 6, 0.5)) t(query_id, chunk_rank, unit_index, score)")
-def _(s, d):
-    u = s.createDataFrame(_ADMIT, "query_id int, chunk_rank int, unit_index int, section string, score double, size bigint")
-    return evidence.admit(u).select("query_id", "chunk_rank", "unit_index", "score")
-
-
 @query("f32_extraction_windows")
 def _(s, d):
     return C.chunks(s, d).select("chunk_id", F.posexplode(markdown.extraction_windows(F.col("content"))).alias("window_no", "text"))

@@ -32,9 +32,9 @@ def test_cosine_over_all_chunks(spark):
 
 
 def test_second_list_is_not_a_range_of_ids(spark, sf):
-    rows = QUERIES["a05_rrf_all_chunks"](spark, sf).where("vector_rank is not null").collect()
+    rows = QUERIES["a05_j3_w3_w4_rrf"](spark, sf).where("vector_rank is not null").collect()
     assert rows and any(not 0 <= r.chunk_id - r.query_id <= 11 for r in rows)
-    gate = QUERIES["p04_anchor_all_chunks"](spark, sf).collect()
+    gate = QUERIES["p04_anchor_gate"](spark, sf).collect()
     assert any(not 0 <= r.chunk_id - r.query_id <= 11 for r in gate)
 
 
@@ -54,7 +54,7 @@ def test_sentences_of_all_blocks(spark, sf):
     case = "The first sentence here.\nThe second one there.\n\n\n第三句话在这里，也有十二个字以上。\nThe last one.\n"
     assert spark.createDataFrame([(case,)], "c string").select(F.size(T.paragraph_sentences(F.col("c")))).first()[0] == count(case) == 4
     want = {r.block_id: count(r.text) for r in _rows(spark, sf, "blocks").where("text is not null").collect()}
-    assert {r.block_id: r.n for r in QUERIES["f31_paragraph_sentences_all"](spark, sf).collect()} == want
+    assert {r.block_id: r.n for r in QUERIES["f31_paragraph_sentences"](spark, sf).collect()} == want
 
 
 def test_footers_of_all_answers(spark, sf):
@@ -64,7 +64,7 @@ def test_footers_of_all_answers(spark, sf):
     cases = ["Done.　\n### References\n[1] a.md", "完成 ", "a \n\n参考资料：[1] b", "x\x1f"]
     assert [r[0] for r in spark.createDataFrame([(c,) for c in cases], "c string").select(T.without_footer(F.col("c"))).collect()] == ["Done.", "完成", "a", "x"]
     want = {(r.result_id, _md5(body(r.answer))) for r in _rows(spark, sf, "eval_results").where("answer is not null").collect()}
-    assert {(r.result_id, r.digest) for r in QUERIES["f26_without_footer_all"](spark, sf).collect()} == want
+    assert {(r.result_id, r.digest) for r in QUERIES["f26_without_footer"](spark, sf).collect()} == want
 
 
 def test_fit_of_all_documents(spark, sf):
@@ -78,7 +78,7 @@ def test_fit_of_all_documents(spark, sf):
 
     texts = {r.doc_id: r.text for r in _rows(spark, sf, "documents").where("text is not null").collect()}
     assert any(len(fit(t)) < 400 < len(t) for t in texts.values())
-    assert {r.doc_id: r.digest for r in QUERIES["w18_token_fit_all"](spark, sf).collect()} == {i: _md5(fit(t)) for i, t in texts.items()}
+    assert {r.doc_id: r.digest for r in QUERIES["w18_token_fit"](spark, sf).collect()} == {i: _md5(fit(t)) for i, t in texts.items()}
 
 
 def _admit(units):
@@ -103,12 +103,12 @@ def test_admission_of_scored_units(spark, sf):
     for u in admission_units(spark, sf).collect():
         questions.setdefault(u.query_id, []).append(u)
     want = {(u.query_id, u.chunk_rank, u.unit_index) for us in questions.values() for u in _admit(us)}
-    got = {(r.query_id, r.chunk_rank, r.unit_index) for r in QUERIES["w11_admission_of_units"](spark, sf).collect()}
+    got = {(r.query_id, r.chunk_rank, r.unit_index) for r in QUERIES["w11_admission"](spark, sf).collect()}
     assert got == want and {q for q, _, _ in got} == set(questions)
 
 
 def test_anchors_of_all_questions(spark, sf):
-    rows = QUERIES["f08_relation_anchors_all"](spark, sf).collect()
+    rows = QUERIES["f08_relation_anchors"](spark, sf).collect()
     assert {r.query for r in rows} == {r[0] for r in _rows(spark, sf, "eval_results").where("question is not null").select("question").collect()}
 
 
@@ -118,9 +118,9 @@ def test_otsl_cells(spark):
 
 
 def test_lines_of_the_best_chunks(spark, sf):
-    scored = QUERIES["f15_scores_of_top_lines"](spark, sf).collect()
+    scored = QUERIES["f15_line_scores"](spark, sf).collect()
     assert any(int(r.line_id.split("-")[0]) != r.query_id for r in scored) and any(not r.line_id.endswith("-0") for r in scored)
-    assert any(r.chunk_id != r.query_id for r in QUERIES["t19_t21_compact_top_lines"](spark, sf).collect())
+    assert any(r.chunk_id != r.query_id for r in QUERIES["t19_t21_compact_lines"](spark, sf).collect())
 
 
 def test_phrases_and_substance_of_whole_texts(spark, sf):
@@ -131,9 +131,9 @@ def test_phrases_and_substance_of_whole_texts(spark, sf):
         return len(re.sub(r"(?m)^\s{0,3}#{1,6}\s.*$", "", re.sub(r"(?s)<!--.*?-->", "", text)).strip()) >= 24
 
     texts = {r.doc_id: r.text for r in _rows(spark, sf, "documents").where("length(text) > 0").collect()}
-    assert {r.chunk_id: r.phrases for r in QUERIES["f06_named_phrases_all"](spark, sf).collect()} == {i: phrases(t) for i, t in texts.items()}
+    assert {r.chunk_id: r.phrases for r in QUERIES["f06_named_phrases"](spark, sf).collect()} == {i: phrases(t) for i, t in texts.items()}
     blocks = {r.block_id: r.text for r in _rows(spark, sf, "blocks").where("text is not null").collect()}
-    assert {r.block_id: r.ok for r in QUERIES["f14_substantive_all"](spark, sf).collect()} == {i: solid(t) for i, t in blocks.items()}
+    assert {r.block_id: r.ok for r in QUERIES["f14_substantive"](spark, sf).collect()} == {i: solid(t) for i, t in blocks.items()}
     assert spark.createDataFrame([("　" * 30 + "短",)], "c string").select(T.substantive(F.col("c"))).first()[0] is False
 
 
@@ -143,7 +143,7 @@ def test_questions_keep_their_script(spark, tmp_path):
     docs = [(7, "decode 性能" + long), (8, "pump modes" + long), (9, "the usb_test" + long)]
     rows = spark.createDataFrame(docs, "doc_id bigint, text string")
     rows.selectExpr("doc_id", "text", "'a.md' source", "'d' full_doc_id", "0 chunk_order_index", "array('') content_headings", "timestamp'2026-01-01' updated_at").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.query_id: (r.chunk_id, r.why) for r in QUERIES["w06_protected_evidence_all"](spark, str(tmp_path)).collect()}
+    got = {r.query_id: (r.chunk_id, r.why) for r in QUERIES["w06_p18_protected_evidence"](spark, str(tmp_path)).collect()}
     assert got == {0: (7, "lexical"), 100: (8, "fact"), 200: (9, "fact")}
-    assert {r.query: r.identifiers for r in QUERIES["f12_direct_identifiers_all"](spark, str(tmp_path)).collect()} == {"decode 性能": "", "有哪些 pump modes": "", "如何配置 USB_TEST": "usb_test"}
-    assert [(r.query_id, r.chunks) for r in QUERIES["f13_identifier_coverage_all"](spark, str(tmp_path)).collect()] == [(200, 1)]
+    assert {r.query: r.identifiers for r in QUERIES["f12_direct_identifiers"](spark, str(tmp_path)).collect()} == {"decode 性能": "", "有哪些 pump modes": "", "如何配置 USB_TEST": "usb_test"}
+    assert [(r.query_id, r.chunks) for r in QUERIES["f13_identifier_coverage"](spark, str(tmp_path)).collect()] == [(200, 1)]
