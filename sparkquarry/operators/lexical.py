@@ -78,6 +78,15 @@ def passage_terms_of(term: str) -> tuple[str, ...]:
     return tuple(term[i : i + 2] for i in range(len(term) - 1)) if term >= T.FIRST_IDEOGRAPH else (term,)
 
 
+_SPACED, _PUNCTUATION = re.compile(rf"\b{T.SPACED}"), re.compile("[^a-z0-9]+")
+
+
+def with_aliases(low: str) -> str:
+    """A text in lower case as :func:`functions.text.index_text` has it, by the same rules in Python."""
+    found = {_PUNCTUATION.sub("", m) for m in _SPACED.findall(low) if _DIGIT.search(m)}
+    return low + "\n" + " ".join(sorted(found)) if found else low
+
+
 TERM = re.compile(T.TERM.replace(r"\x{3400}-\x{9fff}", "\u3400-\u9fff"))
 _SEPARATORS, _DIGIT = re.compile(T.SEPARATORS), re.compile("[0-9]")
 _POSTS = "size double, terms array<int>, tfs array<int>"
@@ -104,7 +113,7 @@ def _weights_cosine(tf: np.ndarray, size: np.ndarray, mean: float) -> np.ndarray
 
 
 def _postings_of(texts: DataFrame, vocabulary: dict[str, int], exact: list[str], passage: bool) -> DataFrame:
-    """``chunk_id, size, terms, tfs`` of texts (chunk_id, low): each chunk's counts of the block's terms. Exact terms that the text holds follow with a count of 0. Size is the number of terms or, of passage terms, the length of the vector of them all."""
+    """``chunk_id, size, terms, tfs`` of texts (chunk_id, low): each chunk's counts of the block's terms. Exact terms that the text holds follow with a count of 0. Index terms are of index texts, passage terms of texts as they are. Size is the number of terms or, of passage terms, the length of the vector of them all."""
     kind = texts.schema["chunk_id"].dataType.simpleString()
     shared = texts.sparkSession.sparkContext.broadcast((vocabulary, exact))  # of one block of queries
     of = passage_terms_of if passage else index_terms_of
@@ -122,6 +131,8 @@ def _postings_of(texts: DataFrame, vocabulary: dict[str, int], exact: list[str],
         for batch in batches:
             sizes, terms, counts = [], [], []
             for low in batch.column(1).to_pylist():
+                if not passage:
+                    low = with_aliases(low)
                 tf: dict[int, int] = {}
                 total, others = 0, Counter()
                 for term, n in Counter(TERM.findall(low)).items():
@@ -274,7 +285,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int = 12) -> DataFrame:
     """
     text = F.col("expanded" if "expanded" in queries.columns else "query")
     q = queries.select("query_id", T.terms(text).alias("terms"), T.exact_terms(text).alias("exact")).where("terms is not null")
-    return _search(chunks.select("chunk_id", F.lower(T.index_text(F.col("content"))).alias("low")), q, k, passage=False)
+    return _search(chunks.select("chunk_id", F.lower("content").alias("low")), q, k, passage=False)
 
 
 def cosine(chunks: DataFrame, queries: DataFrame, k: int = 12) -> DataFrame:
