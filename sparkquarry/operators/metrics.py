@@ -5,24 +5,68 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkquarry.session import checkpoint
 
-def nearest_rank(df: DataFrame, by: list[str], value: str, fraction: float) -> DataFrame:
-    """``by, n, value`` at rank bround((n - 1) * fraction). Equal values are counted before they are sorted, so hot groups shrink first."""
+
+def ranked(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """``by``, value, ``_c`` (how often it occurs), ``_upto`` (values up to it) and ``n`` (values of the group), exact.
+
+    Equal values are counted first, then spread by ranges of group and value over all tasks; each task adds up its own
+    range, and only the ranges' sums are added up by group. So a group of any size is in no task as a whole. Null values
+    don't count; null keys make groups.
+    """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*by).orderBy(value)
-    cum = counts.withColumn("_upto", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("_c").over(Window.partitionBy(*by)))
-    at = F.bround((F.col("n") - 1) * fraction) + 1
-    return cum.where((at <= F.col("_upto")) & (at > F.col("_upto") - F.col("_c"))).select(*by, "n", value)
+    parts = checkpoint(counts.repartitionByRange(*by, value).withColumn("_part", F.spark_partition_id()))
+    sums = parts.groupBy("_part", *by).agg(F.sum("_c").alias("_own"))
+    group = Window.partitionBy(*by)
+    sums = sums.select(F.col("_part").alias("_p"), *(F.col(b).alias(f"_{b}") for b in by), (F.sum("_own").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_own")).alias("_before"), F.sum("_own").over(group).alias("n"))
+    same = F.col("_part") == F.col("_p")
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"_{b}"))
+    here = F.sum("_c").over(Window.partitionBy("_part", *by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    return parts.withColumn("_here", here).join(sums, same).select(*by, value, "_c", (F.col("_before") + F.col("_here")).alias("_upto"), "n")
+
+
+def value_at(rank: Column, value: str) -> Column:
+    """An aggregate over :func:`ranked`: the value that has the rank, from 1."""
+    return F.max(F.when((rank <= F.col("_upto")) & (rank > F.col("_upto") - F.col("_c")), F.col(value)))
+
+
+def nearest_rank(df: DataFrame, by: list[str], value: str, fraction: float) -> DataFrame:
+    """``by, n, value`` at rank bround((n - 1) * fraction)."""
+    r = ranked(df, by, value)
+    return r.groupBy(*by).agg(F.max("n").alias("n"), value_at(F.bround((F.col("n") - 1) * fraction) + 1, value).alias(value))
+
+
+def interpolated(fraction: float, value: str) -> Column:
+    """An aggregate over :func:`ranked`: the quantile between its two nearest ranks."""
+    at = (F.col("n") - 1) * fraction
+    low, high = value_at(F.floor(at) + 1, value), value_at(F.ceil(at) + 1, value)
+    part = F.max(at) - F.floor(F.max(at))
+    return low + (high - low) * part
+
+
+def quantile(df: DataFrame, by: list[str], value: str, fraction: float) -> DataFrame:
+    """``by, n, value``: the interpolated quantile."""
+    return ranked(df, by, value).groupBy(*by).agg(F.max("n").alias("n"), interpolated(fraction, value).alias(value))
 
 
 def latency_summary(df: DataFrame, by: list[str], value: str, failed: Column) -> DataFrame:
     """Count, errors, median, nearest-rank 95th percentile, least and greatest value of each group."""
-    base = df.groupBy(*by).agg(F.count(value).alias("n"), F.count_if(failed).alias("errors"), F.round(F.median(value), 1).alias("median"), F.min(value).alias("least"), F.max(value).alias("greatest"))
-    p95 = nearest_rank(df, by, value, 0.95).select(*(F.col(b).alias(f"_{b}") for b in by), F.col(value).alias("p95"))
+    base = df.groupBy(*by).agg(F.count(value).alias("n"), F.count_if(failed).alias("errors"), F.min(value).alias("least"), F.max(value).alias("greatest"))
+    ranks = ranked(df, by, value).groupBy(*(F.col(b).alias(f"_{b}") for b in by)).agg(F.round(interpolated(0.5, value), 1).alias("median"), value_at(F.bround((F.col("n") - 1) * 0.95) + 1, value).alias("p95"))
     same = F.lit(True)
     for b in by:
         same = same & F.col(b).eqNullSafe(F.col(f"_{b}"))
-    return base.join(p95, same, "left").drop(*(f"_{b}" for b in by))
+    return base.join(ranks, same, "left").drop(*(f"_{b}" for b in by))
+
+
+def rollup(df: DataFrame, by: list[str], status: Column, severity: list[str], time: str, **sums: str) -> DataFrame:
+    """Members of a group as one: the worst status (``severity``, the worst first, others below all), sums, first and last time, and the least time of a member of that status."""
+    worst = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, severity)), status), F.lit(0)), F.lit(len(severity) + 1))
+    rows = df.withColumns({"_worst": worst, "_status": status})
+    of = rows.groupBy(*by).agg(F.min(F.struct("_worst", "_status", F.col(time).alias("_t"))).alias("_s"), F.count("*").alias("members"), F.min(time).alias("created"), F.max(time).alias("updated"), *(F.sum(c).alias(k) for k, c in sums.items()))
+    return of.select(*by, F.col("_s._status").alias("status"), F.col("_s._t").alias("status_since"), "members", "created", "updated", *sums)
 
 
 def all_or_null(value: Column) -> Column:

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkquarry.operators.lexical import top_k
+from sparkquarry.operators.lexical import in_blocks, top_k
+from sparkquarry.session import checkpoint
 
 #: Query vectors that go to the executors at once.
 BLOCK = 4096
@@ -18,12 +19,11 @@ BLOCK = 4096
 def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, threshold: float | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id, id_col, similarity, rank`` of the ``k`` nearest rows by cosine; ties by id. ``queries``: query_id and ``vector_col``.
 
-    Queries are sent in blocks of at most ``BLOCK`` vectors, so what is broadcast stays bounded; each task keeps ``k`` rows
-    of a batch for each query before anything is shuffled. Null and zero vectors match nothing.
+    Queries are sent in blocks of at most ``BLOCK`` vectors, one block after another, so what the driver holds and sends
+    stays bounded; each task keeps ``k`` rows of a batch for each query before anything is shuffled. Null and zero vectors match nothing.
     """
     kind = vectors.schema[id_col].dataType.simpleString()
     qkind = queries.schema["query_id"].dataType.simpleString()
-    out, block = None, []
 
     def search(block: list) -> DataFrame:
         ids = [r[0] for r in block]
@@ -48,14 +48,11 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, threshold:
                         rows.append((ids[i], own[j], s[i, j]))
                 yield pd.DataFrame(rows, columns=["query_id", id_col, "similarity"])
 
-        return vectors.select(id_col, vector_col).where(F.col(vector_col).isNotNull()).mapInPandas(run, f"query_id {qkind}, `{id_col}` {kind}, similarity double")
-
-    for row in queries.where(F.col(vector_col).isNotNull()).select("query_id", vector_col).toLocalIterator():
-        block.append((row[0], row[1]))
-        if len(block) == BLOCK:
-            out = search(block) if out is None else out.unionByName(search(block))
-            block = []
-    if block or out is None:
-        part = search(block) if block else vectors.limit(0).select(F.lit(None).cast(qkind).alias("query_id"), id_col, F.lit(None).cast("double").alias("similarity"))
-        out = part if out is None else out.unionByName(part)
-    return top_k(out, k, ["query_id"], F.desc(F.round("similarity", 9)), F.col(id_col)).withColumn("similarity", F.round("similarity", 9))
+        found = vectors.select(id_col, vector_col).where(F.col(vector_col).isNotNull()).mapInPandas(run, f"query_id {qkind}, `{id_col}` {kind}, similarity double")
+        found = found.withColumn("similarity", F.round("similarity", 9))
+        return checkpoint(top_k(found, k, ["query_id"], F.desc("similarity"), F.col(id_col)))
+
+    out = in_blocks(queries.where(F.col(vector_col).isNotNull()).select("query_id", vector_col), search, BLOCK)
+    if out is None:
+        out = vectors.limit(0).select(F.lit(None).cast(qkind).alias("query_id"), id_col, F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("int").alias("rank"))
+    return out

@@ -38,7 +38,8 @@ def _(s, d):
 
 @query("a11_interpolated_p95", "SELECT kind, profile, batch_size, round(quantile_cont(internal_ms_p95, 0.95), 6) AS p95, count(internal_ms_p95) AS n FROM vector_perf WHERE internal_ms_p95 >= 0 GROUP BY ALL")
 def _(s, d):
-    return load(s, d, "vector_perf").where("internal_ms_p95 >= 0").groupBy("kind", "profile", "batch_size").agg(F.round(F.percentile("internal_ms_p95", 0.95), 6).alias("p95"), F.count("internal_ms_p95").alias("n"))
+    q = M.quantile(load(s, d, "vector_perf").where("internal_ms_p95 >= 0"), ["kind", "profile", "batch_size"], "internal_ms_p95", 0.95)
+    return q.select("kind", "profile", "batch_size", F.round("internal_ms_p95", 6).alias("p95"), "n")
 
 
 @query("a12_all_or_null_sums", "SELECT run_id, kind, CASE WHEN count(internal_ms_median) = count(*) THEN round(sum(internal_ms_median), 4) END AS total_ms, CASE WHEN count(vector_dimensions) = count(*) THEN CAST(sum(vector_dimensions) AS BIGINT) END AS dimensions FROM vector_perf GROUP BY ALL")
@@ -79,7 +80,8 @@ def _(s, d):
 
 @query("a16_non_model_residual", f"SELECT query_mode, round(median(total_ms - ttft_ms), 3) AS after_first, count(*) AS n FROM {_ONCE} WHERE total_ms >= 0 AND ttft_ms >= 0 GROUP BY query_mode")
 def _(s, d):
-    return results(s, d).where("total_ms >= 0 and ttft_ms >= 0").groupBy("query_mode").agg(F.round(F.median(F.col("total_ms") - F.col("ttft_ms")), 3).alias("after_first"), F.count("*").alias("n"))
+    r = results(s, d).where("total_ms >= 0 and ttft_ms >= 0").select("query_mode", (F.col("total_ms") - F.col("ttft_ms")).alias("after_first"))
+    return M.quantile(r, ["query_mode"], "after_first", 0.5).select("query_mode", F.round("after_first", 3).alias("after_first"), "n")
 
 
 @query("a17_dataset_validation", "SELECT 'duplicate_id' AS violation, CAST(result_id AS VARCHAR) AS id, count(*) AS n FROM eval_results GROUP BY result_id HAVING count(*) > 1 UNION ALL SELECT 'missing_answer', CAST(result_id AS VARCHAR), 1 FROM eval_results WHERE answer IS NULL UNION ALL SELECT 'category_count', category, count(*) FROM eval_results GROUP BY category")
@@ -103,6 +105,21 @@ def _(s, d):
     return g.agg(F.sum("n_chars").alias("length"), F.count("*").alias("chunks"), F.unix_micros(F.max("updated_at")).alias("updated_us"), F.bool_or(F.col("source").like("%.kg.md")).alias("has_kg"))
 
 
+_SEVERITY = ["F", "P", "O"]
+
+
+@query("a09_status_rollup", "WITH r AS (SELECT *, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'P' THEN 2 WHEN 'O' THEN 3 ELSE 4 END AS w FROM orders) SELECT o_custkey, arg_min(o_orderstatus, w) AS status, epoch_us(min(o_orderdate) FILTER (WHERE w = m)) AS since_us, count(*) AS members, epoch_us(min(o_orderdate)) AS created_us, epoch_us(max(o_orderdate)) AS updated_us, round(sum(o_totalprice), 2) AS total FROM (SELECT *, min(w) OVER (PARTITION BY o_custkey) AS m FROM r) GROUP BY o_custkey")
+def _(s, d):
+    r = M.rollup(load(s, d, "orders"), ["o_custkey"], F.col("o_orderstatus"), _SEVERITY, "o_orderdate", total="o_totalprice")
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp")).alias(f"{c.removeprefix('status_')}_us")
+    return r.select("o_custkey", "status", us("status_since"), "members", us("created"), us("updated"), F.round("total", 2).alias("total"))
+
+
+@query("a09_status_histogram", "SELECT status, count(*) AS customers FROM (SELECT o_custkey, arg_min(o_orderstatus, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'P' THEN 2 WHEN 'O' THEN 3 ELSE 4 END) AS status FROM orders GROUP BY o_custkey) GROUP BY status")
+def _(s, d):
+    return M.rollup(load(s, d, "orders"), ["o_custkey"], F.col("o_orderstatus"), _SEVERITY, "o_orderdate").groupBy("status").agg(F.count("*").alias("customers"))
+
+
 @query("j19_u4_u5_merge_runs", f"WITH r AS {_ONCE}, last AS (SELECT case_id, query_mode, max_by(result_id, (run_idx, result_id)) AS result_id, count(*) AS runs FROM r GROUP BY ALL), cases AS (SELECT DISTINCT case_id FROM r), modes AS (SELECT DISTINCT query_mode FROM r) SELECT case_id, query_mode, result_id, runs FROM last UNION ALL SELECT case_id, query_mode, NULL, 0 FROM cases, modes WHERE (case_id, query_mode) NOT IN (SELECT (case_id, query_mode) FROM last)")
 def _(s, d):
     r = results(s, d)
@@ -167,13 +184,13 @@ def _(s, d):
 @query("stream_windowed_latency", "SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS window_us, event_type, count(value) AS n, round(sum(value), 3) AS total, max(value) AS greatest FROM events GROUP BY ALL")
 def _(s, d):
     st = SM.read_stream(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return SM.run_available(SM.windowed_latency(st, "ts", "event_type", "value", late="3650 days"), ["window_start", "event_type"], "update").select(F.unix_micros("window_start").alias("window_us"), "event_type", "n", F.round("total", 3).alias("total"), "greatest")
+    return SM.run_available(SM.windowed_latency(st, "ts", "event_type", "value", late="7 days"), ["window_start", "event_type"], "update").select(F.unix_micros("window_start").alias("window_us"), "event_type", "n", F.round("total", 3).alias("total"), "greatest")
 
 
 @query("stream_once", "SELECT DISTINCT perf_id, kind FROM vector_perf WHERE started_at IS NOT NULL")
 def _(s, d):
     st = SM.read_stream(s, d, "vector_perf").where("started_at is not null").select("perf_id", "kind", "started_at")
-    return SM.run_available(SM.once_within(st, "perf_id", "started_at", "3650 days")).select("perf_id", "kind")
+    return SM.run_available(SM.once_within(st, "perf_id", "started_at", "30 days")).select("perf_id", "kind")
 
 
 @query("stream_admission")

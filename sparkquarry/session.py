@@ -22,13 +22,25 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8, memory: str = "8g"
     )
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage into the folder that spark.checkpoint.dir names, which all executors share and which outlives any of them.
+def shared_base(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which all executors share and which outlives any of them.
 
-    Where the setting is absent (tests, one machine) a temporary folder is set once.
+    A session whose executors are threads of the driver (tests, one machine) may do without the setting and gets a
+    temporary folder; on a cluster, where each executor would write a disk of its own, that is an error.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkquarry-"))
+    if (known := sc._jsc.sc().getCheckpointDir()).isDefined():
+        return known.get()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="sparkquarry-")
+    sc.setCheckpointDir(folder)
+    return folder
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage into the shared folder, so that a lost executor takes nothing with it."""
+    shared_base(df.sparkSession)
     return df.checkpoint()

@@ -17,8 +17,9 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(df: DataFrame, *keys: str, factor: int = 2) -> DataFrame:
     """Hash-partition by ``keys`` (unique ids) if the scan yields fewer partitions than ``factor`` per core, else unchanged.
 
-    On inputs of many splits, so on any large one, this adds no shuffle.
+    On inputs of many splits, so on any large one, this adds no shuffle. What shuffles already, whose number of partitions
+    only running it would tell, is partitioned by ``keys`` in any case.
     """
-    sc = df.sparkSession.sparkContext
-    want = factor * sc.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= want else df.repartition(want, *keys)
+    want = factor * df.sparkSession.sparkContext.defaultParallelism
+    shuffles = "Exchange" in df._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
+    return df if not shuffles and df.rdd.getNumPartitions() >= want else df.repartition(want, *keys)

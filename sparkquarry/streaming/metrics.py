@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from sparkquarry.session import shared_base
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that all executors share: below spark.checkpoint.dir, or a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkquarry-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder that all executors share."""
+    return f"{shared_base(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def run_available(stream: DataFrame, keys: list[str] | None = None, mode: str = "append") -> DataFrame:
@@ -61,29 +62,38 @@ def once_within(stream: DataFrame, id_col: str, time: str, late: str = "30 days"
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([id_col])
 
 
-def admission(stream: DataFrame, server: str, order: str, service_ms: str, capacity: int = 5) -> DataFrame:
+def admission(stream: DataFrame, server: str, order: str, service_ms: str, capacity: int = 5, late: str = "10 minutes") -> DataFrame:
     """A queue for each server, one request at a time in the order of arrival (``order``, a timestamp): admitted rows with their start and end, others rejected while ``capacity`` wait.
 
-    State is the end of the running request and those of the waiting ones, so at most ``capacity`` + 1 numbers a server.
+    Requests are held back until the watermark, ``late`` behind the newest, has passed them, and then taken in their order,
+    however they came in batches; those later than that are left out, and those newer wait for the stream to go on. State
+    is the end of the running request and those of the waiting ones, at most ``capacity`` + 1, and the requests held back.
     """
     fields = f"{server} string, arrival double, started double, ended double, admitted boolean"
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ends = list(state.get[0]) if state.exists else []
-        rows = []
+        ends, times, work = (list(x) for x in state.get) if state.exists else ([], [], [])
         for pdf in batches:
-            for t, ms in zip(pdf["_t"], pdf["_ms"]):
-                ends = [e for e in ends if e > t]
-                if len(ends) > capacity:
-                    rows.append((key[0], t, None, None, False))
-                    continue
-                begin = max(t, ends[-1]) if ends else t
-                ends.append(begin + ms / 1000)
-                rows.append((key[0], t, begin, ends[-1], True))
-        state.update((ends,))
+            times += pdf["_t"].tolist()
+            work += pdf["_ms"].tolist()
+        passed = state.getCurrentWatermarkMs() / 1000
+        held = sorted(zip(times, work))
+        rows, n = [], bisect_left(held, (passed,))
+        for t, ms in held[:n]:
+            ends = [e for e in ends if e > t]
+            if len(ends) > capacity:
+                rows.append((key[0], t, None, None, False))
+                continue
+            begin = max(t, ends[-1]) if ends else t
+            ends.append(begin + ms / 1000)
+            rows.append((key[0], t, begin, ends[-1], True))
+        held = held[n:]
+        state.update((ends, [t for t, _ in held], [m for _, m in held]))
+        if held:
+            state.setTimeoutTimestamp(max(int(held[0][0] * 1000) + 1, int(passed * 1000) + 1))
         out = pd.DataFrame(rows, columns=[server, "arrival", "started", "ended", "admitted"])
-        yield out.astype({"started": "float64", "ended": "float64"})
+        yield out.astype({"arrival": "float64", "started": "float64", "ended": "float64"})
 
-    src = stream.select(F.col(server).cast("string").alias(server), F.unix_micros(order).cast("double").alias("_us"), F.col(service_ms).cast("double").alias("_ms"))
-    src = src.where("_us is not null and _ms >= 0").select(server, (F.col("_us") / 1e6).alias("_t"), "_ms")
-    return src.groupBy(server).applyInPandasWithState(step, fields, "ends array<double>", "append", GroupStateTimeout.NoTimeout)
+    src = stream.withWatermark(order, late).select(F.col(server).cast("string").alias(server), F.col(order), (F.unix_micros(order).cast("double") / 1e6).alias("_t"), F.col(service_ms).cast("double").alias("_ms"))
+    src = src.where(F.col("_t").isNotNull() & (F.col("_ms") >= 0))
+    return src.groupBy(server).applyInPandasWithState(step, fields, "ends array<double>, times array<double>, work array<double>", "append", GroupStateTimeout.EventTimeTimeout)
