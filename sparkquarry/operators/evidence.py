@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkquarry.operators.lexical import in_blocks
+from sparkquarry.session import checkpoint
+
 
 def anchor_gate(rows: DataFrame) -> DataFrame:
     """Candidates (query_id, chunk_id, query, content) that hold a name of the query. If none does: none for queries with capitals or digits, else all."""
@@ -67,3 +73,76 @@ def admit(units: DataFrame, share: float = 0.5, neighbour: float = 0.35, most: i
     fits = lambda a, x: (F.size(a["taken"]) == 0) | (a["used"] + x["size"] <= budget)
     state = F.aggregate("us", start, lambda a, x: F.when(fits(a, x), F.named_struct(F.lit("used"), a["used"] + x["size"], F.lit("taken"), F.array_append(a["taken"], x["n"]))).otherwise(a))
     return packed.select("query_id", F.explode("us").alias("u"), state["taken"].alias("taken")).where(F.array_contains("taken", F.col("u.n"))).select("query_id", "u.chunk_rank", "u.unit_index", "u.score", "u.n")
+
+
+#: What a self-contained table of measured values counts more for.
+TABLE_BOOST = 1.5
+
+
+def authority(rows: DataFrame, derived_pattern: str) -> DataFrame:
+    """``query_id, chunk_id, score, final_rank``: what the policy of sources leaves of a query's candidates, by adjusted scores.
+
+    ``rows``: query_id, chunk_id, rank, score, file_path, family, content, relation (of the query), diagnostic (of the query),
+    parent (a table of the type asked for), named (matches of the query's names), protected, hits (of expansions), table
+    (a self-contained table that matches). Derived and thin sources count less, hits and tables more; null scores stay and
+    sort as 0; scores that are alike to nine digits keep their order. Then, the first that a query has rows for: tables of the type asked for; else, unless the query is for a
+    relation, those with most named matches (and protected ones with two hits), of these the protected ones if there are;
+    of what is left the self-contained tables if there are; else for diagnostic queries no derived summary (``.kg.md``)
+    beside its source text and none under 0.3 of a best score of 0.5 or more, two at most.
+    """
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    by = Window.partitionBy("query_id")
+    boost = F.when(F.col("hits") >= 2, 1 + 0.4 * F.least(F.col("hits"), F.lit(3))).otherwise(1.0) * F.when(flag("table"), TABLE_BOOST).otherwise(1.0)
+    r = rows.withColumn("score", F.col("score") * authority_factor(F.col("content"), F.col("file_path"), derived_pattern) * boost).drop("content")
+    r = r.withColumn("_n", F.row_number().over(by.orderBy(F.desc(F.round(F.coalesce("score", F.lit(0.0)), 9)), "rank")))
+
+    def only(df: DataFrame, keep: Column) -> DataFrame:
+        """Of each query the rows to keep, if there are any, else all."""
+        return df.withColumn("_k", keep).withColumn("_any", F.max("_k").over(by)).where(F.col("_k") | ~F.col("_any")).drop("_k", "_any")
+
+    r = only(r, flag("parent")).withColumn("_done", F.max(flag("parent")).over(by))
+    free = ~F.col("_done") & ~flag("relation")
+    most = F.max("named").over(by)
+    r = r.withColumn("_most", most).where(~free | (F.col("_most") < 1) | (F.col("named") == F.col("_most")) | (flag("protected") & (F.col("hits") >= 2))).drop("_most")
+    r = only(r, ~F.col("_done") & ~flag("relation") & flag("protected"))
+    r = only(r, ~F.col("_done") & flag("table"))
+    r = r.withColumn("_done", F.col("_done") | F.max(flag("table")).over(by))
+    # a summary goes if the text it was made of is there
+    asked = ~F.col("_done") & flag("diagnostic")
+    text = F.max(F.col("file_path").like("%.text.md")).over(Window.partitionBy("query_id", "family"))
+    r = only(r.withColumn("_beside", F.coalesce(F.col("file_path").like("%.kg.md") & text, F.lit(False))), asked & ~F.col("_beside")).drop("_beside")
+    score = F.coalesce("score", F.lit(0.0))
+    r = r.withColumn("_top", F.first(score).over(by.orderBy("_n").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    r = r.where(~asked | (F.col("_top") < 0.5) | (score >= 0.3 * F.col("_top"))).withColumn("_m", F.row_number().over(by.orderBy("_n")))
+    r = r.where(~asked | (F.col("_top") < 0.5) | (F.col("_m") <= 2))
+    return r.select("query_id", "chunk_id", "score", F.col("_m").alias("final_rank"))
+
+
+def quotes_in_sources(quotes: DataFrame, documents: DataFrame, most: int = 50_000) -> DataFrame:
+    """``source, quote`` of those quotes (source, quote) that some text of their source (source, text) holds, without regard to case.
+
+    Distinct quotes go in blocks against all texts; a task looks up a block's quotes at once and gives each source and
+    quote once, so neither texts nor pairs of quotes and texts are shuffled, however many of either a source has. Null and
+    empty quotes are in no text.
+    """
+    want = quotes.where("source is not null and quote <> ''").select("source", F.lower("quote").alias("quote")).distinct()
+
+    def search(rows: list) -> DataFrame:
+        shared = documents.sparkSession.sparkContext.broadcast([r[0] for r in rows])  # one block
+
+        def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            import ahocorasick
+
+            holds = ahocorasick.Automaton()
+            for q in shared.value:
+                holds.add_word(q, q)
+            holds.make_automaton()
+            for pdf in pdfs:
+                found = {(s, q) for s, t in zip(pdf["source"], pdf["low"]) for _, q in holds.iter(t)}
+                yield pd.DataFrame(list(found), columns=["source", "quote"])
+
+        texts = documents.where("source is not null and text is not null").select("source", F.lower("text").alias("low"))
+        return checkpoint(texts.mapInPandas(run, "source string, quote string").join(want, ["source", "quote"], "left_semi").distinct())
+
+    found = in_blocks(want.select("quote").distinct(), search, most)
+    return found if found is not None else want

@@ -30,3 +30,8 @@ def render_markdown(rows: Column) -> Column:
     head = F.get(rows, F.lit(0))
     rule = F.concat(F.lit("|"), F.repeat(F.lit("---|"), F.size(head)))
     return F.array_join(F.concat(F.array(line(head), rule), F.transform(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), line)), "\n")
+
+
+def parent_index(parents: DataFrame, sidecar: DataFrame, key: str = "table_id") -> DataFrame:
+    """Tables found in texts, and those of the sidecar whose ``key`` isn't among them; columns that one lacks are null there. Null keys of the sidecar are all kept."""
+    return parents.unionByName(sidecar.join(parents.select(key), key, "left_anti"), allowMissingColumns=True)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from sparkquarry.operators import gates, udtf
+from sparkquarry.operators import evidence, gates, tables, udtf
 from sparkquarry.sources import sinks
 
 
@@ -37,3 +37,39 @@ def test_sinks(spark, tmp_path):
     sinks.write_lines(df, str(tmp_path / "l"))
     sinks.write_lines(df.limit(0), str(tmp_path / "l"))
     assert spark.read.json(str(tmp_path / "l")).agg(F.count("t")).first()[0] == 2
+
+
+def _policy(spark, rows):
+    names = "query_id int, chunk_id string, rank int, score double, file_path string, family string, content string, relation boolean, diagnostic boolean, parent boolean, named int, protected boolean, hits int, `table` boolean"
+    out = evidence.authority(spark.createDataFrame(rows, names), "%derived%").orderBy("query_id", "final_rank").collect()
+    return [(r.query_id, r.chunk_id) for r in out], {(r.query_id, r.chunk_id): r.score for r in out}
+
+
+def test_source_policy(spark):
+    long = "x" * 200
+    row = lambda q, c, rank, score, path="a.md", relation=False, diagnostic=False, parent=False, named=0, protected=False, hits=0, table=False, content=long: (q, c, rank, score, path, "f", content, relation, diagnostic, parent, named, protected, hits, table)
+    rows = [
+        row(1, "a", 1, 0.9, parent=False), row(1, "b", 2, 0.1, parent=True),  # the type asked for goes before all
+        row(2, "a", 1, 0.9, named=1), row(2, "b", 2, 0.8, named=2), row(2, "c", 3, 0.7, protected=True, hits=2), row(2, "d", 4, 0.6, named=2),  # most named and protected, of these the protected
+        row(3, "a", 1, 0.9, named=1), row(3, "b", 2, 0.8, named=2, relation=True, protected=True), row(3, "c", 3, None, relation=True),
+        row(4, "a", 1, 0.9), row(4, "b", 2, 0.5, table=True),
+        row(5, "a", 1, 0.9, "x.kg.md", diagnostic=True), row(5, "b", 2, 0.8, "x.text.md", diagnostic=True), row(5, "c", 3, 0.7, "y.md", diagnostic=True), row(5, "d", 4, 0.6, "y.md", diagnostic=True), row(5, "e", 5, 0.1, "y.md", diagnostic=True),
+        row(6, "a", 1, 0.4, "derived.md"), row(6, "b", 2, 0.3, content="thin"), row(6, "c", 3, 0.2, hits=3),
+        row(7, "a", 1, 0.4, "x.kg.md", diagnostic=True), row(7, "b", 2, 0.3, "z.kg.md", diagnostic=True),
+    ]
+    got, score = _policy(spark, [(*r[:7], r[7] or r[0] == 3, *r[8:]) for r in rows])
+    assert [c for q, c in got if q == 1] == ["b"] and [c for q, c in got if q == 2] == ["c"] and [c for q, c in got if q == 3] == ["a", "b", "c"] and [c for q, c in got if q == 4] == ["b"]
+    assert [c for q, c in got if q == 5] == ["b", "c"] and [c for q, c in got if q == 6] == ["c", "a", "b"] and [c for q, c in got if q == 7] == ["a", "b"]
+    assert abs(score[6, "a"] - 0.08) < 1e-9 and abs(score[6, "b"] - 0.075) < 1e-9 and abs(score[6, "c"] - 0.44) < 1e-9 and abs(score[4, "b"] - 0.75) < 1e-9 and score[3, "c"] is None
+    assert _policy(spark, rows[:0] or [])[0] == []
+
+
+def test_quotes_in_sources(spark):
+    q = spark.createDataFrame([("a", "Pump set"), ("a", "no such"), ("b", "pump set"), (None, "x"), ("a", ""), ("a", None)], "source string, quote string")
+    docs = spark.createDataFrame([("a", "the PUMP SET is"), ("a", None), ("b", "other"), (None, "x")], "source string, text string")
+    assert list(map(tuple, evidence.quotes_in_sources(q, docs, 1).collect())) == [("a", "pump set")] and evidence.quotes_in_sources(q.limit(0), docs).count() == 0
+
+
+def test_parent_index(spark):
+    p, s = spark.createDataFrame([("a",), ("b",)], "table_id string"), spark.createDataFrame([("b", 1), ("c", 2), (None, 3)], "table_id string, n int")
+    assert sorted(map(str, (r.table_id for r in tables.parent_index(p, s).collect()))) == ["None", "a", "b", "c"]
