@@ -39,6 +39,7 @@ _QUOTED = re.compile(r"[\"“„«「『‘][^\"“”„«»「」『』‘’\
 _NO_SIGN = r"[!\"%&'()*+,:;?A-Z\[\]a-z-]"
 _CODE = re.compile(rf"(?<![!-~])(?:(?:{_NO_SIGN}|\.)*+[0-9_=/\\|<>{{}}$@#~^`][!-~]*+|--?[a-z][!-~]*+|(?:{_NO_SIGN}*+\.)++(?<=[a-z]\.)[a-z]{{2,4}}+(?![!-~]))")
 _UNSPACED = re.compile(r"[฀-๿぀-ヿ㐀-鿿가-힯豈-﫿]")
+_UNSPACED_PAIR = re.compile(_UNSPACED.pattern + ".*?" + _UNSPACED.pattern)
 _ASCII_GAP = re.compile(r"[^A-Za-z]+")
 _ASCII_LETTER, _ASCII_WORD = re.compile(r"[A-Za-z]"), re.compile(r"[A-Za-z][A-Za-z'’]*")
 #: Something of code; quotations; scripts whose letters have marks of their own.
@@ -75,7 +76,7 @@ def is_prose(line: str) -> bool:
     """Whether a line has natural language; commands, logs, settings and tables of values have too few plain words."""
     if _NOT_PROSE.match(line):
         return False
-    if not line.isascii() and len(_UNSPACED.findall(line)) >= 2:
+    if not line.isascii() and _UNSPACED_PAIR.search(line):
         return True
     tokens = line.split()
     wanted = len(tokens) // 2
@@ -99,11 +100,9 @@ def letters_of(line: str) -> str:
         rest = _QUOTED.sub(" ", bare)
         if sum(map(str.isalpha, rest)) >= 8:
             bare = rest
-    if not bare.isascii() and (dense := len(_UNSPACED.findall(bare))):
+    if not bare.isascii() and _ASCII_LETTER.search(bare) and (dense := len(_UNSPACED.findall(bare))):
         # of two kinds of script in a line, the one that says more
-        latin = len(_ASCII_LETTER.findall(bare))
-        if latin:
-            bare = (_ASCII_WORD if dense * 3 >= latin else _UNSPACED).sub(" ", bare)
+        bare = (_ASCII_WORD if dense * 3 >= len(_ASCII_LETTER.findall(bare)) else _UNSPACED).sub(" ", bare)
     gap = _ASCII_GAP if bare.isascii() else _letters()[1] if _MARKED.search(bare) else _GAPS
     bare = gap.sub(" ", bare).strip()
     return f" {bare.lower()} " if bare else ""
@@ -189,19 +188,16 @@ class Model:
                     np.add.at(sizes, at, np.diff(np.r_[starts, len(of)]))
         return out, sizes
 
-    def confidence(self, scores: np.ndarray, n: int) -> tuple[int, float]:
-        """The best language, and its posterior if the text's n-grams told no more than 30 independent ones of their kind."""
-        s = scores / max(n, 1) * min(n, 30) + np.log(self.prior)
-        p = np.exp(s - s.max())
-        best = int(np.argmax(scores + 1e-6 * np.log(self.prior))) if n else int(np.argmax(s))
-        return best, float(p[best] / p.sum())
+    def confidence(self, scores: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each row the best language, and its posterior if the row's n-grams told no more than 30 independent ones of their kind."""
+        s = scores / np.maximum(n, 1)[:, None] * np.minimum(n, 30)[:, None] + np.log(self.prior)
+        p = np.exp(s - s.max(1, keepdims=True))
+        best = np.where(n > 0, (scores + 1e-6 * np.log(self.prior)).argmax(1), s.argmax(1))
+        return best, p[np.arange(len(best)), best] / p.sum(1)
 
 
 def decode(scores: np.ndarray) -> list[int]:
     """The best sequence of languages for lines with these scores."""
-    each = scores.argmax(1)
-    if (each == each[0]).all():
-        return [int(each[0])] * len(each)
     best = scores[0].copy()
     back = []
     for s in scores[1:]:
@@ -217,36 +213,42 @@ def decode(scores: np.ndarray) -> list[int]:
 
 def segments(model: Model, texts: list[str | None]) -> list[list[tuple[int, int, int, float]]]:
     """Of each text its segments: first line, line after the last, index of the language, confidence."""
-    lines, owners = [], []
-    for i, t in enumerate(texts):
-        for no, line in enumerate(plain(t or "").split("\n")):
+    lines, numbers, begins, totals = [], [], [0], []
+    for t in texts:
+        split = plain(t or "").split("\n")
+        for no, line in enumerate(split):
             if is_prose(line):
                 lines.append(letters_of(line))
-                owners.append((i, no))
+                numbers.append(no)
+        begins.append(len(lines))
+        totals.append(len(split))
     scores, sizes = model.score(lines)
-    out: list[list[tuple[int, int, int, float]]] = []
-    at = 0
-    for i, t in enumerate(texts):
-        end = at
-        while end < len(owners) and owners[end][0] == i:
-            end += 1
-        n_lines = (t or "").count("\n") + 1
-        if end == at or not sizes[at:end].any():
-            s, n = model.score([letters_of(plain(t or ""))])
-            best, p = model.confidence(s[0], int(n[0]))
-            out.append([(0, n_lines, best, p)])
-        else:
-            path = decode(scores[at:end])
-            cuts = [0, *(k for k in range(1, len(path)) if path[k] != path[k - 1]), len(path)]
-            segs = []
-            for a, b in zip(cuts, cuts[1:]):
-                s, n = scores[at + a : at + b].sum(0), int(sizes[at + a : at + b].sum())
-                p = model.confidence(s, n)
-                first = 0 if a == 0 else owners[at + a][1]
-                last = n_lines if b == len(path) else owners[at + b][1]
-                segs.append((first, last, path[a], p[1] if p[0] == path[a] else min(p[1], 0.5)))
-            out.append(segs)
-        at = end
+    said = np.concatenate(([0], np.cumsum(sizes)))
+    said = said[np.array(begins)]
+    each = scores.argmax(1).tolist()
+    found: list[tuple[int, int, int, int, int, int]] = []  # text, first line, line after the last, language, and where its scores are
+    bare = []
+    for i, (at, end, n) in enumerate(zip(begins, begins[1:], totals)):
+        if said[i + 1] == said[i]:
+            bare.append(i)
+            continue
+        # lines that are all likeliest of one language are of it, as no change could gain anything
+        path = each[at:end] if each[at:end].count(each[at]) == end - at else decode(scores[at:end])
+        cuts = [0, *(k for k in range(1, len(path)) if path[k] != path[k - 1]), len(path)]
+        for a, b in zip(cuts, cuts[1:]):
+            found.append((i, 0 if a == 0 else numbers[at + a], n if b == len(path) else numbers[at + b], path[a], at + a, at + b))
+    out: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
+    if found:
+        start, stop = np.array([f[4] for f in found]), np.array([f[5] for f in found])
+        sums = np.concatenate((np.zeros((1, scores.shape[1])), np.cumsum(scores, 0)))
+        upto = np.concatenate(([0], np.cumsum(sizes)))
+        best, sure = model.confidence(sums[stop] - sums[start], upto[stop] - upto[start])
+        for (i, first, last, lang, _, _), b, p in zip(found, best.tolist(), sure.tolist()):
+            out[i].append((first, last, lang, p if b == lang else min(p, 0.5)))
+    if bare:
+        best, sure = model.confidence(*model.score([letters_of(plain(texts[i] or "")) for i in bare]))
+        for i, b, p in zip(bare, best.tolist(), sure.tolist()):
+            out[i] = [(0, totals[i], b, p)]
     return out
 
 
