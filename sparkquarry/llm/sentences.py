@@ -67,10 +67,14 @@ def _common() -> dict[str, frozenset[str]]:
     return {k: frozenset(v.split()) for k, v in _COMMON.items()}
 
 
-def language_of(text: str) -> str:
-    """The language whose frequent words a text has most of, among those with abbreviations; "" if none."""
+#: So many frequent words of one language tell that of a paragraph by itself.
+TELLING = 3
+
+
+def language_of(text: str, least: int = 1) -> str:
+    """The language whose frequent words a text has most of, ``least`` at least, among those with abbreviations; "" if none."""
     words = [w.lower() for w in _WORD.findall(text)]
-    best, most = "", 0
+    best, most = "", least - 1
     for lang, common in _common().items():
         n = sum(w in common for w in words)
         if n > most:
@@ -216,12 +220,16 @@ def sentence_ends(text: str | None) -> list[int]:
     """Where sentences end, in code points from the text's start, white space behind them not included; none in blank texts."""
     if not text or text.isspace():
         return []
-    lang = language_of(text)
-    always, before_number = _sets(lang)
+    parts = list(runs(text))
+    whole, own = language_of(text), {}
+    if len(parts) > 1:
+        # a text may be of several languages; a paragraph that tells its own is of that
+        own = {k: found for k, (a, b) in enumerate(parts) if (found := language_of(text[a:b], TELLING)) and found != whole}
     out = []
-    for a, b in runs(text):
+    for k, (a, b) in enumerate(parts):
         run = text[a:b]
-        out += [a + e for e in _ends(run, always, before_number, lang)]
+        lang = own.get(k, whole)
+        out += [a + e for e in _ends(run, *_sets(lang), lang)]
         out.append(b)
     return out
 

@@ -21,3 +21,11 @@ def test_long_quotations_and_brackets_are_one(a, b):
 def test_unpaired_brackets_hold_nothing():
     assert sentences.sentence_ends("It is (open. Then more. End) x) here. Last.") == [37, 43]
     assert sentences.sentence_ends("It is (open. Then more. Last.") == [12, 23, 29]
+
+
+def test_paragraphs_of_several_languages():
+    german = "Der Wert ist mit dem Regler von Teil bl. 5 nicht zu verstellen, und die Anzeige ist aus."
+    english = "The value is in the table of the manual for this unit, no. 5 of the list. It is set."
+    text = "\n\n".join([english, german, english, english])
+    ends = sentences.sentence_ends(text)
+    assert [text[a:b].strip() for a, b in zip([0, *ends], ends)] == [english[:-11], "It is set.", german, english[:-11], "It is set.", english[:-11], "It is set."]
