@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -146,3 +147,30 @@ def quotes_in_sources(quotes: DataFrame, documents: DataFrame, most: int = 50_00
 
     found = in_blocks(want.select("quote").distinct(), search, most)
     return found if found is not None else want
+
+
+def count_holding(literals: DataFrame, texts: DataFrame, most: int = 50_000) -> DataFrame:
+    """``literal, n``: how many texts (text) hold each literal (literal, in lower case), without regard to case; those that none holds are left out. Blocks of literals go against all texts, counted where they are."""
+    want = literals.where("literal <> ''").select("literal").distinct()
+
+    def search(rows: list) -> DataFrame:
+        shared = texts.sparkSession.sparkContext.broadcast([r[0] for r in rows])  # one block
+
+        def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            import ahocorasick
+
+            holds = ahocorasick.Automaton()
+            for q in shared.value:
+                holds.add_word(q, q)
+            holds.make_automaton()
+            n: Counter = Counter()
+            for pdf in pdfs:
+                for t in pdf["low"]:
+                    n.update({q for _, q in holds.iter(t)})
+            yield pd.DataFrame(list(n.items()), columns=["literal", "n"])
+
+        found = texts.where("text is not null").select(F.lower("text").alias("low")).mapInPandas(run, "literal string, n bigint")
+        return checkpoint(found.groupBy("literal").agg(F.sum("n").alias("n")))
+
+    found = in_blocks(want, search, most)
+    return found if found is not None else want.select("literal", F.lit(0).cast("bigint").alias("n"))

@@ -384,6 +384,19 @@ def recover(candidates: DataFrame, queries: DataFrame, found: DataFrame) -> Data
     return candidates.select("query_id", "chunk_id", F.lit(False).alias("supplemental")).unionByName(more.select("query_id", "chunk_id", F.lit(True).alias("supplemental")))
 
 
+@F.pandas_udf(T.StringType())
+def streamed_answer(answer: pd.Series) -> pd.Series:
+    """What :class:`FooterFilter` gives on of an answer that comes in parts of a few characters."""
+    out = []
+    for text in answer:
+        if text is None:
+            out.append(None)
+            continue
+        f = FooterFilter()
+        out.append("".join(f.feed(text[i : i + 7]) for i in range(0, len(text), 7)) + f.end())
+    return pd.Series(out, dtype=object)
+
+
 def progressing_pages(pages: DataFrame) -> DataFrame:
     """Pages (chunk, page_no, key) up to the first that brings no new key: ``chunk, page_no, new_keys, kept``."""
     first = pages.groupBy("chunk", "key").agg(F.min("page_no").alias("page_no"))

@@ -37,8 +37,9 @@ def markdown(spark: SparkSession, sf: str) -> DataFrame:
 
 #: Configured expansions of questions: trigger and what is added.
 EXPANSIONS = [("固件", "firmware image"), ("firmware", "固件镜像"), ("电源", "power supply"), ("queue", "message buffer")]
-_SPACES = "\\t\\n\\x0b\\x0c\\r\\x1c-\\x20\\x85\\xa0\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
-_SPACED_SQL = T.SPACED.replace("\\s", f"[{_SPACES}]")
+#: White space of any script, for a class of characters.
+SPACES = "\\t\\n\\x0b\\x0c\\r\\x1c-\\x20\\x85\\xa0\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+_SPACED_SQL = T.SPACED.replace("\\s", f"[{SPACES}]")
 #: The query with its expansions; the index text of ``content``.
 EXPANDED_SQL = "query || " + " || ".join(f"CASE WHEN contains(lower(query), '{a}') THEN ' {b}' ELSE '' END" for a, b in EXPANSIONS)
 _ALIASES_SQL = f"array_to_string(list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(content, '(?:^|[^\\p{{L}}\\p{{N}}\\p{{M}}\\p{{Pc}}])({_SPACED_SQL})', 1), lambda x: regexp_matches(x, '[0-9]')), lambda x: regexp_replace(lower(x), '[^a-z0-9]+', '', 'g')))), ' ')"

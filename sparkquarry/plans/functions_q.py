@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkquarry.functions import boxes as X
 from sparkquarry.functions import text as T
+from sparkquarry.operators import evidence, passages
 from sparkquarry.plans import common as C
 from sparkquarry.plans.tokens_sql import TERM, contains_any, passage_terms, terms
 from sparkquarry.sources import load
@@ -66,7 +67,10 @@ def _(s, d):
     return C.expanded(C.all_questions(s, d)).select("query", "expanded")
 
 
-@query("f08_relation_anchors")
+_ANCHORS_SQL = "CASE " + " ".join(f"WHEN contains(query, '{m}') AND {_LEFT(m)} <> {_RIGHT(m)} THEN [{_LEFT(m)}, {_RIGHT(m)}]" for m in T.RELATION_MARKERS) + " END"
+
+
+@query("f08_relation_anchors", f"SELECT query, a[1] AS left_anchor, a[2] AS right_anchor FROM (SELECT query, {_ANCHORS_SQL} AS a FROM {ALL_Q})")
 def _(s, d):
     a = T.relation_anchors(F.col("query"))
     return C.all_questions(s, d).select("query", F.get(a, F.lit(0)).alias("left_anchor"), F.get(a, F.lit(1)).alias("right_anchor"))
@@ -92,7 +96,9 @@ def _(s, d):
     return C.chunks(s, d).select("chunk_id", (F.size(T.coverage(anchors, F.col("content"))) == 2).alias("both_there"))
 
 
-_IDENT = rf"""list_distinct(list_concat(regexp_extract_all(l, '{T.COMPOSITE}'), regexp_extract_all(l, '\b{T.VERSION}\b'), regexp_extract_all(l, '{T.FLAG}', 1), regexp_extract_all(l, '\b{T.HEX}\b'), list_filter(regexp_extract_all(l, '{TERM}'), lambda t: length(t) >= 3 AND regexp_matches(t, '^[!-~]+$') AND regexp_matches(t, '[_0-9]'))))"""
+#: What makes words, for engines whose boundaries are those of ASCII.
+_W = r"\p{L}\p{N}\p{M}\p{Pc}"
+_IDENT = rf"""list_distinct(list_concat(regexp_extract_all(l, '{T.COMPOSITE}'), regexp_extract_all(l, '(?:^|[^{_W}])({T.VERSION})(?:$|[^{_W}])', 1), regexp_extract_all(l, '(?:^|[^{_W}-])(--?[A-Za-z][A-Za-z0-9-]*)', 1), regexp_extract_all(l, '(?:^|[^{_W}])({T.HEX})(?:$|[^{_W}])', 1), list_filter(regexp_extract_all(l, '{TERM}'), lambda t: length(t) >= 3 AND regexp_matches(t, '^[!-~]+$') AND regexp_matches(t, '[_0-9]'))))"""
 IDENTIFIERS_SQL = f"list_transform(list_sort(list_transform({_IDENT}, lambda x: {{'n': -length(x), 'x': x}})), lambda s: s.x)"
 @query("f16_trace_id", f"SELECT query, substring(sha256(query), 1, 12) AS trace_id FROM {ALL_Q}")
 def _(s, d):
@@ -128,7 +134,7 @@ def _(s, d):
     return e.withColumn("max_tokens", T.resolve_max_tokens(F.lit(400).cast("bigint"), 512, 4096, F.col("estimated"), 128))
 
 
-@query("f26_without_footer")
+@query("f26_without_footer", rf"SELECT DISTINCT result_id, md5(regexp_replace(regexp_replace(answer, '(?is)[{C.SPACES}]*(?:^|\n)[ \t]*(?:#{{1,6}}[ \t]*)?(?:references|参考资料|参考文献)[ \t]*[:：]?[ \t]*(?:\n|\[).*$', ''), '[{C.SPACES}]+$', '')) AS digest FROM eval_results WHERE answer IS NOT NULL")
 def _(s, d):
     return load(s, d, "eval_results").where("answer is not null").select("result_id", F.md5(T.without_footer(F.col("answer")).cast("binary")).alias("digest")).distinct()
 
@@ -152,7 +158,8 @@ def _(s, d):
     return b.select("ir_block_id", F.size(T.heading_terms(F.col("heading"))).cast("bigint").alias("n_terms"), T.heading_score(F.col("heading"), F.col("content_template")).cast("bigint").alias("hits"))
 
 
-@query("f31_paragraph_sentences")
+@query("f31_paragraph_sentences", rf"""SELECT block_id, CASE WHEN len(p) > 1 AND len(list_filter(p, lambda x: length(x) < 12)) = 0 THEN len(p) ELSE 1 END AS n FROM (
+SELECT block_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([。！？；!?])', '\1␞', 'g'), '([A-Za-z0-9][.!?]␞?)[{C.SPACES}]+', '\1␞', 'g'), '␞'), lambda x: regexp_replace(x, '^[{C.SPACES}]+|[{C.SPACES}]+$', '', 'g')), lambda x: x <> '') AS p FROM blocks WHERE text IS NOT NULL)""")
 def _(s, d):
     return load(s, d, "blocks").where("text is not null").select("block_id", F.size(T.paragraph_sentences(F.col("text"))).cast("bigint").alias("n"))
 
@@ -197,24 +204,34 @@ def _(s, d):
     return load(s, d, "embeddings").select("vec_id", F.round(X.dot(F.col("embedding"), F.col("embedding")), 6).alias("squared"), F.round(F.get(v, F.lit(0)), 6).alias("first"))
 
 
-# The same functions as above on texts and questions as they are, in any script.
-@query("f06_named_phrases")
+#: Marks that are no part of words are doubled, so that each phrase has its own beside it.
+_PHRASE_SQL = T.PHRASE.replace(r"\s", f"[{C.SPACES}]")
+
+
+@query("f06_named_phrases", rf"SELECT chunk_id, array_to_string(list_transform(regexp_extract_all(c, '(?:^|[^{_W}])({_PHRASE_SQL})(?:$|[^{_W}])', 1), lambda x: lower(regexp_replace(x, '[{C.SPACES}]+', ' ', 'g'))), '|') AS phrases FROM (SELECT doc_id AS chunk_id, regexp_replace(text, '([^{_W}{C.SPACES}])', '\1\1', 'g') AS c FROM documents WHERE length(text) > 0)")
 def _(s, d):
     return C.chunks(s, d).select("chunk_id", F.array_join(T.named_phrases(F.col("content")), "|").alias("phrases"))
 
 
-@query("f12_direct_identifiers")
+@query("f12_direct_identifiers", f"SELECT query, array_to_string({IDENTIFIERS_SQL}, '|') AS identifiers FROM (SELECT query, lower(query) AS l FROM {ALL_Q})")
 def _(s, d):
     return C.all_questions(s, d).select("query", F.array_join(T.direct_identifiers(F.col("query")), "|").alias("identifiers"))
 
 
-@query("f13_identifier_coverage")
+@query("f13_identifier_coverage", f"SELECT query_id, count(*) AS chunks FROM (SELECT query_id, {IDENTIFIERS_SQL} AS ids FROM (SELECT query_id, lower(query) AS l FROM ({C.QUESTIONS_SQL}))) q JOIN ({C.CHUNKS_SQL}) c ON len(ids) > 0 AND contains(lower(c.content), ids[1]) GROUP BY query_id")
 def _(s, d):
     q = C.questions(s, d).select("query_id", F.get(T.direct_identifiers(F.col("query")), F.lit(0)).alias("id")).where("id is not null")
-    hits = C.chunks(s, d).select(F.lower("content").alias("c")).join(q.select("id").distinct(), F.contains("c", F.col("id"))).groupBy("id").agg(F.count("*").alias("chunks"))
-    return q.join(hits, "id").select("query_id", "chunks")
+    held = evidence.count_holding(q.select(F.col("id").alias("literal")), C.chunks(s, d).select(F.col("content").alias("text")))
+    return q.join(held.withColumnRenamed("literal", "id"), "id").select("query_id", F.col("n").alias("chunks"))
 
 
-@query("f14_substantive")
+@query("f14_substantive", rf"SELECT block_id, length(regexp_replace(regexp_replace(regexp_replace(text, '(?s)<!--.*?-->', '', 'g'), '(?m)^[{C.SPACES}]{{0,3}}#{{1,6}}[{C.SPACES}].*$', '', 'g'), '^[{C.SPACES}]+|[{C.SPACES}]+$', '', 'g')) >= 24 AS ok FROM blocks WHERE text IS NOT NULL")
 def _(s, d):
     return load(s, d, "blocks").where("text is not null").select("block_id", T.substantive(F.col("text")).alias("ok"))
+
+
+@query("f27_m06_streamed_answers", S["f26_without_footer"])
+def _(s, d):
+    """Answers that come in small parts, given on as they come without their lists of references."""
+    e = load(s, d, "eval_results").where("answer is not null")
+    return e.select("result_id", F.md5(passages.streamed_answer("answer").cast("binary")).alias("digest")).distinct()

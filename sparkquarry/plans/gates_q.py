@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparkquarry.functions import text as T
 from sparkquarry.operators import evidence, fusion, gates, markdown, metrics, tables
 from sparkquarry.plans import common as C
-from sparkquarry.plans.functions_q import PROFILE_SQL
+from sparkquarry.plans.functions_q import IDENTIFIERS_SQL, PROFILE_SQL
 from sparkquarry.plans.retrieval_q import BM25_CTE, best
 from sparkquarry.plans.structure_q import _ROWS
 from sparkquarry.sources import load
@@ -28,7 +28,10 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("w06_p18_protected_evidence")
+@query("w06_p18_protected_evidence", rf"""WITH {BM25_CTE}, q AS (SELECT query_id, {PROFILE_SQL} AS profile, {IDENTIFIERS_SQL.replace('(l,', '(lower(query),')} AS ids FROM ({C.QUESTIONS_SQL})),
+c AS (SELECT query_id, chunk_id, profile, rank, len(list_filter(ids, lambda i: contains(lower(regexp_replace(content, '\s+', ' ', 'g')), i))) AS covered, length(regexp_replace(regexp_replace(regexp_replace(content, '(?s)<!--.*?-->', '', 'g'), '(?m)^[{C.SPACES}]{{0,3}}#{{1,6}}[{C.SPACES}].*$', '', 'g'), '^[{C.SPACES}]+|[{C.SPACES}]+$', '', 'g')) >= 24 AS solid FROM lex JOIN q USING (query_id) JOIN ({C.CHUNKS_SQL}) x USING (chunk_id) WHERE rank <= 12 AND profile IN ('document_fact', 'exact', 'table', 'relation_fact')),
+g AS (SELECT query_id, profile, min(CASE WHEN solid THEN (rank, chunk_id) END) AS fact, min(CASE WHEN covered > 0 THEN (-covered, rank, rank, chunk_id) END) AS named, min(CASE WHEN solid THEN (rank, chunk_id) END) AS lexical FROM c GROUP BY ALL)
+SELECT query_id, CASE WHEN profile = 'document_fact' THEN fact[2] WHEN named IS NOT NULL THEN named[4] ELSE lexical[2] END AS chunk_id, CASE WHEN profile = 'document_fact' THEN 'fact' WHEN named IS NOT NULL THEN 'named' ELSE 'lexical' END AS why FROM g WHERE chunk_id IS NOT NULL""")
 def _(s, d):
     q = C.questions(s, d)
     top = best(s, d).select("query_id", "chunk_id", "rank", F.col("rank").alias("lexical_rank"))
