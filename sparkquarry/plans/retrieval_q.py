@@ -107,6 +107,27 @@ def _(s, d):
     return vectors.cosine_top_k(e, q).withColumn("similarity", F.round("similarity", 6))
 
 
+def _indexed(s, d):
+    e = load(s, d, "embeddings")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return e, q, vectors.indexed_top_k(vectors.build_index(e), q)
+
+
+@query("w02_indexed_top_k")
+def _(s, d):
+    return _indexed(s, d)[2].withColumn("similarity", F.round("similarity", 6))
+
+
+@query("w02_index_recall", "SELECT count(*) AS queries, TRUE AS enough, TRUE AS exact FROM embeddings WHERE vec_id % 100 = 0")
+def _(s, d):
+    """Whether the index finds nine of ten rows that brute force does, and all it finds have their exact similarity."""
+    e, q, found = _indexed(s, d)
+    true = vectors.cosine_top_k(e, q).select("query_id", "vec_id", F.col("similarity").alias("true"))
+    both = true.join(found.select("query_id", "vec_id", "similarity"), ["query_id", "vec_id"], "left")
+    total = both.agg(F.count("similarity").alias("hits"), F.count("*").alias("all"), F.coalesce(F.every(F.col("similarity").isNull() | (F.abs(F.col("similarity") - F.col("true")) < 1e-6)), F.lit(True)).alias("exact"))
+    return total.crossJoin(q.agg(F.count("*").alias("queries"))).select("queries", (F.col("hits") >= 0.9 * F.col("all")).alias("enough"), "exact")
+
+
 WEIGHTS_SQL = f"""SELECT query_id, query, profile, CASE profile WHEN 'table' THEN 0.85 WHEN 'exact' THEN 0.75 WHEN 'semantic' THEN 1.5 WHEN 'document_fact' THEN 1.5 ELSE 1.0 END AS wv, CASE profile WHEN 'table' THEN 2.75 WHEN 'exact' THEN 2.5 WHEN 'semantic' THEN 1.0 WHEN 'relation_fact' THEN 1.75 ELSE 1.5 END AS wl,
 CASE WHEN profile IN ('exact', 'table', 'document_fact') THEN 12 ELSE 6 END AS k, CASE WHEN profile IN ('exact', 'table', 'document_fact') THEN 9 ELSE 3 END AS n, CASE profile WHEN 'exact' THEN 12 WHEN 'table' THEN 12 WHEN 'document_fact' THEN 12 WHEN 'relation_fact' THEN 64 ELSE 6 END AS scan FROM (SELECT query_id, query, {PROFILE_SQL} AS profile FROM ({C.QUESTIONS_SQL}))"""
 

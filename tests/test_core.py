@@ -45,7 +45,7 @@ def test_query_equals_sql(spark, sf, db, name):
 TESTED = {
     "a19_cell_rows": "test_cell_rows", "a20_a21_a22_visual_lines": "test_visual_lines", "f32_extraction_windows": "test_extraction_windows", "j04_focused_overwrite": "test_overwriting", "s06_routed_sink": "test_routed_sink_counts",
     "stream_admission": "test_admission_in_order_of_arrival", "t17_evidence_units": "test_units_keep_their_places", "t18_reconstruct": "test_units_and_reconstruction", "t30_t31_page_blocks": "test_page_blocks", "w11_admission": "test_admission_of_scored_units",
-    "w14_region_suppression": "test_suppression", "w17_t22_t23_t25_passages": "test_window_passages",
+    "w14_region_suppression": "test_suppression", "w02_indexed_top_k": "test_index", "w17_t22_t23_t25_passages": "test_window_passages",
 }
 
 
@@ -187,3 +187,19 @@ def test_routed_sink_counts(spark, sf):
     written = {(r.kind, r.reason): r.n for r in QUERIES["s06_routed_sink"](spark, sf).collect()}
     blocks = markdown.blocks(C.markdown(spark, sf), "document_name", "markdown")
     assert written == {(r.kind, r.reason): r["count"] for r in blocks.groupBy("kind", "reason").count().collect()}
+
+
+def test_index(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    mids = rng.normal(size=(12, 8))
+    rows = [(i, (mids[i % 12] + 0.3 * rng.normal(size=8)).tolist()) for i in range(600)] + [(i, mids[0].tolist()) for i in range(600, 900)] + [(900, [0.0] * 8), (901, None)]
+    v = spark.createDataFrame(rows, "vec_id int, embedding array<double>").repartition(4)
+    q = v.where("vec_id % 30 = 0 or vec_id = 901").select(F.col("vec_id").alias("query_id"), "embedding")
+    index = vectors.build_index(v)
+    assert index.rows.count() == 900
+    found = {(r.query_id, r.vec_id): r.similarity for r in vectors.indexed_top_k(index, q).collect()}
+    true = {(r.query_id, r.vec_id): r.similarity for r in vectors.cosine_top_k(v, q).collect()}
+    assert len(found.keys() & true.keys()) >= 0.9 * len(true) and all(abs(found[k] - true[k]) < 1e-8 for k in found.keys() & true.keys())
+    assert vectors.indexed_top_k(index, q.limit(0)).count() == 0 and vectors.indexed_top_k(vectors.build_index(v.limit(0)), q).count() == 0
