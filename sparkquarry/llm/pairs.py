@@ -124,22 +124,23 @@ GAP = 6
 _BY_SCRIPT = {"latin": ["en", "de", "fr", "es", "pt", "it"], "cyrillic": ["ru", "uk"], "han": ["zh"], "kana": ["ja"], "hangul": ["ko"], "thai": ["th"], "devanagari": ["hi"], "arabic": ["ar"]}
 
 
+def _bound(lang: str) -> str:
+    return r"(?<!\w)" if lang in (*_BY_SCRIPT["latin"], *_BY_SCRIPT["cyrillic"], "hi", "ar") else ""
+
+
 @cache
-def _terminals(lang: str) -> re.Pattern:
-    bound = r"(?<!\w)" if lang in (*_BY_SCRIPT["latin"], *_BY_SCRIPT["cyrillic"], "hi", "ar") else ""
-    return re.compile("|".join(f"(?P<{'if_' if k == 'if' else k}>{bound}{v})" for k, v in _TERMINALS[lang].items()), re.I)
+def _denials(script: str) -> re.Pattern:
+    """What every production has one of, in any language of a script."""
+    return re.compile("|".join(_bound(x) + _TERMINALS[x][k] for x in _BY_SCRIPT[script] for k in ("cannot", "ignorance", "absent", "none", "beyond", "against") if k in _TERMINALS[x]), re.I)
 
 
 @cache
 def _each_terminal(lang: str) -> dict[str, re.Pattern]:
-    bound = r"(?<!\w)" if lang in (*_BY_SCRIPT["latin"], *_BY_SCRIPT["cyrillic"], "hi", "ar") else ""
-    return {k: re.compile(bound + v, re.I) for k, v in _TERMINALS[lang].items()}
+    return {k: re.compile(_bound(lang) + v, re.I) for k, v in _TERMINALS[lang].items()}
 
 
 def derives_refusal(sentence: str, lang: str) -> bool:
     """Whether some part of a sentence is derived by a production, and no condition stands before it."""
-    if not _terminals(lang).search(sentence):
-        return False
     # terminals may overlap (a word can be of two kinds), so each kind is looked for by itself
     places = {k: [m.span() for m in p.finditer(sentence)] for k, p in _each_terminal(lang).items()}
     condition = min((a for a, _ in places["if"]), default=len(sentence))
@@ -164,7 +165,9 @@ def derives_refusal(sentence: str, lang: str) -> bool:
 def refuses(sentence: str) -> bool:
     """Whether a sentence is a refusal in some language of its script."""
     script = script_of(sentence)
-    return any(derives_refusal(sentence, lang) for lang in _BY_SCRIPT.get(script, ()))
+    if script not in _BY_SCRIPT or not _denials(script).search(sentence):
+        return False
+    return any(derives_refusal(sentence, lang) for lang in _BY_SCRIPT[script])
 
 
 #: Words that join content to a phrase of refusal.
