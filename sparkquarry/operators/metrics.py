@@ -91,6 +91,13 @@ def fifo(df: DataFrame, server: list[str], arrival: str, service: str, order: st
     return out.withColumn("start", F.col("end") - F.col(service)).drop("_work")
 
 
+def positions(served: DataFrame, server: list[str], arrival: str, end: str, order: str) -> DataFrame:
+    """``order, position``: how many requests of its server each finds unfinished as it arrives; one that ends at that very time is finished."""
+    both = served.select(*server, F.col(order), F.explode(F.array(F.struct(F.round(arrival, 6).alias("at"), F.lit(1).alias("delta")), F.struct(F.round(end, 6).alias("at"), F.lit(-1).alias("delta")))).alias("x")).select(*server, order, "x.*")
+    held = F.sum("delta").over(Window.partitionBy(*server).orderBy("at", "delta", order).rowsBetween(Window.unboundedPreceding, 0))
+    return both.withColumn("position", held - 1).where("delta = 1").select(order, "position")
+
+
 def last_run(df: DataFrame, key: list[str], *order: Column) -> DataFrame:
     """Of each key the row that comes last."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")

@@ -35,3 +35,32 @@ def render_markdown(rows: Column) -> Column:
 def parent_index(parents: DataFrame, sidecar: DataFrame, key: str = "table_id") -> DataFrame:
     """Tables found in texts, and those of the sidecar whose ``key`` isn't among them; columns that one lacks are null there. Null keys of the sidecar are all kept."""
     return parents.unionByName(sidecar.join(parents.select(key), key, "left_anti"), allowMissingColumns=True)
+
+
+def table_type(header: Column, body: Column, types: list[tuple[str, list[str]]], in_header: int = 1, in_body: int = 3) -> Column:
+    """The first of the configured types (name, words) whose words occur ``in_header`` times in a table's header, else ``in_body`` times in header and body; else ``unknown``. Case, spaces and punctuation don't matter; null texts are empty."""
+    compact = lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", "")
+    def hits(text: Column, words: list[str]) -> Column:
+        total = F.lit(0)
+        for w in words:
+            total = total + (F.char_length(text) - F.char_length(F.replace(text, F.lit(w), F.lit("")))) / len(w)
+        return total
+
+    head, whole = compact(header), F.concat(compact(header), compact(body))
+    out = F.lit("unknown")
+    for name, words in reversed(types):
+        out = F.when(hits(whole, words) >= in_body, name).otherwise(out)
+    for name, words in reversed(types):
+        out = F.when(hits(head, words) >= in_header, name).otherwise(out)
+    return out
+
+
+def asked_type(query: Column, types: list[tuple[str, list[str]]]) -> Column:
+    """The first configured type that a question has a word of; null if none."""
+    out = F.lit(None).cast("string")
+    for name, words in reversed(types):
+        has = F.lit(False)
+        for w in words:
+            has = has | F.contains(F.lower(query), F.lit(w))
+        out = F.when(has, name).otherwise(out)
+    return out

@@ -35,6 +35,10 @@ def markdown(spark: SparkSession, sf: str) -> DataFrame:
     return blocks.groupBy("document_name").agg(F.array_join(F.transform(ordered, lambda x: x["content_template"]), "\n\n").alias("markdown"))
 
 
+#: Configured types of tables, by words of their headers and of questions.
+TABLE_TYPES = [("power", ["power", "battery", "fuse"]), ("network", ["network", "bridge", "gateway"]), ("storage", ["storage", "memory", "cache"]), ("control", ["control", "command", "driver"])]
+#: Chunks and, as documents of their own, tables that have a text; a table refers to the block it stands in.
+CORPUS_SQL = f"SELECT CAST(chunk_id AS VARCHAR) AS chunk_id, content, 'chunk' AS source_type, CAST(NULL AS BIGINT) AS reference_id, CAST(NULL AS VARCHAR) AS header FROM ({CHUNKS_SQL}) UNION ALL SELECT 't' || table_uid, html, 'table', ir_block_id, array_to_string(table_header, ' ') FROM ir_tables WHERE length(html) > 0"
 #: Configured expansions of questions: trigger and what is added.
 EXPANSIONS = [("固件", "firmware image"), ("firmware", "固件镜像"), ("电源", "power supply"), ("queue", "message buffer")]
 #: White space of any script, for a class of characters.
@@ -47,6 +51,13 @@ INDEX_SQL = f"CASE WHEN {_ALIASES_SQL} = '' THEN content ELSE content || chr(10)
 SEARCH_SQL = f"SELECT *, {INDEX_SQL} AS search FROM ({CHUNKS_SQL})"
 
 
+def corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks and, as documents of their own, tables that have a text: chunk_id, content, source_type, reference_id, header."""
+    t = load(spark, sf, "ir_tables").where(F.length("html") > 0)
+    t = t.select(F.concat(F.lit("t"), "table_uid").alias("chunk_id"), F.col("html").alias("content"), F.lit("table").alias("source_type"), F.col("ir_block_id").alias("reference_id"), F.array_join("table_header", " ").alias("header"))
+    return chunks(spark, sf).select(F.col("chunk_id").cast("string").alias("chunk_id"), "content", F.lit("chunk").alias("source_type")).unionByName(t, allowMissingColumns=True)
+
+
 def expanded(queries: DataFrame) -> DataFrame:
     """Queries with ``expanded``: themselves and what the triggers in them add."""
     added = [F.when(F.contains(F.lower("query"), F.lit(a)), F.lit(" " + b)).otherwise("") for a, b in EXPANSIONS]

@@ -59,7 +59,7 @@ def _(s, d):
     return gates.coverage_gate(_flags(s, d), "typed", "passed").select("query_id", "table_uid")
 
 
-@query("p12_t15_keep_if_any", f"SELECT query_id, table_uid FROM (SELECT *, max(passed) OVER (PARTITION BY query_id) AS any_ok FROM {_FLAGS}) WHERE passed OR NOT any_ok")
+@query("p12_keep_if_any", f"SELECT query_id, table_uid FROM (SELECT *, max(passed) OVER (PARTITION BY query_id) AS any_ok FROM {_FLAGS}) WHERE passed OR NOT any_ok")
 def _(s, d):
     return gates.keep_if_any(_flags(s, d), "passed").select("query_id", "table_uid")
 

@@ -56,9 +56,15 @@ def _(s, d):
 _FIELDS = ["retrieval_hit", "grounded", "answer_correct"]
 
 
-@query("a14_assessment_summary", " UNION ALL ".join(f"SELECT '{f}' AS field, coalesce(assessment.{f}, 'unknown') AS value, count(*) AS n FROM {_ONCE} GROUP BY ALL" for f in _FIELDS))
+_SUMMED = {"api_ok": "CASE WHEN http_status = 200 AND coalesce(error, '') = '' THEN 'yes' ELSE 'no' END", "sources_cited": "CASE WHEN len(cited_references) > 0 THEN 'yes' ELSE 'no' END", "reviewed": "CASE WHEN assessment IS NULL THEN 'no' ELSE 'yes' END"}
+
+
+@query("a14_assessment_summary", " UNION ALL ".join([*(f"SELECT '{f}' AS field, coalesce(assessment.{f}, 'unknown') AS value, count(*) AS n FROM {_ONCE} GROUP BY ALL" for f in _FIELDS), *(f"SELECT '{k}', {v}, count(*) FROM {_ONCE} GROUP BY ALL" for k, v in _SUMMED.items())]))
 def _(s, d):
-    pairs = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f"assessment.{f}"), F.lit("unknown")).alias("value")) for f in _FIELDS)))
+    yes = lambda c: F.when(F.coalesce(c, F.lit(False)), "yes").otherwise("no")
+    values = {f: F.coalesce(F.col(f"assessment.{f}"), F.lit("unknown")) for f in _FIELDS}
+    values |= {"api_ok": yes((F.col("http_status") == 200) & (F.coalesce("error", F.lit("")) == "")), "sources_cited": yes(F.size("cited_references") > 0), "reviewed": yes(F.col("assessment").isNotNull())}
+    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("field"), v.alias("value")) for k, v in values.items())))
     return results(s, d).select(pairs.alias("p")).select("p.*").groupBy("field", "value").agg(F.count("*").alias("n"))
 
 
@@ -84,12 +90,25 @@ def _(s, d):
     return M.quantile(r, ["query_mode"], "after_first", 0.5).select("query_mode", F.round("after_first", 3).alias("after_first"), "n")
 
 
-@query("a17_dataset_validation", "SELECT 'duplicate_id' AS violation, CAST(result_id AS VARCHAR) AS id, count(*) AS n FROM eval_results GROUP BY result_id HAVING count(*) > 1 UNION ALL SELECT 'missing_answer', CAST(result_id AS VARCHAR), 1 FROM eval_results WHERE answer IS NULL UNION ALL SELECT 'category_count', category, count(*) FROM eval_results GROUP BY category")
+_ALLOWED = {"answerability": ["answerable", "partial"], "category": ["procedure", "fault", "overview", "table", "identifier"]}
+
+
+@query("a17_dataset_validation", "SELECT 'duplicate_id' AS violation, CAST(result_id AS VARCHAR) AS id, count(*) AS n FROM eval_results GROUP BY result_id HAVING count(*) > 1 UNION ALL SELECT 'missing_answer', CAST(result_id AS VARCHAR), 1 FROM eval_results WHERE answer IS NULL UNION ALL SELECT 'missing_question', CAST(result_id AS VARCHAR), 1 FROM eval_results WHERE question IS NULL "
+    + "".join(f"UNION ALL SELECT 'unknown_{c}', {c}, count(*) FROM eval_results WHERE {c} IS NOT NULL AND {c} NOT IN ({', '.join(repr(v) for v in vs)}) GROUP BY {c} " for c, vs in _ALLOWED.items())
+    + "UNION ALL SELECT 'category_count', category, count(*) FROM eval_results GROUP BY category UNION ALL SELECT 'over_half_of_origin', origin || ':' || category, n FROM (SELECT *, sum(n) OVER (PARTITION BY origin) AS t FROM (SELECT origin, category, count(*) AS n FROM eval_results WHERE origin IS NOT NULL AND category IS NOT NULL GROUP BY origin, category)) WHERE n * 2 > t")
 def _(s, d):
-    e = load(s, d, "eval_results")
-    dup = e.groupBy("result_id").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("duplicate_id").alias("violation"), F.col("result_id").cast("string").alias("id"), "n")
-    missing = e.where("answer is null").select(F.lit("missing_answer").alias("violation"), F.col("result_id").cast("string").alias("id"), F.lit(1).cast("bigint").alias("n"))
-    return dup.unionByName(missing).unionByName(e.groupBy("category").agg(F.count("*").alias("n")).select(F.lit("category_count").alias("violation"), F.col("category").alias("id"), "n"))
+    """Repeated ids, missing fields, values outside their set, counts by category, and categories that are more than half of an origin."""
+    e = load(s, d, "eval_results").select("result_id", "answer", "question", "category", "origin", "answerability")
+    id_of = F.col("result_id").cast("string").alias("id")
+    one = F.lit(1).cast("bigint").alias("n")
+    out = e.groupBy("result_id").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("duplicate_id").alias("violation"), id_of, "n")
+    for c in ("answer", "question"):
+        out = out.unionByName(e.where(F.col(c).isNull()).select(F.lit(f"missing_{c}").alias("violation"), id_of, one))
+    for c, values in _ALLOWED.items():
+        out = out.unionByName(e.where(F.col(c).isNotNull() & ~F.col(c).isin(values)).groupBy(F.col(c).alias("id")).agg(F.count("*").alias("n")).withColumn("violation", F.lit(f"unknown_{c}")))
+    out = out.unionByName(e.groupBy(F.col("category").alias("id")).agg(F.count("*").alias("n")).withColumn("violation", F.lit("category_count")))
+    share = e.where("origin is not null and category is not null").groupBy("origin", "category").agg(F.count("*").alias("n")).withColumn("t", F.sum("n").over(Window.partitionBy("origin"))).where("n * 2 > t")
+    return out.unionByName(share.select(F.lit("over_half_of_origin").alias("violation"), F.concat("origin", F.lit(":"), "category").alias("id"), "n"))
 
 
 @query("a25_effective_rates", "SELECT perf_id, round_even(total_chars * 1000 / nullif(internal_ms_median, 0), 2) AS rate FROM vector_perf")
@@ -153,6 +172,17 @@ def _(s, d):
     return M.fifo(e, ["event_type", "day"], "t", "v", "event_id").select("event_id", F.round(F.col("end") - F.col("t"), 3).alias("sojourn"))
 
 
+@query("m02_queue_positions", f"""{_FIFO[: _FIFO.index('SELECT event_id, round')].rstrip()},
+f AS (SELECT event_id, event_type, ts::DATE AS day, t, work + max(t - (work - v)) OVER (PARTITION BY event_type, ts::DATE ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS e FROM w),
+x AS (SELECT event_type, day, round(t, 6) AS moment, 1 AS delta, event_id FROM f UNION ALL SELECT event_type, day, round(e, 6), -1, event_id FROM f),
+y AS (SELECT *, sum(delta) OVER (PARTITION BY event_type, day ORDER BY moment, delta, event_id ROWS UNBOUNDED PRECEDING) AS held FROM x)
+SELECT event_id, CAST(held - 1 AS BIGINT) AS position FROM y WHERE delta = 1""")
+def _(s, d):
+    """How many requests stand before each on its arrival: 0 is served at once."""
+    e = load(s, d, "events").where("ts is not null and value is not null").select("event_id", "event_type", F.to_date("ts").alias("day"), (F.unix_micros(F.col("ts").cast("timestamp")).cast("double") / 1e6).alias("t"), (F.greatest("value", F.lit(0.0)) / 1000.0).alias("v"))
+    return M.positions(M.fifo(e, ["event_type", "day"], "t", "v", "event_id"), ["event_type", "day"], "t", "end", "event_id")
+
+
 @query("m02_queue_snapshot", "WITH x AS (SELECT event_type, date_trunc('hour', ts) AS hour, 1 AS delta FROM events UNION ALL SELECT event_type, date_trunc('hour', ts + INTERVAL 2 HOUR), -1 FROM events), h AS (SELECT event_type, hour, sum(delta) AS delta FROM x GROUP BY ALL) SELECT event_type, hour, CAST(sum(delta) OVER (PARTITION BY event_type ORDER BY hour) AS BIGINT) AS waiting FROM h")
 def _(s, d):
     e = load(s, d, "events").select("event_type", F.explode(F.array(F.struct(F.date_trunc("hour", "ts").alias("hour"), F.lit(1).alias("delta")), F.struct(F.date_trunc("hour", F.expr("ts + interval 2 hours")).alias("hour"), F.lit(-1).alias("delta")))).alias("x")).select("event_type", "x.*")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkquarry.functions import text as T
-from sparkquarry.operators import evidence, fusion, lexical, passages, vectors
+from sparkquarry.operators import evidence, fusion, gates, lexical, passages, tables, vectors
 from sparkquarry.plans import common as C
 from sparkquarry.plans.functions_q import PROFILE_SQL
 from sparkquarry.plans.tokens_sql import TERM, bigrams, passage_terms, terms
@@ -30,11 +30,9 @@ def _(s, d):
     return C.chunks(s, d).select("chunk_id", "file_path", F.lit("lexical").alias("source_type"), F.char_length("content").cast("bigint").alias("n"))
 
 
-@query("s02_u1_union_table_parents", "SELECT CAST(doc_id AS VARCHAR) AS id, md5(text) AS digest, 'chunk' AS source_type FROM documents WHERE length(text) > 0 UNION ALL SELECT 't' || table_uid, md5(html), 'table' FROM ir_tables WHERE length(html) > 0")
+@query("s02_u1_union_table_parents", f"SELECT chunk_id AS id, source_type, reference_id, md5(content) AS digest FROM ({C.CORPUS_SQL})")
 def _(s, d):
-    a = C.chunks(s, d).select(F.col("chunk_id").cast("string").alias("id"), F.md5(F.col("content").cast("binary")).alias("digest"), F.lit("chunk").alias("source_type"))
-    b = load(s, d, "ir_tables").where(F.length("html") > 0).select(F.concat(F.lit("t"), "table_uid").alias("id"), F.md5(F.col("html").cast("binary")).alias("digest"), F.lit("table").alias("source_type"))
-    return a.unionByName(b, allowMissingColumns=True)
+    return C.corpus(s, d).select(F.col("chunk_id").alias("id"), "source_type", "reference_id", F.md5(F.col("content").cast("binary")).alias("digest"))
 
 
 @query("s04_j21_table_keys_in_blocks", r"""WITH k AS (SELECT DISTINCT document_name, unnest(regexp_extract_all(content_template, '\{\{TBL:([^{}]+)\}\}', 1)) AS key, ir_block_id FROM ir_blocks)
@@ -96,6 +94,44 @@ def _(s, d):
     return best(s, d).withColumn("score", F.round("score", 5))
 
 
+WITH_TABLES_CTE = BM25_CTE.replace(C.CHUNKS_SQL, C.CORPUS_SQL)
+
+
+def _with_tables(s, d):
+    return lexical.bm25(C.corpus(s, d), C.expanded(C.questions(s, d)))
+
+
+@query("a04_u1_bm25_with_tables", f"WITH {WITH_TABLES_CTE} SELECT query_id, chunk_id, round(score, 5) AS score, rank FROM lex WHERE rank <= 12")
+def _(s, d):
+    return _with_tables(s, d).withColumn("score", F.round("score", 5))
+
+
+_COMPACT = "regexp_replace(lower(coalesce({}, '')), '[^a-z0-9]+', '', 'g')"
+_HITS = lambda text, words: " + ".join(f"(length({text}) - length(replace({text}, '{w}', ''))) / {len(w)}" for w in words)
+_HEAD_SQL, _WHOLE_SQL = _COMPACT.format("header"), f"{_COMPACT.format('header')} || {_COMPACT.format('content')}"
+TYPE_SQL = "CASE " + " ".join(f"WHEN {_HITS(_HEAD_SQL, w)} >= 1 THEN '{t}'" for t, w in C.TABLE_TYPES) + " " + " ".join(f"WHEN {_HITS('(' + _WHOLE_SQL + ')', w)} >= 3 THEN '{t}'" for t, w in C.TABLE_TYPES) + " ELSE 'unknown' END"
+ASKED_SQL = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(query), '{x}')" for x in w) + f" THEN '{t}'" for t, w in C.TABLE_TYPES) + " END"
+
+
+@query("t08_table_types", f"SELECT table_uid, {TYPE_SQL.replace('content', 'html')} AS type FROM (SELECT table_uid, html, array_to_string(table_header, ' ') AS header FROM ir_tables)")
+def _(s, d):
+    return load(s, d, "ir_tables").select("table_uid", tables.table_type(F.array_join("table_header", " "), F.col("html"), C.TABLE_TYPES).alias("type"))
+
+
+@query("t12_asked_types", f"SELECT query_id, {ASKED_SQL} AS asked FROM ({C.QUESTIONS_SQL})")
+def _(s, d):
+    return C.questions(s, d).select("query_id", tables.asked_type(F.col("query"), C.TABLE_TYPES).alias("asked"))
+
+
+@query("t15_reserved_tables", f"""WITH {WITH_TABLES_CTE}, c AS (SELECT query_id, chunk_id, rank, source_type = 'table' AND coalesce({TYPE_SQL} = {ASKED_SQL}, FALSE) AS typed FROM lex JOIN (SELECT * FROM ({C.CORPUS_SQL})) USING (chunk_id) JOIN ({C.QUESTIONS_SQL}) USING (query_id) WHERE rank <= 12),
+m AS (SELECT *, max(typed) OVER (PARTITION BY query_id) AS any_typed FROM c) SELECT query_id, chunk_id, rank FROM m WHERE typed OR NOT any_typed""")
+def _(s, d):
+    """Of each question's best chunks and tables the tables of the type it asks for, if there are any."""
+    c = _with_tables(s, d).join(C.corpus(s, d), "chunk_id").join(C.questions(s, d), "query_id")
+    typed = (F.col("source_type") == "table") & (tables.table_type(F.col("header"), F.col("content"), C.TABLE_TYPES) == tables.asked_type(F.col("query"), C.TABLE_TYPES))
+    return gates.keep_if_any(c.withColumn("typed", typed), "typed").select("query_id", "chunk_id", "rank")
+
+
 VECTOR_SQL = """SELECT query_id, vec_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM (
 SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS similarity FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0) QUALIFY rank <= 10"""
 
@@ -228,7 +264,7 @@ def _(s, d):
     return r.join(known, "file_path", "left").select("result_id", "reference_id", F.count("doc_id").over(w).alias("chunks")).distinct()
 
 
-@query("j06_j07_j08_anti_joins", r"""SELECT doc_id FROM documents k WHERE source LIKE '%.kg.md' AND NOT EXISTS (SELECT 1 FROM documents t WHERE t.source LIKE '%.text.md' AND t.full_doc_id = k.full_doc_id AND regexp_replace(t.source, '\.(kg|text)\.md$', '.md') = regexp_replace(k.source, '\.(kg|text)\.md$', '.md'))""")
+@query("j08_families_with_text", r"""SELECT doc_id FROM documents k WHERE source LIKE '%.kg.md' AND NOT EXISTS (SELECT 1 FROM documents t WHERE t.source LIKE '%.text.md' AND t.full_doc_id = k.full_doc_id AND regexp_replace(t.source, '\.(kg|text)\.md$', '.md') = regexp_replace(k.source, '\.(kg|text)\.md$', '.md'))""")
 def _(s, d):
     docs = load(s, d, "documents").select("doc_id", "full_doc_id", "source", T.source_family(F.col("source")).alias("family"))
     primary = docs.where("source like '%.text.md'").select("full_doc_id", "family").distinct()
@@ -257,11 +293,11 @@ def _(s, d):
     return C.chunks(s, d).select("chunk_id", F.round(authority_factor(F.col("content"), F.col("file_path"), "%release%"), 6).alias("factor"))
 
 
-@query("p16_p19_previews", rf"""SELECT doc_id, regexp_extract(source, '^(.*)\.(kg|text)\.md$', 2) AS route, length(text) > 2000 AS truncated, md5(substring(text, 1, 2000)) AS digest, coalesce(full_doc_id || ':' || regexp_replace(source, '\.(kg|text)\.md$', '.md'), full_doc_id, CAST(doc_id AS VARCHAR)) AS group_id FROM documents WHERE text IS NOT NULL""")
+@query("p16_p19_previews", rf"""SELECT doc_id, regexp_extract(source, '^(.*)\.(kg|text)\.md$', 2) AS route, length(text) > 20000 AS truncated, length(text) > 2000000 AS cut_in_full, md5(substring(text, 1, 20000)) AS digest, coalesce(full_doc_id || ':' || regexp_replace(source, '\.(kg|text)\.md$', '.md'), full_doc_id, CAST(doc_id AS VARCHAR)) AS group_id FROM documents WHERE text IS NOT NULL""")
 def _(s, d):
     docs = load(s, d, "documents").where("text is not null")
     group = F.coalesce(F.concat("full_doc_id", F.lit(":"), T.source_family(F.col("source"))), F.col("full_doc_id"), F.col("doc_id").cast("string"))
-    return docs.select("doc_id", F.regexp_extract("source", r"^(.*)\.(kg|text)\.md$", 2).alias("route"), (F.char_length("text") > 2000).alias("truncated"), F.md5(F.substring("text", 1, 2000).cast("binary")).alias("digest"), group.alias("group_id"))
+    return docs.select("doc_id", F.regexp_extract("source", r"^(.*)\.(kg|text)\.md$", 2).alias("route"), (F.char_length("text") > 20_000).alias("truncated"), (F.char_length("text") > 2_000_000).alias("cut_in_full"), F.md5(F.substring("text", 1, 20_000).cast("binary")).alias("digest"), group.alias("group_id"))
 
 
 def scored_units(s, d):

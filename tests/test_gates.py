@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from sparkquarry.operators import evidence, gates, tables, udtf
+from sparkquarry.operators import evidence, gates, metrics, tables, udtf
 from sparkquarry.sources import sinks
 
 
@@ -73,3 +73,16 @@ def test_quotes_in_sources(spark):
 def test_parent_index(spark):
     p, s = spark.createDataFrame([("a",), ("b",)], "table_id string"), spark.createDataFrame([("b", 1), ("c", 2), (None, 3)], "table_id string, n int")
     assert sorted(map(str, (r.table_id for r in tables.parent_index(p, s).collect()))) == ["None", "a", "b", "c"]
+
+
+def test_table_types(spark):
+    types = [("power", ["power", "fuse"]), ("net", ["bridge"])]
+    df = spark.createDataFrame([("Spare Fuse", "x", "which fuse"), ("Plain", "a bridge, the Bri-dge and bridge", "a BRIDGE"), (None, "power", "else"), (None, None, None), ("bridge", "fuse fuse fuse", "fuse bridge")], "h string, b string, q string")
+    rows = df.select(tables.table_type(F.col("h"), F.col("b"), types).alias("t"), tables.asked_type(F.col("q"), types).alias("a")).collect()
+    assert [(r.t, r.a) for r in rows] == [("power", "power"), ("net", "net"), ("unknown", None), ("unknown", None), ("net", "power")]
+
+
+def test_positions(spark):
+    df = spark.createDataFrame([("s", 0.0, 5.0, 1), ("s", 1.0, 2.0, 2), ("s", 2.0, 1.0, 3), ("s", 8.0, 1.0, 4), ("z", 2.0, 1.0, 5)], "k string, t double, v double, id int")
+    served = metrics.fifo(df, ["k"], "t", "v", "id")
+    assert sorted((r.id, r.position) for r in metrics.positions(served, ["k"], "t", "end", "id").collect()) == [(1, 0), (2, 1), (3, 2), (4, 0), (5, 0)]
