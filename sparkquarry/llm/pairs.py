@@ -180,6 +180,8 @@ _CLOSERS = set(_OPEN.values()) | {"”"}
 _SIGN = re.compile("[" + re.escape("".join(_OPEN) + "".join(sorted(_CLOSERS)) + "\\\"`*") + "]")
 _END = re.compile(r"[.!?。！？؟।۔…][\"'”’»“)\]）】」』》*_`]*$")
 _ITEM = re.compile(r"^\s*(?:[-*+•·‣]|\d{1,3}[.)、]|[(（]?\d{1,3}[)）]|[a-zA-Z][.)]|#{1,6})\s+\S")
+#: The mark of an item with nothing behind it.
+_BARE_MARK = re.compile(r"(?:[-*+•·‣]|\d{1,3}[.)、]|[(（]?\d{1,3}[)）]|[a-zA-Z][.)]|#{1,6})")
 _FENCE = re.compile(r"^\s*(```+|~~~+)")
 
 
@@ -338,7 +340,7 @@ _THAI = re.compile(r"[฀-๿]")
 
 
 def is_truncated(answer: str) -> bool:
-    """The answer breaks off: something is open, a table row lacks its end, or its last line is prose without an end mark."""
+    """The answer breaks off: something is open, a table row lacks its end, an item has no more than its mark, or its last line is prose without an end mark."""
     text = answer.rstrip()
     stack, code = open_at_end(text)
     if stack:
@@ -349,6 +351,8 @@ def is_truncated(answer: str) -> bool:
     last = lines[-1].strip()
     if last.startswith("|"):
         return not (last.endswith("|") and len(last) > 1)
+    if len(lines) > 1 and _BARE_MARK.fullmatch(last):
+        return True  # an item was begun
     if _ITEM.match(last) or _END.search(last):
         return False
     if re.search(r"[,;，；、（(]$", last):

@@ -73,3 +73,8 @@ def test_overlaps_that_do_not_fit():
     for overlap, taken in ((10, 5), (99, 5), (-3, 0)):
         pieces = split.cut("x" * 45, 10, overlap)
         assert all(b - a <= 10 for a, b, _ in pieces) and all(c == b - taken for (_, b, _), (c, _, _) in zip(pieces, pieces[1:])) and pieces[-1][1] == 45
+
+
+@pytest.mark.parametrize(("answer", "cut"), [("Do this.\n1. Pump setup\n2. Valve\n3.", True), ("Do this:\n- one\n-", True), ("3.", False), ("Do this.\n1. Pump setup\n2. Valve", False), ("Steps\n\n## Pump\n\n##", True)])
+def test_items_that_only_begin(answer, cut):
+    assert pairs.is_truncated(answer) == cut
