@@ -129,6 +129,11 @@ def test_headers_of_two_lines_and_near_keys(spark):
     assert found == {(i, n) for i in (1, 2, 3) for n in (0, 1)} | {(4, 0)}
 
 
+def test_misread_digits_in_running_lines():
+    key = scan_pages.running_key
+    assert key("Calibrati0n table overview") == key("Calibration table overview   157") and key("N0tes on it") == key("Notes on it") and key("Unit KX90 of 12") == key("Unit KX91 of 7")
+
+
 def test_repeated_and_unnamed_pages(spark):
     rows = [(1, "d", 1, "vision_fusion", "Pump overview\nText one is here."), (1, "d", 1, "vision_fusion", "Pump overview\nText one is here."), (None, "d", 2, "vision_fusion", "Pump overview\nText two is there."), (None, None, None, "vision_fusion", None)]
     found = sorted((str(r.record_id), r.line_no, r.defect) for r in scans.scan_defects(*_scan(spark, rows, [(None, None, None, None), (5, 99, 0, "x")], [(None, None, None, None, None, None, None, None)])).collect())
