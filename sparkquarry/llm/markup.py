@@ -76,6 +76,8 @@ _BARE = "item|hfill|vfill|hline|toprule|midrule|bottomrule|noindent|indent|newpa
 _ENVIRONMENT = re.compile(r"\\(begin|end)\{([^{}\n]*)\}(?:\[[^\]\n]*\]|\{[^{}\n]*\})*")
 _COMMAND = re.compile(rf"(?<![\w\\:/])~?\\([A-Za-z]+)\*?((?:\[[^\]\n]*\])*)\{{([^{{}}]*)\}}|(?<![\w\\:/])\\({_BARE})(?![A-Za-z\\])(?:\[([^\]\n]*)\])?[ \t]?|(?<=[\w}}\]])~\\([A-Za-z]+)\*?((?:\[[^\]\n]*\])*)\{{([^{{}}]*)\}}|(?<=\w)\\(?:textbf|textit|emph|texttt|text[a-z]{{2}}|underline|label|ref|cite|footnote|url|href|section|subsection)\*?\{{([^{{}}]*)\}}")
 _LATEX_ROW = re.compile(r"^(?=[^\n]*&)([^\n]*?)[ \t]*\\\\(?:\[[^\]\n]*\])?[ \t]*(?:\\hline)?[ \t]*$", re.M)
+#: A comment, in a text that is LaTeX elsewhere.
+_LATEX_COMMENT = re.compile(r"^[ \t]*%[^\n]*(?:\n|\Z)", re.M)
 _GROUP = re.compile(r"\{\\(?:bf|it|em|tt|sc|rm|sf|bfseries|itshape|ttfamily|small|large|Large|huge)\b[ \t]*([^{}]*)\}")
 _SECTIONS = {"part": 1, "chapter": 1, "title": 1, "section": 1, "subsection": 2, "subsubsection": 3, "paragraph": 4}
 _NO_TEXT = set("label ref eqref pageref cite citep citet input include usepackage documentclass bibliography bibliographystyle includegraphics vspace hspace setlength pagestyle thispagestyle index author date".split())
@@ -396,6 +398,8 @@ def clean(text: str | None, heading: str | None = None, level: int | None = None
     t = _wiki_marks(t, saw)
     if "\\" in t:
         t = _latex_marks(t, saw, aside)
+    if "latex" in found and "%" in t:
+        t = _LATEX_COMMENT.sub("", t)
     t = _markdown_marks(t, saw)
     t = aside.back(t).translate(_OWN)
     t = re.sub(r"[^\S\n]+\n", "\n", t)

@@ -17,6 +17,8 @@ from sparkquarry.llm import markup, pairs, split
         ("{{a|" * 50 + "deep" + "}}" * 50, ["wiki"], "deep"),
         (r"\textbf{" * 50 + "deep" + "}" * 50, ["latex"], "deep"),
         ("{{a|{b}}} {{x", [], "{{a|{b}}} {{x"),
+        ("\\section{Head}\n% checked\nIt is 5 % of it.", ["latex"], "# Head\n\nIt is 5 % of it."),
+        ("% of all\nIt is plain.", [], "% of all\nIt is plain."),
     ],
 )
 def test_markup_of_any_length_and_depth(text, kinds, wanted):
