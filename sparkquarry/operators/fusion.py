@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkquarry.functions import text as T
-from sparkquarry.operators.lexical import top_k
 
 RRF_K = 60.0
 # Weights of vector and lexical ranks by profile.

@@ -189,7 +189,6 @@ def _(s, d):
     return load(s, d, "blocks").where("text is not null").select("block_id", T.structural_heading(F.col("text")).alias("structural"), T.list_style(F.col("text")).alias("style"))
 
 
-_B = "CAST({0}x0 AS DOUBLE), CAST({0}y0 AS DOUBLE), CAST({0}x1 AS DOUBLE), CAST({0}y1 AS DOUBLE)"
 
 
 @query("f39_box_areas", "SELECT block_id, greatest(0, x1::DOUBLE - x0) * greatest(0, y1::DOUBLE - y0) AS area, (x0::DOUBLE + x1) / 2 BETWEEN 300 AND 900 AND (y0::DOUBLE + y1) / 2 BETWEEN 300 AND 900 AS central FROM blocks")

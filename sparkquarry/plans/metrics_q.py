@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkquarry.operators import metrics as M
-from sparkquarry.plans import common as C
 from sparkquarry.sources import load
 from sparkquarry.streaming import metrics as SM
 

@@ -1,4 +1,4 @@
-"""Queries of Markdown, table and page structure, and of evidence units."""
+"""Queries of Markdown, table and page structure."""
 
 from __future__ import annotations
 
@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from sparkquarry.functions import boxes as X
 from sparkquarry.functions import text as T
-from sparkquarry.operators import evidence, geometry, markdown, tables
+from sparkquarry.operators import geometry, markdown, tables
 from sparkquarry.plans import common as C
-from sparkquarry.plans.tokens_sql import bigrams
 from sparkquarry.sources import load
 
 Q, S = {}, {}
@@ -120,7 +119,6 @@ def _(s, d):
     return load(s, d, "documents").where("contains(text, 'the')").select("doc_id", (at - 1).cast("bigint").alias("before"), (F.char_length("text") - at - 2).cast("bigint").alias("after"))
 
 
-_SIDES = "{0}.x0, {0}.y0, {0}.x1, {0}.y1"
 
 
 def _overlap(a: str, b: str) -> str:
