@@ -10,7 +10,8 @@ put the repaired lines together.
 
 The texts are read twice: once to count, in tables of a task's own, so that only distinct forms are shuffled; once, with
 what the counts decide, to find the places. Frequent right forms are known to every task (``KNOWN`` of them at most), so
-of millions of occurrences only the rare forms' leave it, to be joined with the fixes.
+of millions of occurrences only the rare forms' leave it, to be joined with the fixes. Whether a task knows a form decides
+nothing else: all right forms support with the word before, and none of them is misread for its glyphs.
 """
 
 from __future__ import annotations
@@ -294,6 +295,8 @@ def _places(body: DataFrame, known: DataFrame, fixes: DataFrame, right: dict[str
 
         def matters(form: str) -> bool:
             if (known := asked.get(form)) is None:
+                if len(asked) > HELD:
+                    asked.clear()
                 known = asked[form] = bool(bits[xxhash.xxh64_intdigest(form.encode(), 42) % BITS])
             return known
 
@@ -335,8 +338,8 @@ def _places(body: DataFrame, known: DataFrame, fixes: DataFrame, right: dict[str
                                 place = (source, key, *record(i), i)
                                 more = (len(w), *there, second[0], far) if second else (-1, None, None, None, None, False)
                                 out.append(("h", *place, m.start(), joined, skeleton(joined), form, alt, second[1] if second else None, *more, chained, soft, None, drawn(i, m.start(), 1)))
-                                wrong = is_wrong(w + (second[1] if second else ""))
-                                if (second or wrong) and (joined not in ok or wrong):
+                                wrong = joined not in ok and is_wrong(w + (second[1] if second else ""))
+                                if joined not in ok and (second or wrong):
                                     ids_2 = None
                                     if owners is not None and second and not far:
                                         ids_2 = drawn(lines[k + 1][0], second[0], len(second[1]))
@@ -348,7 +351,7 @@ def _places(body: DataFrame, known: DataFrame, fixes: DataFrame, right: dict[str
                             wrong = form not in ok and is_wrong(w)
                             if form not in ok and len(form) > 1 or wrong:
                                 out.append(("w", source, key, *record(i), i, a, form, None, prev, None, None, -1, None, None, None, None, False, wrong, False, None, drawn(i, a, len(w))))
-                            elif prev and any_doubt and matters(form):
+                            if prev and any_doubt and matters(form):
                                 pairs.add((prev, form))
                             prev = form
                     cut_before = m is not None
@@ -410,7 +413,9 @@ class Analysis:
         own = F.when(F.col("second").isNull(), F.col("soft") | (F.col("begun") == 0)).otherwise(F.when(F.col("soft"), F.col("written") <= F.col("joined")).otherwise(by_count))
         self.hyphens = checkpoint(h.where(own))
 
-        w = places.where("kind = 'w'").join(fixes, "form", "left").where(F.col("best").isNotNull() | F.col("wrong"))
+        # right forms of two scripts, which look wrong to tasks that don't know them
+        mixed = known.where(F.col("form").rlike("[A-Za-z]") & F.col("form").rlike(r"[\x{400}-\x{4ff}]")).select("form", F.lit(True).alias("right"))
+        w = places.where("kind = 'w'").join(fixes.unionByName(mixed, allowMissingColumns=True), "form", "left").where(F.col("best").isNotNull() | F.col("wrong") & F.col("right").isNull())
         # context: the right form follows the same word elsewhere, or has far more occurrences
         pairs = places.where("kind = 'b'").select("prev", F.col("form").alias("best")).distinct().withColumn("follows", F.lit(True))
         w = w.join(pairs, ["prev", "best"], "left").where(F.col("wrong") | F.col("sure") | F.coalesce("follows", F.lit(False)))

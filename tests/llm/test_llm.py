@@ -121,6 +121,15 @@ def test_mending_touches_no_other_word():
     assert scans.mend([(0, "a hyphen-"), (1, "ated) word")], None, False, {0: 8}, {}, {}) == [(0, "a hyphenated)"), (1, "word")]
 
 
+@pytest.mark.parametrize("known", [0, 1, 100_000])
+def test_right_forms_that_no_task_knows(spark, monkeypatch, known):
+    monkeypatch.setattr(scans, "KNOWN", known)
+    clean = "Some data and some more of it.\n" * 12
+    text = "Now read the data of it\nand read the clata again\nor not any rnore of it\nas the gpuкарта shows\n" + "near a gpuкарта here\n" * 5 + "under the gpu-\nкарта too"
+    found = {(r.record_id, r.line_no, r.defect) for r in scans.scan_defects(*_scan(spark, [(0, None, 1, "pdfium_layout", clean), (1, None, 2, "vision_fusion", text)])).collect()}
+    assert {x for x in found if x[2] == "misread"} == {(1, 1, "misread")}  # "the data" is elsewhere, "any more" is not; what is frequent is right in two scripts
+
+
 def test_headers_of_two_lines_and_near_keys(spark):
     body = ["{a} wide words stand in the middle of this page, enough of them", "to fill a line that is as wide as any other of the {a} page"]
     pages = [(i, "d", i, "vision_fusion", "\n".join(["Controller handbook", h, *(b.format(a=a) for b in body), "Closing words of the " + a])) for i, a, h in ((1, "first", "Release 7 notes"), (2, "other", "Release 8 notes"), (3, "third", "Release 9 notes"))]
